@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import op8_mixing
+from tessera.llm import op4_tokens, op8_mixing, op10_language
 
 _MODULES = {
+    "op4_tokens": op4_tokens,
     "op8_mixing": op8_mixing,
+    "op10_language": op10_language,
 }
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}
