@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import op4_tokens, op8_mixing, op10_language
+from tessera.llm import op4_tokens, op7_media, op8_mixing, op10_language
 
 _MODULES = {
     "op4_tokens": op4_tokens,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op10_language": op10_language,
 }
