@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import op2_warc, op4_tokens, op7_media, op8_mixing, op10_language
+from tessera.llm import op2_warc, op4_tokens, op5_chat, op7_media, op8_mixing, op10_language
 
 _MODULES = {
     "op2_warc": op2_warc,
     "op4_tokens": op4_tokens,
+    "op5_chat": op5_chat,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op10_language": op10_language,
