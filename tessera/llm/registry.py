@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import op2_warc, op4_tokens, op5_chat, op7_media, op8_mixing, op10_language
+from tessera.llm import op1_secrets, op2_warc, op4_tokens, op5_chat, op7_media, op8_mixing, op10_language
 
 _MODULES = {
+    "op1_secrets": op1_secrets,
     "op2_warc": op2_warc,
     "op4_tokens": op4_tokens,
     "op5_chat": op5_chat,
