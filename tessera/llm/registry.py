@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_secrets, op2_warc, op3_jaccard, op4_tokens, op5_chat, op7_media, op8_mixing, op9_decontamination, op10_language
+from tessera.llm import op1_secrets, op2_warc, op3_jaccard, op4_tokens, op5_chat, op6_substrings, op7_media, op8_mixing, op9_decontamination, op10_language
 
 _MODULES = {
     "op1_secrets": op1_secrets,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_jaccard": op3_jaccard,
     "op4_tokens": op4_tokens,
     "op5_chat": op5_chat,
+    "op6_substrings": op6_substrings,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
