@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,8 +14,7 @@ SCHEMA = "doc_id long, text string, node string, label string"
 def brute(rows, n, percent):
     sets = []
     for _, t in rows:
-        w = "".join(c.lower() if c.isascii() else c for c in (t or "")).split(" ")
-        w = [x for x in w if x]
+        w = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in (t or "")))
         sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     root = list(range(len(rows)))
 
