@@ -36,7 +36,7 @@ from tessera.llm._words import gram_hashes, mix64, slices, text_buffer, word_has
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK_DOCS = 512
+BLOCK_DOCS = 2048
 BLOCK_GRAMS = 2_000_000
 DENSE_CELLS = 1 << 21
 FEW = 8
@@ -179,23 +179,30 @@ def _meetings(described: DataFrame) -> DataFrame:
     return segments.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long")
 
 
-def overlaps(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """Overlap of each pair of n sets: partial counts of fragments of the n-gram order, summed up."""
+def overlaps(grams: np.ndarray, owners: np.ndarray, n: int, split: int = 0) -> np.ndarray:
+    """Overlaps of n sets with each other, or of the first ``split`` with the others: partial counts of fragments of the
+    n-gram order, summed up."""
     order = np.lexsort((owners, grams))
     grams, owners = grams[order], owners[order]
     new = np.ones(len(grams), bool)
     new[1:] = grams[1:] != grams[:-1]
     column = np.cumsum(new) - 1
     held = np.bincount(column)[column] if len(column) else column
-    total = np.zeros((n, n), np.float32)
+    a, b = (split, n - split) if split else (n, n)
+    total = np.zeros((a, b), np.float32)
     few = (held > 1) & (held <= FEW)
     c, o = column[few], owners[few]
     for step in range(1, FEW):
         same = np.flatnonzero(c[step:] == c[:-step])
         if not len(same):
             break
-        total += np.bincount(o[same] * n + o[same + step], minlength=n * n).reshape(n, n)
-    total += total.T
+        left, right = o[same], o[same + step]
+        if split:
+            cross = (left < split) & (right >= split)
+            left, right = left[cross], right[cross] - split
+        total += np.bincount(left * b + right, minlength=a * b).reshape(a, b)
+    if not split:
+        total += total.T
     many = held > FEW
     c, o = column[many], owners[many]
     if len(c):
@@ -205,21 +212,21 @@ def overlaps(grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
             lo, hi = np.searchsorted(c, [start, start + width])
             cells = np.zeros((n, width), np.float32)
             cells[o[lo:hi], c[lo:hi] - start] = 1
-            total += cells @ cells.T
-    np.fill_diagonal(total, 0)
+            total += cells[:a] @ cells[split:].T
+    if not split:
+        np.fill_diagonal(total, 0)
     return total
 
 
-def linked(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, sides: np.ndarray, across: bool, percent: int) -> np.ndarray:
-    """The smallest index linked with each set, directly or not. ``across``: only pairs of different sides count."""
-    n = len(sizes)
-    both = overlaps(grams, owners, n).astype(np.int64)
-    link = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    link &= both > 0
-    if across:
-        link &= sides[:, None] != sides[None, :]
-    label = np.arange(n)
-    a, b = np.nonzero(link)
+def linked(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, split: int, percent: int) -> np.ndarray:
+    """The smallest index linked with each set, directly or not; with ``split`` only pairs across it count."""
+    both = overlaps(grams, owners, len(sizes), split)
+    a, b = np.nonzero(both)
+    shared = both[a, b].astype(np.int64)
+    b = b + split
+    over = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
+    a, b = np.concatenate([a[over], b[over]]), np.concatenate([b[over], a[over]])
+    label = np.arange(len(sizes))
     while len(a):
         least = label.copy()
         np.minimum.at(least, a, label[b])
@@ -259,13 +266,14 @@ def _block_links(docs: DataFrame, described: DataFrame, groups: DataFrame, shing
         key, held = None, []
 
         def finish() -> pa.RecordBatch:
-            rows = {node: (side, grams) for node, side, grams in held}
+            rows = {node: (side, grams) for node, side, grams in sorted(held, key=lambda x: x[1] != key[1])}
             node = np.array(list(rows), np.int64)
             sizes = np.array([len(g) for _, g in rows.values()], np.int64)
-            sides = np.array([s for s, _ in rows.values()])
+            split = sum(side == key[1] for side, _ in rows.values()) if key[1] != key[2] else 0
+            if key[1] != key[2] and split in (0, len(node)):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             grams = np.concatenate([g for _, g in rows.values()])
-            owners = np.repeat(np.arange(len(node)), sizes)
-            label = linked(grams, owners, sizes, sides, key[1] != key[2], percent)
+            label = linked(grams, np.repeat(np.arange(len(node)), sizes), sizes, split, percent)
             moved = label != np.arange(len(node))
             return pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["a", "b"])
 

@@ -90,6 +90,8 @@ def test_partial_counts_sum_up(monkeypatch):
     got = m.overlaps(np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets]), 12)
     want = [[0 if i == j else len(np.intersect1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     assert got.tolist() == want
+    across = m.overlaps(np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets]), 12, 5)
+    assert across.tolist() == [row[5:] for row in want[:5]]
 
 
 def test_components_of_chains(spark):
