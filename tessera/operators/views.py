@@ -10,7 +10,7 @@ def document_listing(documents: DataFrame, chunks: DataFrame, vectors: DataFrame
     """``documents`` (id) with chunk_count and vector_count (chunks with a vector in any profile), ordered by file_name."""
     has = vectors.select("chunk_id").distinct().withColumn("_v", F.lit(1))
     per_document = chunks.select("document_id", F.col("id").alias("chunk_id")).join(has, "chunk_id", "left").groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("chunk_count"), F.count("_v").alias("vector_count")
+        F.count_distinct("chunk_id").alias("chunk_count"), F.count_distinct(F.when(F.col("_v") == 1, F.col("chunk_id"))).alias("vector_count")
     )
     rows = documents.join(per_document.withColumnRenamed("document_id", "id"), "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
