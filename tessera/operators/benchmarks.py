@@ -59,9 +59,9 @@ def ratios(rows: DataFrame, by: list[str], value: str, model: str, baseline: str
 def synthetic_vectors(spark: SparkSession, n: int, dimension: int) -> DataFrame:
     """id ``c0``.., vector ((i+1)(j+3) mod 97)/97; n and dimension are clamped to 1..10000 and 1..4096."""
     n, dimension = min(max(n, 1), MOST_VECTORS), min(max(dimension, 1), MOST_DIMENSIONS)
-    value = lambda j: (((F.col("id") + 1) * (j + 3)) % 97 / 97.0).cast("float")
+    value = lambda j: (((F.col("i") + 1) * (j + 3)) % 97 / 97.0).cast("float")
     vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value)
-    return spark.range(n).select(F.concat(F.lit("c"), F.col("id")).alias("id"), vector.alias("vector"))
+    return spark.range(n).withColumnRenamed("id", "i").select(F.concat(F.lit("c"), "i").alias("id"), vector.alias("vector"))
 
 
 def request_sequence(queries: DataFrame, least: int, seed: int) -> DataFrame:

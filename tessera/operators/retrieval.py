@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import distinct_terms, segments
 
@@ -65,6 +66,7 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
         return out if out is not None else vector_search(queries, corpus, k, metric, mismatch)
     id_type, query_type = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, score double"
+    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
     found = None
     for ids, rows in _query_blocks(queries):
         block = corpus.sparkSession.sparkContext.broadcast((ids, rows))
@@ -102,7 +104,7 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
                 own = [i for i, r in zip(ids, rows, strict=True) if len(r) == d]
                 n = best_scores[d].shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(own, object), n).tolist()), pa.array(best_ids[d].ravel().tolist(), kind), pa.array(best_scores[d].ravel(), pa.float64())],
+                    [pa.array([i for i in own for _ in range(n)], query_kind), pa.array(best_ids[d].ravel().tolist(), kind), pa.array(best_scores[d].ravel(), pa.float64())],
                     ["query_id", "id", "score"],
                 )
 
@@ -221,7 +223,7 @@ def specificity(queries: DataFrame, stats: DataFrame, wanted: DataFrame) -> Data
     """query_id, specificity, vector_weight, bm25_weight: the mean idf over 3, 1 at most; 0.5 for queries without terms."""
     mean = wanted.join(stats, "term").groupBy("query_id").agg((F.sum(F.col("idf") * F.col("weight")) / F.sum("weight")).alias("m"))
     own = queries.select("query_id").distinct().join(mean, "query_id", "left")
-    s = F.coalesce(F.least(F.col("m") / 3.0, F.lit(1.0)), F.lit(0.5))
+    s = F.least(F.coalesce(F.col("m") / 3.0, F.lit(0.5)), F.lit(1.0))
     return own.select("query_id", s.alias("specificity"), (1.0 - 0.6 * s).alias("vector_weight"), (0.4 + 0.8 * s).alias("bm25_weight"))
 
 

@@ -256,7 +256,7 @@ _LEXICAL_CTE = """
 by_terms AS (SELECT query_id, id, CAST(sum(tf) AS DOUBLE) AS score FROM terms JOIN tf USING (term) GROUP BY 1, 2)"""
 _WEIGHTS_CTE = """
 weights AS (
-  SELECT b.item_id AS query_id, coalesce(least(m / 3.0, 1.0), 0.5) AS s FROM benchmark b
+  SELECT b.item_id AS query_id, least(coalesce(m / 3.0, 0.5), 1.0) AS s FROM benchmark b
   LEFT JOIN (SELECT query_id, sum(idf * weight) / sum(weight) AS m FROM terms JOIN stats USING (term) GROUP BY 1) x ON x.query_id = b.item_id
 )"""
 

@@ -53,9 +53,8 @@ class FolderReader(SimpleDataSourceStreamReader):
 
     @staticmethod
     def _changes(old: dict, new: dict):
-        for path in sorted(old.keys() | new.keys()):
-            if old.get(path) != new.get(path):
-                yield path, "added" if path not in old else "removed" if path not in new else "updated"
+        kind = lambda path: "added" if path not in old else "removed" if path not in new else "updated"
+        return iter([(path, kind(path)) for path in sorted(old.keys() | new.keys()) if old.get(path) != new.get(path)])
 
 
 class FolderSource(DataSource):
@@ -93,7 +92,8 @@ def watch(spark: SparkSession, root: str, on_change: Callable[[DataFrame], None]
 def latency_windows(samples: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and latency of tumbling windows over ``samples`` (ts, value, event_type), in a stream or a batch."""
     good = F.col("event_type") != "error"
-    rows = samples.withWatermark("ts", late) if samples.isStreaming else samples
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = timed.withWatermark("ts", late) if samples.isStreaming else timed
     return rows.groupBy(F.window("ts", width)).agg(
         F.count(F.lit(1)).alias("samples"), F.count_if(good).alias("succeeded"), F.avg(F.when(good, F.col("value"))).alias("mean_ms"), F.max(F.when(good, F.col("value"))).alias("max_ms")
     )
