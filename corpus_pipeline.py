@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op1_secrets, op3_jaccard, op8_mixing, op9_decontamination, op10_language
-from tessera.llm._shared import fresh_path
+from tessera.llm._shared import fresh_path, membership_sketch, only, written
 
 LEAST_SCORE = 0.2
 SHINGLE = 5
@@ -28,11 +28,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Null ids come last, and texts with an equal id are told apart.
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
-    keyed = docs.withColumn("_key", key)
-    found = op3_jaccard.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    identity = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
+    found = op3_jaccard.jaccard_components(docs.select(identity.alias("doc_id"), "text"), SHINGLE, PERCENT)
+    per_row = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(F.col("doc_id") == F.col("component_id")).alias("_keep"))
+    special = written(per_row.where("_n > 1 OR NOT _keep"), "near-duplicates")
+    # Only rows that may go, or that repeat, are shuffled with their texts.
+    sketch = spark.sparkContext.broadcast(membership_sketch(special.select(F.xxhash64("_id").alias("key")), "key"))
+    keyed = docs.withColumn("_id", identity).withColumn("key", F.xxhash64("_id"))
+    checked = only(keyed, sketch, True).join(special, "_id", "left").where(F.coalesce("_keep", F.lit(True))).dropDuplicates(["_id"])
+    return only(keyed, sketch, False).select(*docs.columns).unionByName(checked.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

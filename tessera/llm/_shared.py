@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def membership_sketch(df: DataFrame, column: str, bits: int = 25) -> np.ndarray:
         .collect()  # at most 2**bits / 32768 rows of 4 KB
     )
     out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
-    for b, _, m in ((r.b, None, r.m) for r in rows):
+    for b, m in rows:
         # Values 1..32768 are in bucket 1, at positions 0..32767; 0 is in bucket 0, at its position's absolute value.
         out[b * 4096 : b * 4096 + 4096] |= np.frombuffer(bytes(m), np.uint8)
     return out
@@ -63,3 +65,13 @@ def in_sketch(sketch: np.ndarray, values: np.ndarray, bits: int = 25) -> np.ndar
     bucket = np.where(spot > 0, 1 + (spot - 1) // 32768, 0)
     place = np.where(spot > 0, (spot - 1) % 32768, 0)
     return (sketch[bucket * 4096 + place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1
+
+
+def only(rows: DataFrame, sketch, inside: bool, bits: int = 25) -> DataFrame:
+    """The rows whose long column ``key`` a broadcast sketch may hold, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_sketch(sketch.value, batch.column("key").to_numpy(), bits) == inside))
+
+    return rows.mapInArrow(run, rows.schema)

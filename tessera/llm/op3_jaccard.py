@@ -3,11 +3,13 @@
 The n-grams (word shingles) have one global order, that of their hashes. It is cut into fragments, and with it each
 document's set into segments:
 
-* Candidates: two sets of at least the threshold differ in so few n-grams that, with one fragment more than that, they
-  have an equal segment. Equal segments meet by a shuffle of their hashes; only links to the first document of each
-  meeting are made, and the connected groups of these are the candidate groups. The number of fragments depends on a
-  set's size class, and a set takes part in its own class and the next smaller one. A few spare fragments make up for
-  segments that are empty; sets with more empty ones than that also meet by these.
+* Candidates: two sets of at least the threshold differ in so few n-grams that, with more fragments than that, some of
+  their segments are equal. Equal segments meet by a shuffle of their hashes. Sets that meet others too seldom for a
+  link of theirs are out of it; the rest meets again. In a small meeting all pairs are noted,
+  and a pair stays if it meets as often as the threshold demands of sets of these sizes; in a larger one everybody is
+  linked with the first. The connected groups are the candidate groups. The number of fragments depends on a set's size
+  class, and a set takes part in its own class and the next smaller one. A few spare fragments make up for segments that
+  are empty; sets with more empty ones than that also meet by these.
 * Counting: the candidate groups are cut into blocks of bounded size, and for each pair of blocks partial overlaps
   are counted fragment by fragment and summed up per pair. The pairs over the threshold stay inside the task; it puts
   out a spanning forest of them.
@@ -40,6 +42,7 @@ BLOCK_DOCS = 2048
 BLOCK_GRAMS = 2_000_000
 DENSE_CELLS = 1 << 21
 FEW = 8
+SMALL_MEETING = 16
 
 
 def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +56,7 @@ def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spare(fragments: np.ndarray) -> np.ndarray:
-    return np.where(fragments > 1, 2 + fragments // 40, 0)
+    return np.where(fragments > 1, 2 + fragments // 10, 0)
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +94,51 @@ def set_hashes(grams: np.ndarray, owners: np.ndarray, n_rows: int) -> tuple[np.n
     return sizes, mix64(sums + sizes.astype(np.uint64)).astype(np.int64)
 
 
+def _marked(sigs: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Signatures whose last bit says whether their size class is odd; a set has two classes, one of each kind."""
+    return (sigs & ~np.uint64(1)) | (classes & 1).astype(np.uint64)
+
+
+def empty_segments(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many segments of each set are empty, in its own class and in the next smaller one."""
+    tops, needed = size_classes(int(sizes.max(initial=0)), percent)
+    fragments, own = needed + spare(needed), np.searchsorted(tops, sizes)
+    out = []
+    for step in (0, 1):
+        k = fragments[np.maximum(own - step, 0)]
+        place = ((grams >> np.uint64(32)) * k.astype(np.uint64)[owners]) >> np.uint64(32)
+        new = np.ones(len(grams), bool)
+        new[1:] = (place[1:] != place[:-1]) | (owners[1:] != owners[:-1])
+        out.append(k - np.bincount(owners[new], minlength=len(sizes)))
+    return out[0], out[1]
+
+
+def enough_meetings(sizes: tuple, empties: tuple, odd: np.ndarray, meetings: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sets meet as often, in the class of the smaller set, as a similarity of ``percent`` demands."""
+    (a, b), (a_own, a_below, b_own, b_below) = sizes, empties
+    tops, needed = size_classes(int(max(a.max(initial=0), b.max(initial=0))), percent)
+    fragments = needed + spare(needed)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    ca, cb = np.searchsorted(tops, a), np.searchsorted(tops, b)
+    c = np.minimum(ca, cb)
+    both_empty = np.minimum(np.where(ca == c, a_own, a_below), np.where(cb == c, b_own, b_below))
+    differ = (a + b) * (100 - percent) // (100 + percent)
+    least = np.maximum(1, fragments[c] - differ - both_empty)
+    return (100 * low >= percent * high) & (odd == c % 2) & (meetings >= least)
+
+
+def can_link(sizes: np.ndarray, own: np.ndarray, below: np.ndarray, even: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets have enough segments that others have too, for any link of theirs. ``even`` and ``odd`` count these
+    by class, ``own`` and ``below`` are the numbers of empty segments."""
+    tops, needed = size_classes(int(sizes.max(initial=0)), percent)
+    fragments, c = needed + spare(needed), np.searchsorted(tops, sizes)
+    lower = np.maximum(c - 1, 0)
+    least_own = fragments[c] - sizes * (100 - percent) // percent - own
+    least_below = fragments[lower] - (tops[lower] + sizes) * (100 - percent) // (100 + percent) - below
+    met_own, met_below = np.where(c % 2 == 1, odd, even), np.where(c % 2 == 1, even, odd)
+    return (met_own >= np.maximum(1, least_own)) | ((c > 0) & (met_below >= np.maximum(1, least_below)))
+
+
 def signatures(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the segments of each row's set, for its size class and the next smaller one, and their rows."""
     tops, needed = size_classes(int(sizes.max(initial=0)), percent)
@@ -113,13 +161,15 @@ def signatures(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(g))).astype(np.uint64)
         tag = mix64((c[r[at]].astype(np.uint64) << np.uint64(32)) ^ place[at])
-        sigs.append(mix64(np.add.reduceat(mix64(g), at) + count * np.uint64(0x9FB21C651E98DF25)) ^ tag)
+        full = mix64(np.add.reduceat(mix64(g), at) + count * np.uint64(0x9FB21C651E98DF25)) ^ tag
+        sigs.append(_marked(full, c[r[at]]))
         rows.append(r[at])
         filled = np.bincount(r[at], minlength=len(sizes))
         sparse = np.flatnonzero(ok & (k.astype(np.int64) - filled > spare(needed)[np.maximum(c, 0)]))
         for row in sparse:
             empty = np.setdiff1d(np.arange(int(k[row])), place[at][r[at] == row].astype(np.int64)).astype(np.uint64)
-            sigs.append(mix64(mix64((np.uint64(c[row]) << np.uint64(32)) ^ empty) ^ np.uint64(0xE7037ED1A0B428DB)))
+            full = mix64(mix64((np.uint64(c[row]) << np.uint64(32)) ^ empty) ^ np.uint64(0xE7037ED1A0B428DB))
+            sigs.append(_marked(full, np.full(len(empty), c[row])))
             rows.append(np.full(len(empty), row))
     if not sigs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -127,56 +177,140 @@ def signatures(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent
 
 
 def _described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, node (hash of the set; null if empty), n_shingles, sigs (none where the task has had the same set)."""
+    """doc_id, node (hash of the set; null if empty), n_shingles, e_own, e_below (empty segments in its two classes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            grams, owners = shingle_sets(batch.column("text"), shingle)
+            sizes, nodes = set_hashes(grams, owners, batch.num_rows)
+            own, below = empty_segments(grams, owners, sizes, percent)
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64(), mask=sizes == 0), *(pa.array(x, pa.int64()) for x in (sizes, own, below))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "e_own", "e_below"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, e_own long, e_below long")
+
+
+def _segments(docs: DataFrame, shingle: int, percent: int, sketch=None) -> DataFrame:
+    """sig, node: the signatures of each set, or of those in the sketch; a task puts out equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
         for batch in slices(batches):
             grams, owners = shingle_sets(batch.column("text"), shingle)
             sizes, nodes = set_hashes(grams, owners, batch.num_rows)
-            first = np.zeros(batch.num_rows, bool)
-            for i, node in enumerate(nodes.tolist()):
-                if sizes[i] and node not in had:
-                    had.add(node)
-                    first[i] = True
+            first = sizes > 0
+            if sketch is not None:
+                first &= in_sketch(sketch.value, nodes)
+            for i in np.flatnonzero(first):
+                if (node := int(nodes[i])) in had:
+                    first[i] = False
+                had.add(node)
             use = first[owners]
             sigs, rows = signatures(grams[use], owners[use], np.where(first, sizes, 0), percent)
-            order = np.argsort(rows, kind="stable")
-            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(nodes, pa.int64(), mask=sizes == 0),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sigs[order])),
-                ],
-                ["doc_id", "node", "n_shingles", "sigs"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(nodes[rows])], ["sig", "node"])
+
+    return docs.select("text").mapInArrow(run, "sig long, node long")
+
+
+def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of whole meetings (runs of equal signatures): all with kind 0 or 1 (is the class odd) of a small meeting,
+    those with the first one, of kind 2, of a larger one."""
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    run, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    size = np.diff(np.append(start, len(sig)))[run] if len(sig) else run
+    large = np.flatnonzero((size > SMALL_MEETING) & ~new)
+    a, b, kind = [node[start[run[large]]]], [node[large]], [np.full(len(large), 2)]
+    small = np.flatnonzero((size > 1) & (size <= SMALL_MEETING))
+    r, v, s = run[small], node[small], sig[small]
+    for step in range(1, SMALL_MEETING):
+        same = np.flatnonzero(r[step:] == r[:-step])
+        if not len(same):
+            break
+        a.append(v[same])
+        b.append(v[same + step])
+        kind.append(s[same] & 1)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(kind)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, sigs array<long>")
 
+def _candidates(docs: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose connected groups hold every pair over the threshold."""
 
-def _meetings(described: DataFrame) -> DataFrame:
-    """Links (a, b) between the first node of each equal segment and its other nodes."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by signature and node. A run that is cut off waits for its rest; of a large one the first waits."""
+        sig, node, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def batch_of(a, b, kind) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind, pa.int64())], ["a", "b", "kind"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig0, node0 = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, node = (batch.column(c).to_numpy() for c in ("sig", "node"))
+            s, v = (batch.column(c).to_numpy() for c in ("sig", "node"))
+            if large is not None:
+                rest = int(np.searchsorted(s != large[0], True))  # leading rows of the large run
+                own = v[:rest][v[:rest] != large[1]]
+                yield batch_of(np.full(len(own), large[1]), own, np.full(len(own), 2))
+                s, v = s[rest:], v[rest:]
+                if not len(s):
+                    continue
+                large = None
+            sig, node = np.concatenate([sig, s]), np.concatenate([node, v])
             new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            new[0] = sig[0] != sig0
-            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            first = np.where(at >= 0, node[np.maximum(at, 0)], node0 if node0 is not None else 0)
-            sig0, node0 = sig[-1], first[-1]
-            link = first != node
-            yield pa.RecordBatch.from_arrays([pa.array(first[link]), pa.array(node[link])], ["a", "b"])
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            last = int(np.searchsorted(sig, sig[-1]))
+            yield batch_of(*meetings(sig[:last], node[:last]))
+            sig, node = sig[last:], node[last:]
+            if len(sig) > SMALL_MEETING:
+                yield batch_of(*meetings(sig, node))
+                large, sig, node = (sig[0], node[0]), sig[:0], node[:0]
+        yield batch_of(*meetings(sig, node))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose signature another node has, too. The last row waits for what comes after it."""
+        sig, node, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            held = len(sig)
+            sig, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((sig, "sig"), (node, "node")))
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            same = sig[1:] == sig[:-1]
+            meets = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            out = meets.copy()
+            out[0] &= not (held and told)
+            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(sig[out] & 1)], ["node", "odd"])
+            told = bool(meets[-1]) or (len(sig) == 1 and told)
+            sig, node = sig[-1:], node[-1:]
+
+    def linkable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, o, b, even, odd = (batch.column(c).to_numpy() for c in ("n", "o", "b", "even", "odd"))
+            yield batch.filter(pa.array(can_link(n, o, b, even, odd, percent)))
 
-    segments = described.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "node")
-    return segments.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long")
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+            ok = enough_meetings((c["na"], c["nb"]), (c["oa"], c["ba"], c["ob"], c["bb"]), c["kind"], c["n"], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
+
+    ordered = lambda df: df.repartition("sig").sortWithinPartitions("sig", "node")
+    counts = ordered(_segments(docs, shingle, percent)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
+        F.count_if(F.col("odd") == 0).alias("even"), F.count_if(F.col("odd") == 1).alias("odd")
+    )
+    every = described.where("node IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("e_own").alias("o"), F.max("e_below").alias("b"))
+    met_others = every.join(counts, "node")
+    nodes = written(met_others.mapInArrow(linkable, met_others.schema), "jaccard-linkable")
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes, "node"))
+    met = ordered(_segments(docs, shingle, percent, sketch)).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    met = written(met, "jaccard-meetings")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("b").alias(f"b{x}"))
+    pairs = met.where("kind < 2").join(side("a"), "a").join(side("b"), "b").mapInArrow(filtered, "a long, b long")
+    return met.where("kind = 2").select("a", "b").unionByName(pairs)
 
 
 def overlaps(grams: np.ndarray, owners: np.ndarray, n: int, split: int = 0) -> np.ndarray:
@@ -239,13 +373,13 @@ def linked(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, split: int,
 
 def _block_links(docs: DataFrame, described: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) over the threshold inside the candidate groups: a spanning forest for each pair of blocks."""
-    members = described.where("size(sigs) > 0").select("doc_id", "node", "n_shingles").join(groups, "node")
-    nodes = members.groupBy("node", "root").agg(F.max("n_shingles").alias("n"))
+    members = described.where("node IS NOT NULL").join(groups, "node")
+    nodes = written(members.groupBy("node", "root").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")), "jaccard-members")
     per_group = nodes.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
     placed = nodes.join(per_group, "root").select("node", "root", "blocks", F.pmod("node", "blocks").cast("int").alias("block"))
-    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(members.select(F.xxhash64("doc_id").alias("key")), "key"))
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
@@ -301,7 +435,7 @@ def _block_links(docs: DataFrame, described: DataFrame, groups: DataFrame, shing
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for ``docs`` (doc_id, text): sets link at a similarity of ``percent`` / 100."""
     described = written(_described(docs, shingle, percent), "jaccard-sets")
-    groups = components(_meetings(described))
+    groups = components(_candidates(docs, described, shingle, percent))
     roots = components(_block_links(docs, described, groups, shingle, percent))
     own = described.where("node IS NOT NULL").select("doc_id", "n_shingles", "node")
     labelled = own.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("label"))

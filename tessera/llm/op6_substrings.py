@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import in_sketch, membership_sketch, written
+from tessera.llm._shared import in_sketch, membership_sketch, only, written
 from tessera.llm._words import gram_hashes, slices, text_buffer, word_hashes, word_spans
 
 WINDOW = 50
@@ -207,16 +207,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.hash("text").cast("long").alias("th"), F.xxhash64("doc_id").alias("key"))
 
 
-def _only(rows: DataFrame, sketch, inside: bool) -> DataFrame:
-    """The rows whose key the sketch may hold, or the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_sketch(sketch.value, batch.column("key").to_numpy()) == inside))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def covered_spans(docs: DataFrame, window: int = WINDOW, bits: int = 25) -> DataFrame:
     """doc_id, th (text hash), spans (array of start, stop in words) of the documents that lose words."""
     spark, keyed = docs.sparkSession, _keyed(docs)
@@ -270,7 +260,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, bits: int = 25) -> Data
             columns = zip(*out, strict=True) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "th", "start", "stop"])
 
-    cuts = _only(keyed, sketch, True).drop("key").join(needed, ["doc_id", "th"]).mapInArrow(cut, "shard long, salt long, kind int, doc_id long, th long, lo long, words binary")
+    cuts = only(keyed, sketch, True, bits).drop("key").join(needed, ["doc_id", "th"]).mapInArrow(cut, "shard long, salt long, kind int, doc_id long, th long, lo long, words binary")
     ordered = cuts.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "th", "lo")
     spans = ordered.mapInArrow(match, "doc_id long, th long, start long, stop long")
     return spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
@@ -300,8 +290,8 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = True,
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
     keyed = _keyed(docs)
     none = F.lit(None).cast("array<struct<start:long,stop:long>>")
-    others = _only(keyed, sketch, False).select("doc_id", "text", none.alias("spans"))
-    losing = _only(keyed, sketch, True).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    others = only(keyed, sketch, False, bits).select("doc_id", "text", none.alias("spans"))
+    losing = only(keyed, sketch, True, bits).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     return others.mapInArrow(run, schema).unionByName(losing.mapInArrow(run, schema))
 
 

@@ -98,3 +98,36 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_linked_sets_meet_often_enough(percent):
+    rng = np.random.default_rng(percent + 1)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 64, rng.integers(1, 150), dtype=np.uint64))
+        i = int(rng.integers(len(a) * percent // 100, len(a) + 1))
+        extra = rng.integers(0, 1 << 64, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[len(a) - i :], extra]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        grams, owners, sizes = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)])
+        sigs, rows = m.signatures(grams, owners, sizes, percent)
+        own, below = m.empty_segments(grams, owners, sizes, percent)
+        shared = np.array(sorted(set(sigs[rows == 0]) & set(sigs[rows == 1])))
+        ok = [m.enough_meetings((sizes[:1], sizes[1:]), (own[:1], below[:1], own[1:], below[1:]), np.array([odd]), np.array([int((shared & 1 == odd).sum())]), percent)[0] for odd in (0, 1)]
+        assert any(ok)
+        for x in (0, 1):
+            even, odd = ([int((shared & 1 == k).sum())] for k in (0, 1))
+            assert m.can_link(sizes[x : x + 1], own[x : x + 1], below[x : x + 1], np.array(even), np.array(odd), percent)[0]
+
+
+def test_meetings_cut_by_batches(spark, monkeypatch):
+    monkeypatch.setattr(m, "SMALL_MEETING", 4)
+    rows = [(i, f"one two three four five {'x' if i % 2 else 'y'} " + f"tail{i} " * (i % 3)) for i in range(40)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert ours(spark, rows, 2, 50) == brute(rows, 2, 50)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
