@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,56 +80,72 @@ def _repeats(docs: DataFrame, window: int, bits: int) -> DataFrame:
     sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(_shared_anchors(docs, window), "h", bits))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different window of a text, with all its spots: texts that repeat themselves make few rows."""
         for batch in slices(batches):
             hashes, anchors, rows, at = _anchored(batch.column("text"), window)
-            keep = in_sketch(sketch.value, anchors, bits)
-            rows, at = rows[keep], at[keep]
+            keep = np.flatnonzero(in_sketch(sketch.value, anchors, bits))
+            hashes, rows, at = hashes[keep].astype(np.int64), rows[keep], at[keep]
+            order = np.lexsort((at, hashes, rows))
+            hashes, rows, at = hashes[order], rows[order], at[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+            first = np.flatnonzero(new)
             spot = (batch.column("th").to_numpy()[rows] << 32) | at
+            offsets = np.append(first, len(rows)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].astype(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(spot)], ["w", "doc_id", "spot"]
+                [pa.array(hashes[first]), batch.column("doc_id").take(pa.array(rows[first])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot))],
+                ["w", "doc_id", "spots"],
             )
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by window, document and spot."""
+        """Rows come ordered by window, document and spots."""
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w, doc, spot = (batch.column(c).to_numpy() for c in ("w", "doc_id", "spot"))
+            w, doc = (batch.column(c).to_numpy() for c in ("w", "doc_id"))
+            spots, lens = batch.column("spots").flatten().to_numpy(), pc.list_value_length(batch.column("spots")).to_numpy()
+            own = spots[np.cumsum(lens) - lens]
             new = np.ones(len(w), bool)
             new[1:] = w[1:] != w[:-1]
             new[0] = last is None or w[0] != last[0]
             at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
             held = last or (0, 0, 0)
             first_doc = np.where(at >= 0, doc[np.maximum(at, 0)], held[1])
-            first_spot = np.where(at >= 0, spot[np.maximum(at, 0)], held[2])
+            first_spot = np.where(at >= 0, own[np.maximum(at, 0)], held[2])
             last = (w[-1], first_doc[-1], first_spot[-1])
-            hit = doc > first_doc
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, spot, first_doc, first_spot)], ["doc_id", "spot", "first_doc", "first_spot"])
+            each = np.repeat(np.arange(len(w)), lens)
+            hit = (doc > first_doc)[each]
+            each = each[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[each], spots[hit], first_doc[each], first_spot[each])], ["doc_id", "spot", "first_doc", "first_spot"])
 
-    rows = docs.where("doc_id IS NOT NULL").mapInArrow(windows, "w long, doc_id long, spot long")
-    ordered = rows.repartition("w").sortWithinPartitions("w", "doc_id", "spot")
+    rows = docs.where("doc_id IS NOT NULL").mapInArrow(windows, "w long, doc_id long, spots array<long>")
+    ordered = rows.repartition("w").sortWithinPartitions("w", "doc_id", "spots")
     return ordered.mapInArrow(firsts, "doc_id long, spot long, first_doc long, first_spot long")
 
 
 def _stretches(repeats: DataFrame) -> DataFrame:
-    """Runs of repeated windows that are also a run, within one piece, in the same first document: with n windows."""
+    """Runs of n repeated windows whose first occurrences are in the same piece of the same text, with the span of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             doc, spot, fdoc, fspot = (batch.column(c).to_numpy() for c in ("doc_id", "spot", "first_doc", "first_spot"))
+            other = np.ones(len(doc), bool)  # repeated rows have the same spots
+            other[1:] = (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1])
+            doc, spot, fdoc, fspot = doc[other], spot[other], fdoc[other], fspot[other]
             new = np.ones(len(doc), bool)
-            piece = (fspot & 0xFFFFFFFF) // PIECE
-            new[1:] = (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1] + 1) | (fdoc[1:] != fdoc[:-1]) | (fspot[1:] != fspot[:-1] + 1) | (piece[1:] != piece[:-1])
+            piece = (fspot >> 32 << 32) + (fspot & 0xFFFFFFFF) // PIECE
+            new[1:] = (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1] + 1) | (fdoc[1:] != fdoc[:-1]) | (piece[1:] != piece[:-1])
             at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(doc)))
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (doc, spot, fdoc, fspot)] + [pa.array(n)], ["doc_id", "spot", "first_doc", "first_spot", "n"])
+            n, low = np.diff(np.append(at, len(doc))), np.minimum.reduceat(fspot, at)
+            span = np.maximum.reduceat(fspot, at) - low + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], spot[at], n, fdoc[at], low, span)], ["doc_id", "spot", "n", "first_doc", "first_spot", "span"])
 
     text = F.call_function("shiftright", F.col("spot"), F.lit(32))
     ordered = repeats.withColumn("t", text).repartition("doc_id", "t").sortWithinPartitions("doc_id", "spot").drop("t")
-    return ordered.mapInArrow(run, "doc_id long, spot long, first_doc long, first_spot long, n long")
+    return ordered.mapInArrow(run, "doc_id long, spot long, n long, first_doc long, first_spot long, span long")
 
 
 class SuffixAutomaton:
@@ -212,10 +229,10 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, bits: int = 25) -> Data
     spark, keyed = docs.sparkSession, _keyed(docs)
     runs = written(_stretches(_repeats(keyed, window, bits)), "repeated-stretches")
     high, low = (lambda c: F.call_function("shiftright", F.col(c), F.lit(32))), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    placed = runs.select("doc_id", high("spot").alias("th"), low("spot").alias("lo"), "n", "first_doc", high("first_spot").alias("fth"), low("first_spot").alias("flo"))
+    placed = runs.select("doc_id", high("spot").alias("th"), low("spot").alias("lo"), "n", "first_doc", high("first_spot").alias("fth"), low("first_spot").alias("flo"), "span")
     placed = placed.withColumn("piece", F.floor(F.col("flo") / PIECE))
     reference = written(
-        placed.groupBy("first_doc", "fth", "piece").agg(F.min("flo").alias("lo"), (F.max(F.col("flo") + F.col("n")) - F.min("flo")).alias("n")), "reference"
+        placed.groupBy("first_doc", "fth", "piece").agg(F.min("flo").alias("lo"), (F.max(F.col("flo") + F.col("span")) - F.min("flo")).alias("n")), "reference"
     )
     words = reference.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0]
     shard = lambda *key: F.pmod(F.xxhash64(*key), F.lit(int(words // SHARD_WORDS + 1)))
