@@ -34,6 +34,7 @@ HASHES = 2
 SHARE = 1.5
 LEAST = 3
 MOST_LANGUAGES = 64
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -108,7 +109,7 @@ class LanguageFilters:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         codes, rows = _codes(batch.column("text"))
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
@@ -157,7 +158,7 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, masks, kind = shared.value
         filters = LanguageFilters(languages, np.frombuffer(zlib.decompress(masks), kind))
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             best, score = filters.score(batch.column("text"))
             pred = pa.array([filters.languages[i] if i >= 0 else UNKNOWN for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, pred, pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
