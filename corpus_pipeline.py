@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next one.
 
 Rejected by language ID: documents without a letter, and those whose best language holds fewer than LEAST_SCORE of
-their n-grams. Of near duplicates (five-word shingles, similarity 0.8) the smallest id stays; documents without words
+their n-grams; nothing, where no labels let it learn an n-gram. Of near duplicates (five-word shingles, similarity 0.8) the smallest id stays; documents without words
 have no near duplicates. Documents that share a template window with a benchmark item go. Secrets are masked in place.
 The mix puts out each document once per copy, numbered in ``copy``.
 
@@ -22,7 +22,10 @@ PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = op10_language.predict(docs, op10_language.fit(docs))
+    model = op10_language.fit(docs)
+    if not model.knows():
+        return docs
+    known = op10_language.predict(docs, model)
     return known.where((F.col("lang_pred") != op10_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -2,11 +2,12 @@
 
 One bit-sliced Bloom filter holds the n-grams of all languages: each slot is a mask with one bit per language, and
 the AND of an n-gram's slots gives all languages that contain it in one look-up. A language's score is the share of
-the text's n-grams that it contains, corrected for its filter's false positives.
+the text's n-grams that it contains, corrected for its filter's false positives. A second filter holds the n-grams
+that are typical of a language, used SHARE times as often as by the languages on average; the language with the largest
+sum of both shares is taken, so languages that share their n-grams are told apart where that's possible, and score alike.
 
 Fitting is bounded: SAMPLE_DOCS labelled documents per language at most (drawn by a hash of the id), of which each
-language keeps the n-grams that it uses SHARE times as often as the languages on average. Prediction reads every
-n-gram of the whole text.
+language keeps all n-grams that it uses LEAST times. Prediction reads every n-gram of the whole text.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0; null ids are not learned from;
 empty tables give no rows, and with nothing learned every text is ``und``; equal scores go to the smallest
@@ -34,6 +35,7 @@ HASHES = 2
 SHARE = 1.5
 LEAST = 3
 MOST_LANGUAGES = 64
+WORD = 64
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -78,29 +80,48 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class LanguageFilters:
-    """The fitted filters: ``masks`` (SLOTS integers), ``languages`` by bit, false positive rate by bit."""
+    """The fitted filters: ``masks`` (SLOTS integers for each WORD languages) of contained n-grams, ``typical`` ones alike."""
 
-    def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
-        filled = [np.count_nonzero(masks >> masks.dtype.type(b) & masks.dtype.type(1)) / SLOTS for b in range(len(languages))]
-        self.false = np.array([f**HASHES for f in filled])
+    def __init__(self, languages: list[str], masks: np.ndarray, typical: np.ndarray | None = None):
+        self.languages, self.masks = languages, np.atleast_2d(masks)
+        self.typical = np.zeros_like(self.masks) if typical is None else np.atleast_2d(typical)
+        self.false, self.false_typical = (self._false(m) for m in (self.masks, self.typical))
+
+    def _false(self, masks: np.ndarray) -> np.ndarray:
+        """The false positive rate of each language."""
+        return np.array([(np.count_nonzero(self._bit(masks, b)) / SLOTS) ** HASHES for b in range(len(self.languages))])
+
+    @staticmethod
+    def _bit(masks, b: int) -> np.ndarray:
+        word = masks[b // WORD]
+        return word & word.dtype.type(1 << b % WORD) != 0
+
+    def knows(self) -> bool:
+        """Whether any n-gram was learned."""
+        return bool(self.masks.any())
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Best language (-1: none) and its score for each text."""
         codes, rows = _codes(column)
         n, k = len(column), len(self.languages)
-        total, hits = np.zeros(n), np.zeros((n, k))
+        total, hits, marks = np.zeros(n), np.zeros((n, k)), np.zeros((n, k))
         for grams, of in _grams(codes, rows):
-            first, *rest = _slots(grams)
-            found = self.masks[first]
-            for s in rest:
-                found = found & self.masks[s]
+            slots = _slots(grams)
             total += np.bincount(of, minlength=n)
-            for b in range(k):  # the popcount of each language's slice, by text
-                hits[:, b] += np.bincount(of[(found >> found.dtype.type(b) & found.dtype.type(1)).astype(bool)], minlength=n)
-        share = hits / np.maximum(total, 1)[:, None]
-        corrected = np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
-        best = corrected.argmax(1) if k else np.zeros(n, int)
+            for masks, counts in ((self.masks, hits), (self.typical, marks)):
+                found = []
+                for word in masks:
+                    both = word[slots[0]]
+                    for s in slots[1:]:
+                        both &= word[s]
+                    found.append(both)
+                for b in range(k):  # the popcount of each language's slice, by text
+                    counts[:, b] += np.bincount(of[self._bit(found, b)], minlength=n)
+        corrected, typical = (
+            np.clip((counts / np.maximum(total, 1)[:, None] - false) / np.maximum(1 - false, 1e-9), 0, 1)
+            for counts, false in ((hits, self.false), (marks, self.false_typical))
+        )
+        best = (corrected + typical).argmax(1) if k else np.zeros(n, int)
         score = corrected[np.arange(n), best] if k else np.zeros(n)
         none = (total == 0) | (k == 0)
         # Single letters hold no n-gram without a mark; they count as text with letters.
@@ -138,26 +159,30 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     per_lang = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(max(totals.get(lang, 1), 1)))])
     rates = counts.withColumn("rate", F.col("n") / F.element_at(per_lang, F.col("lang")))
     by_gram = rates.groupBy("gram").agg(F.sum("rate").alias("all"), F.collect_list(F.struct("lang", "n", "rate")).alias("each"))  # one entry a language
-    chosen = by_gram.select("gram", "all", F.explode("each").alias("e")).where((F.col("e.n") >= LEAST) & (F.col("e.rate") * len(languages) >= F.col("all") * SHARE))
-    bit = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
-    masked = chosen.select("gram", F.call_function("shiftleft", F.lit(1).cast("long"), F.element_at(bit, F.col("e.lang"))).alias("mask"))
+    chosen = by_gram.select("gram", "all", F.explode("each").alias("e")).where(F.col("e.n") >= LEAST)
+    number = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col("e.lang"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(WORD)))
+    often = F.col("e.rate") * len(languages) >= F.col("all") * SHARE
+    masked = chosen.select("gram", F.floor(number / WORD).alias("word"), mask.alias("mask"), F.when(often, mask).otherwise(0).alias("typical"))
     slots = F.array(*[F.call_function("shiftrightunsigned", F.col("gram"), F.lit(32 * k)).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)])
-    sliced = masked.select(F.explode(slots).alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= most)
-    masks = np.zeros(SLOTS, kind)
-    rows = sliced.toArrow()  # at most SLOTS rows
-    masks[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(np.uint64).astype(kind)
-    return LanguageFilters(languages, masks)
+    sliced = masked.select(F.explode(slots).alias("slot"), "word", "mask", "typical").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"), F.bit_or("typical").alias("typical"))
+    kind = next((t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= most), np.uint64)
+    masks, typical = np.zeros((2, -(-len(languages) // WORD), SLOTS), kind)
+    rows = sliced.toArrow()  # at most SLOTS rows for each WORD languages
+    at = rows.column("word").to_numpy(), rows.column("slot").to_numpy()
+    masks[at] = rows.column("mask").to_numpy().astype(np.uint64).astype(kind)
+    typical[at] = rows.column("typical").to_numpy().astype(np.uint64).astype(kind)
+    return LanguageFilters(languages, masks, typical)
 
 
 def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """``docs`` with lang_pred and score; all columns of ``docs`` stay."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, zlib.compress(model.masks.tobytes(), 1), model.masks.dtype.str))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, [zlib.compress(m.tobytes(), 1) for m in (model.masks, model.typical)], model.masks.dtype.str))
     plain = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, masks, kind = shared.value
-        filters = LanguageFilters(languages, np.frombuffer(zlib.decompress(masks), kind))
+        filters = LanguageFilters(languages, *(np.frombuffer(zlib.decompress(m), kind).reshape(-1, SLOTS) for m in masks))
         for batch in slices(batches, limit=SLICE_BYTES):
             best, score = filters.score(batch.column("text"))
             pred = pa.array([filters.languages[i] if i >= 0 else UNKNOWN for i in best], pa.string())

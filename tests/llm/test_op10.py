@@ -57,3 +57,23 @@ def test_remainder_matches_crc32(spark):
     got = spark.range(50).select("id", m.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
     assert spark.range(1).select(F.lit(None).cast("long").alias("i")).select(m.held_out("i").alias("h")).first().h is False
+
+
+def learned(spark, langs):
+    words = {"de": "der schnelle braune fuchs springt weit über {} faule hunde"}
+    rows = [(i, words.get(lang, "the quick brown fox {} jumps over lazy dogs").format(i), lang, "s", 1) for lang in langs for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, m.predict(docs, m.fit(docs)).collect()
+
+
+def test_one_language_twins_and_no_labels_stay(spark):
+    import corpus_pipeline
+
+    for langs in (["en"], ["en", "en-GB"], ["de", "en", "en-AU", "en-GB", "en-US"]):
+        docs, got = learned(spark, langs)
+        assert all(r.lang_pred[:2] == r.lang[:2] and r.score > 0.9 for r in got)
+        assert corpus_pipeline.language_id(spark, docs, "").count() == docs.count()
+    for langs in ([None], []):
+        docs, got = learned(spark, langs)
+        assert {r.lang_pred for r in got} <= {"und"}
+        assert corpus_pipeline.language_id(spark, docs, "").count() == docs.count()
