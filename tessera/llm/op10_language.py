@@ -7,7 +7,8 @@ that are typical of a language, used SHARE times as often as by the languages on
 sum of both shares is taken, so languages that share their n-grams are told apart where that's possible, and score alike.
 
 Fitting is bounded: SAMPLE_DOCS labelled documents per language at most (drawn by a hash of the id), of which each
-language keeps all n-grams that it uses LEAST times. Prediction reads every n-gram of the whole text.
+language keeps all n-grams that it uses LEAST times. All languages take part, WORD of them in each integer of a slot (the
+filters, on the driver and on each executor, take 16 MB for each WORD languages). Prediction reads every n-gram of the whole text.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0; null ids are not learned from;
 empty tables give no rows, and with nothing learned every text is ``und``; equal scores go to the smallest
@@ -34,7 +35,6 @@ SLOTS = 1 << 20
 HASHES = 2
 SHARE = 1.5
 LEAST = 3
-MOST_LANGUAGES = 64
 WORD = 64
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -131,14 +131,15 @@ class LanguageFilters:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SLICE_BYTES):
+        batch = batch.sort_by("lang")
         codes, rows = _codes(batch.column("text"))
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
-        of_row = np.array([names.index(x) for x in langs])
+        of_row = np.searchsorted(names, langs)
         for grams, of in _grams(codes, rows):
-            lang = of_row[of]
+            ends = np.searchsorted(of_row[of], np.arange(len(names) + 1))
             for i, name in enumerate(names):
-                values, counts = np.unique(grams[lang == i], return_counts=True)
+                values, counts = np.unique(grams[ends[i] : ends[i + 1]], return_counts=True)
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([name] * len(values), pa.string()), "gram": values.astype(np.int64), "n": counts.astype(np.int64)}
                 )
@@ -147,13 +148,13 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     """Learns from ``labelled`` (doc_id, text, lang): at most about ``sample_docs`` documents of each language."""
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters([], np.zeros(SLOTS, np.uint8))
     keep = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_docs / sizes[lang]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < F.element_at(keep, F.col("lang")) * (1 << 20)
-    sample = known.where(F.col("lang").isin(languages)).where(drawn).select("lang", "text")
+    sample = known.where(drawn).select("lang", "text")
     counts = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     per_lang = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(max(totals.get(lang, 1), 1)))])

@@ -77,3 +77,17 @@ def test_one_language_twins_and_no_labels_stay(spark):
         docs, got = learned(spark, langs)
         assert {r.lang_pred for r in got} <= {"und"}
         assert corpus_pipeline.language_id(spark, docs, "").count() == docs.count()
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    import random
+
+    names = [f"l{i:03}" for i in range(130)]
+    rows = []
+    for i, name in enumerate(names):
+        rng = random.Random(i)
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(i * 10 + j, " ".join(rng.sample(words, 12)), name) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = m.predict(docs, m.fit(docs)).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred and r.score > 0.9 for r in got)
