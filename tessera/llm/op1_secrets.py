@@ -1,7 +1,9 @@
 """Secret scans with a random forest for false-positive removal, in DataFrame and pyspark.ml operations only.
 
-Candidates are runs of at least LEAST_LENGTH token characters with a digit, or of mixed case, in a word. Each carries its
-length, character transitions, dictionary coverage, path features and its neighbouring words. A random forest trained
+Candidates are all runs of at least LEAST_LENGTH token characters in words with a digit or mixed case; runs that dots
+join are one, and what is assigned to a secret's name inside the word needs LEAST_NAMED characters only. Each carries its
+length, character transitions, dictionary coverage, path features, its neighbouring words and the text beside it in its
+word. A random forest trained
 on labelled findings gives the probability that it is a secret; those below the threshold are false positives.
 
 The forest, the dictionary and the transition table are fitted on at most about SAMPLE findings of each label (drawn by
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import written
 
 LEAST_LENGTH = 16
+LEAST_NAMED = 8
 SAMPLE = 4000
 THRESHOLD = 0.5
 TREES = 30
@@ -34,7 +37,18 @@ TRANSITIONS = 300
 MASK = "[SECRET]"
 TOKEN = rf"[A-Za-z0-9+/=_\-]{{{LEAST_LENGTH},}}"
 #: Words that name a secret where it is assigned, and words of example paths (fixed values).
-NAMES = r"(?i)^[\"']?(?:.*[_.\-])?(token|secret|password|passwd|pwd|apikey|api_key|access_key|auth|bearer|credential|private_key)[\"']?[:=]*$"
+NAME = "(?:token|secret|password|passwd|pwd|apikey|api_key|access_key|auth|bearer|credential|private_key)"
+NAMES = rf"(?i)^[\"']?(?:.*[_.\-])?{NAME}[\"']?[:=]*$"
+#: One match for each candidate of a word: long values, dotted ones as a whole; shorter ones of a secret's name; other runs.
+_RUN, _VALUE = r"[A-Za-z0-9+/=_\-]", r"[A-Za-z0-9+/_\-]"
+_LONG = rf"{_VALUE}{{{LEAST_LENGTH},}}"
+FOUND = (
+    rf"{_LONG}={{0,2}}(?:(?:\.{_VALUE}{{1,{LEAST_LENGTH - 1}}}){{0,3}}\.{_LONG}={{0,2}}){{0,64}}"
+    rf"|(?<=(?i:{NAME})[\"']?(?::=|=>|[:=])[\"']?){_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
+    rf"|(?!{_RUN}*{_LONG})(?!{_RUN}*(?i:{NAME})={_VALUE}{{{LEAST_NAMED}}}){TOKEN}"
+)
+#: So many characters of a neighbour are kept.
+NEAR = 100
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
 FEATURES = [
     "length", "digits", "uppers", "symbols", "distinct", "changes", "common", "coverage", "longest", "hexadecimal",
@@ -43,13 +57,17 @@ FEATURES = [
 
 
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
-    """All candidates of ``docs`` (doc_id, text, path column) with position and neighbouring words."""
+    """All candidates of ``docs`` (doc_id, text, path column): word number, number in the word, neighbouring words, text beside."""
     place = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
     words = docs.select("doc_id", place.alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
     near = """filter(transform(w, (x, i) -> if(length(x) >= {n} and x rlike '[0-9]|[a-z][A-Z]',
-        struct(i as pos, x as word, get(w, i - 2) as before2, get(w, i - 1) as before1, get(w, i + 1) as after1), null)), x -> x is not null)"""
-    each = words.select("doc_id", "path", F.explode(F.expr(near.format(n=LEAST_LENGTH))).alias("f")).select("doc_id", "path", "f.*")
-    return each.withColumn("candidate", F.regexp_extract("word", TOKEN, 0)).where(F.length("candidate") >= LEAST_LENGTH)
+        struct(i as pos, x as word, right(get(w, i - 2), {k}) as before2, right(get(w, i - 1), {k}) as before1, left(get(w, i + 1), {k}) as after1), null)), x -> x is not null)"""
+    each = words.select("doc_id", "path", F.explode(F.expr(near.format(n=LEAST_LENGTH, k=NEAR))).alias("f")).select("doc_id", "path", "f.*")
+    runs = each.withColumns({"runs": F.regexp_extract_all("word", F.lit(FOUND), F.lit(0)), "gaps": F.split("word", FOUND)}).where(F.size("runs") > 0)
+    beside = """transform(runs, (x, i) -> struct(i as run, x as candidate,
+        right(concat(coalesce(get(runs, i - 1), ''), get(gaps, i)), {k}) as left, left(concat(get(gaps, i + 1), coalesce(get(runs, i + 1), '')), {k}) as right))"""
+    names = ["doc_id", "path", "pos", "before2", "before1", "after1"]
+    return runs.select(*names, F.explode(F.expr(beside.format(k=NEAR))).alias("r")).select(*names, "r.*")
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -86,7 +104,7 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
         c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hexadecimal"),
         (F.coalesce(F.col("before1").rlike(NAMES), F.lit(False)) | F.coalesce(F.col("before2").rlike(NAMES), F.lit(False))).cast("double").alias("named"),
         F.coalesce(F.col("before1").rlike("[:=]>?$"), F.lit(False)).cast("double").alias("assigned"),
-        F.col("word").rlike("^[\"'`]").cast("double").alias("quoted"),
+        F.col("left").rlike("[\"'`]$").cast("double").alias("quoted"),
         clean(F.col("before1")).isin(dictionary or [""]).cast("double").alias("known_before"),
         clean(F.col("after1")).isin(dictionary or [""]).cast("double").alias("known_after"),
         F.col("path").rlike(EXAMPLE_PATH).cast("double").alias("path_example"),
@@ -112,7 +130,7 @@ class SecretModel:
 def train(labels: DataFrame, sample: int = SAMPLE) -> SecretModel:
     """Fits on ``labels`` (findings with label), at most about ``sample`` of each label."""
     counts = {r.label: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = F.pmod(F.xxhash64("candidate", "pos", "doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.pmod(F.xxhash64("candidate", "pos", "run", "doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("label") == 1.0, sample / max(counts.get(1.0, 1), 1)).otherwise(sample / max(counts.get(0.0, 1), 1))
     kept = written(labels.where(drawn < share), "secret-labels")
     if len(counts) < 2:
@@ -123,20 +141,20 @@ def train(labels: DataFrame, sample: int = SAMPLE) -> SecretModel:
     pairs = vocabulary.select("n", F.explode(F.expr("transform(sequence(1, length(x) - 1), i -> substr(x, i, 2))")).alias("p"))
     transitions = [r.p for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(TRANSITIONS).collect()]
     # The bounded sample in one ordered partition makes the forest the same in each run.
-    rows = featured(kept, dictionary, transitions).repartition(1).sortWithinPartitions("doc_id", "pos", "candidate")
+    rows = featured(kept, dictionary, transitions).repartition(1).sortWithinPartitions("doc_id", "pos", "run", "candidate")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=6, seed=11)
     fitted = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows.select("label", *FEATURES))
     return SecretModel(dictionary, transitions, fitted)
 
 
 def scan(docs: DataFrame, model: SecretModel | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """All findings of ``docs``: doc_id, pos (word number), candidate, probability, is_secret."""
+    """All findings of ``docs``: doc_id, pos (word number), run (number in the word), candidate, probability, is_secret."""
     found = findings(docs, path)
     if model is None:
         found = written(found, "secret-findings")
         model = train(labelled(found))
     scored = model.score(found)
-    return scored.select("doc_id", "pos", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "pos", "run", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: SecretModel | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -145,7 +163,7 @@ def redact(docs: DataFrame, model: SecretModel | None = None, path: str = "sourc
     secrets = scan(docs.select(F.struct(*key).alias("doc_id"), "text", *([path] if path in docs.columns else [])), model, path, threshold)
     per_doc = secrets.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets"))
     per_doc = per_doc.select(F.coalesce("doc_id.doc_id", F.lit(0)).alias("_id"), F.col("doc_id.doc_id").isNull().alias("_none"), F.col("doc_id._text").alias("_text"), "_secrets")
-    may = F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
+    may = F.coalesce(F.col("text").rlike(FOUND), F.lit(False))
     keyed = docs.where(may).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_text": F.xxhash64("text")})
     joined = keyed.join(per_doc, ["_id", "_none", "_text"], "left")
     longest_first = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
@@ -157,4 +175,4 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = scan(docs.select("doc_id", "text", "source"))
     masked = F.concat(F.substring("candidate", 1, 4), F.lit("..."), F.length("candidate"))
-    return out.select("doc_id", "pos", masked.alias("masked"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+    return out.select("doc_id", "pos", "run", masked.alias("masked"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")

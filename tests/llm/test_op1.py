@@ -44,3 +44,22 @@ def test_redaction_and_edges(spark):
     assert by[4] == "number 4785380592391139 word" and by[3] == "plain words only"
     assert all(hashlib.sha1(str(i).encode()).hexdigest() not in by[100 + i] for i in range(60))
     assert m.redact(docs.limit(0)).count() == 0 and m.scan(docs.limit(0)).count() == 0
+
+
+def test_all_runs_of_a_word_are_candidates(spark):
+    key, ghp = hashlib.sha1(b"k").hexdigest(), "ghp_" + "aB3dE6gH9j" * 3 + "kL2mN4"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    words = {
+        f'{{"refresh_token_identifier":"{key}"}}': ["refresh_token_identifier", key],
+        f"https://ci.example.com/builds/artifacts/2024?token={ghp}": ["com/builds/artifacts/2024", ghp],
+        f"a,{jwt},{key},x;{ghp}.": [jwt, key, ghp],
+        f"MTk4NjIyNDgzNDcxOTI1MjQ4.Cl2FMQ.{key}": [f"MTk4NjIyNDgzNDcxOTI1MjQ4.Cl2FMQ.{key}"],
+        "{'password':'hunter2hunter'}": ["hunter2hunter"], "identifier=abcdefg12": ["identifier=abcdefg12"],
+        "password=hunter2": ["password=hunter2"], f"{key[:30]}==": [f"{key[:30]}=="],
+    }
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.run, r.candidate) for r in m.findings(docs).collect())
+    assert got == [(i, j, c) for i, cs in enumerate(words.values()) for j, c in enumerate(cs)]
+    all_secret = m.SecretModel([], [], None, 1.0)
+    kept = " ".join(r.text for r in m.redact(docs, all_secret).collect())
+    assert key not in kept and ghp not in kept and "hunter2" not in kept and "dozjgNry" not in kept
