@@ -6,13 +6,14 @@ length, character transitions, dictionary coverage, path features, its neighbour
 word. A random forest trained
 on labelled findings gives the probability that it is a secret; those below the threshold are false positives.
 
-The forest, the dictionary and the transition table are fitted on at most about SAMPLE findings of each label (drawn by
-a hash); everything else covers all words of all texts. Labelled findings come from the caller; where there are none,
-``labelled`` derives them: an assignment of a mixed letter-digit run to a name like ``token`` is a secret, any other
-candidate is not.
+The forest is fitted on at most about SAMPLE findings of each label (drawn by a hash); everything else covers all words
+of all texts. Labelled findings come from the caller; where there are none, ``labelled`` derives them: a mixed
+letter-digit run assigned to a name like ``token``, in its own word or in those before, and keys of known formats are
+secrets; numbers and identifiers made of words that aren't assigned to such a name are not; the rest is left undecided,
+is not learned from, and gets the forest's probability.
 
 Defined results: null and empty texts have no findings; repeated rows are found as often as they occur; an empty table
-gives no rows; with one label only, every finding gets that label; a null path counts as empty; null ids pass through.
+gives no rows; with one label only, every finding gets that label, and 0 with none; a null path counts as empty; null ids pass through.
 Other columns are ignored by ``scan`` and kept by ``redact``.
 """
 
@@ -47,12 +48,19 @@ FOUND = (
     rf"|(?<=(?i:{NAME})[\"']?(?::=|=>|[:=])[\"']?){_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
     rf"|(?!{_RUN}*{_LONG})(?!{_RUN}*(?i:{NAME})={_VALUE}{{{LEAST_NAMED}}}){TOKEN}"
 )
+#: Keys that their issuers give a fixed form, and numbers or identifiers made of words (fixed values).
+KEY_FORMAT = (
+    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abeprs]-[A-Za-z0-9\-]{10,}"
+    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
+)
+_PART = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+)"
+PLAIN = rf"^[+/=_\-]*{_PART}(?:[.+/=_\-]+{_PART})*[+/=_\-]*$"
 #: So many characters of a neighbour are kept.
 NEAR = 100
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
 FEATURES = [
     "length", "digits", "uppers", "symbols", "distinct", "changes", "common", "coverage", "longest", "hexadecimal",
-    "named", "assigned", "quoted", "known_before", "known_after", "path_example", "path_depth",
+    "named", "assigned", "format", "quoted", "known_before", "known_after", "path_example", "path_depth",
 ]
 
 
@@ -70,12 +78,23 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     return runs.select(*names, F.explode(F.expr(beside.format(k=NEAR))).alias("r")).select(*names, "r.*")
 
 
+def _named() -> tuple[Column, Column]:
+    """Whether a candidate is assigned to the name of a secret, and whether it's assigned to anything."""
+    before1, before2, left = (F.coalesce(c, F.lit("")) for c in ("before1", "before2", "left"))
+    bare = left.rlike("^[\"'`(\\[{<]*$")
+    sign = before1.rlike(r"^(=|:|:=|=>)$")
+    ended = before1.rlike(NAMES) & before1.rlike("[:=]") | before1.rlike("(?i)^[\"']?bearer$")
+    inside = left.rlike(rf"(?i){NAME}[\"']?(:=|=>|:|=)[\"'`(\[{{<]*$")
+    return inside | bare & (sign & before2.rlike(NAMES) | ended), left.rlike("(:=|=>|:|=)[\"'`(\\[{<]*$") | bare & before1.rlike("[:=]>?$")
+
+
 def labelled(found: DataFrame) -> DataFrame:
-    """``found`` with label 1.0 or 0.0 by a rule of high precision, for want of findings labelled by people."""
-    sign = F.col("before1").rlike(r"^(=|:|:=|=>)$")
-    named = (sign & F.col("before2").rlike(NAMES)) | F.col("before1").rlike(NAMES) & F.col("before1").rlike("[:=]")
-    mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]") & (F.length("candidate") >= 20)
-    return found.withColumn("label", F.when(F.coalesce(named, F.lit(False)) & mixed, 1.0).otherwise(0.0))
+    """``found`` with label 1.0, 0.0 or null by rules of high precision, for want of findings labelled by people."""
+    c = F.col("candidate")
+    named, _ = _named()
+    least = F.when(F.col("left").rlike("[:=]"), LEAST_NAMED).otherwise(20)  # a sign in the word itself is the surer one
+    secret = c.rlike(KEY_FORMAT) | named & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= least)
+    return found.withColumn("label", F.when(secret, 1.0).when(~named & c.rlike(PLAIN), 0.0))
 
 
 def _share(column: str, pattern: str) -> Column:
@@ -90,6 +109,7 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
     covered = F.aggregate(known, F.lit(0), lambda acc, x: acc + F.length(x))
     pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.lower(F.substr(c, i, F.lit(2))))
     common = F.size(F.filter(pairs, lambda x: x.isin(transitions) if transitions else F.lit(False)))
+    named, assigned = _named()
     return found.select(
         "*",
         size.cast("double").alias("length"),
@@ -102,8 +122,9 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
         (covered / size).alias("coverage"),
         (F.array_max(F.transform(F.split(c, "[^A-Za-z]+"), F.length)) / size).alias("longest"),
         c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hexadecimal"),
-        (F.coalesce(F.col("before1").rlike(NAMES), F.lit(False)) | F.coalesce(F.col("before2").rlike(NAMES), F.lit(False))).cast("double").alias("named"),
-        F.coalesce(F.col("before1").rlike("[:=]>?$"), F.lit(False)).cast("double").alias("assigned"),
+        named.cast("double").alias("named"),
+        assigned.cast("double").alias("assigned"),
+        c.rlike(KEY_FORMAT).cast("double").alias("format"),
         F.col("left").rlike("[\"'`]$").cast("double").alias("quoted"),
         clean(F.col("before1")).isin(dictionary or [""]).cast("double").alias("known_before"),
         clean(F.col("after1")).isin(dictionary or [""]).cast("double").alias("known_after"),
@@ -127,16 +148,28 @@ class SecretModel:
         return out.select(*names, F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
-def train(labels: DataFrame, sample: int = SAMPLE) -> SecretModel:
-    """Fits on ``labels`` (findings with label), at most about ``sample`` of each label."""
+def vocabulary_of(docs: DataFrame) -> DataFrame:
+    """All words (x) of the texts of ``docs``, with their numbers of uses (n)."""
+    letters = F.lower(F.regexp_replace("text", r"[^\p{L}\x20\x09-\x0D]", ""))
+    words = docs.select(F.explode(F.split(letters, r"[\x20\x09-\x0D]+")).alias("x")).where("length(x) BETWEEN 2 AND 100")
+    return words.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(labels: DataFrame, sample: int = SAMPLE, docs: DataFrame | None = None) -> SecretModel:
+    """Fits on ``labels`` (findings with label; null: undecided), at most about ``sample`` of each label.
+
+    Dictionary and transitions count all words of ``docs`` (text), or without them the neighbours of all ``labels``.
+    """
+    labels = labels.where("label IS NOT NULL")
     counts = {r.label: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = F.pmod(F.xxhash64("candidate", "pos", "run", "doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("label") == 1.0, sample / max(counts.get(1.0, 1), 1)).otherwise(sample / max(counts.get(0.0, 1), 1))
     kept = written(labels.where(drawn < share), "secret-labels")
     if len(counts) < 2:
         return SecretModel([], [], None, float(next(iter(counts), 0.0)))
-    near = kept.select(F.explode(F.array("before2", "before1", "after1")).alias("x"))
-    vocabulary = near.select(F.lower(F.regexp_replace("x", r"[^\p{L}]", "")).alias("x")).where(F.length("x") >= 2).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    if docs is None:
+        docs = labels.select(F.explode(F.array("before2", "before1", "after1")).alias("text"))
+    vocabulary = written(vocabulary_of(docs), "secret-words")
     dictionary = [r.x for r in vocabulary.orderBy(F.desc("n"), "x").limit(DICTIONARY).collect()]
     pairs = vocabulary.select("n", F.explode(F.expr("transform(sequence(1, length(x) - 1), i -> substr(x, i, 2))")).alias("p"))
     transitions = [r.p for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(TRANSITIONS).collect()]
@@ -152,7 +185,7 @@ def scan(docs: DataFrame, model: SecretModel | None = None, path: str = "source"
     found = findings(docs, path)
     if model is None:
         found = written(found, "secret-findings")
-        model = train(labelled(found))
+        model = train(labelled(found), docs=docs)
     scored = model.score(found)
     return scored.select("doc_id", "pos", "run", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
