@@ -1,8 +1,10 @@
 """Media columns: WAV stored losslessly in a binary column, read back by the wave module, spectral-peak fingerprints.
 
 ``store_wav`` turns bytes into a mono WAV of unsigned 8-bit samples; ``wav_features`` reads such a column again, takes
-short-time Fourier transforms, finds each frame's strongest local peak and pairs it with the peaks of the next
-FAN_OUT frames. The fingerprint is an array of (time, frequency, later frequency, distance) codes in time order.
+short-time Fourier transforms with a hop of a quarter of a frame, finds each frame's PEAKS strongest peaks and pairs them
+with those of the next FAN_OUT frames. The fingerprint is an array of (time, frequency, later frequency, distance) codes
+in time order. A frame has FRAME samples, or a quarter of the payload if that is less; both ends are filled up with the
+middle value, so that each sample is near the middle of a frame; all spectra have the bins of FRAME samples.
 
 Defined results: null text counts as empty, and a payload is padded with zero bytes to a positive multiple of 64;
 silent frames have no peak; very long payloads are read and transformed in blocks; equal texts give equal values;
@@ -29,8 +31,9 @@ RATE = 8000
 FRAME = 512
 BLOCK_FRAMES = 4096
 FAN_OUT = 2
+OVERLAP = 4
+PEAKS = 3
 UNIT = 64
-_WINDOW = np.hanning(FRAME).astype(np.float32)
 
 FEATURE_FIELDS = [
     T.StructField("payload_bytes", T.LongType()),
@@ -56,42 +59,62 @@ def to_wav(payload: bytes) -> bytes:
     return out.getvalue()
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest bin of each frame, -1 for silence. The last frame is filled up with the middle value."""
-    n = -(-len(samples) // FRAME)
-    full = np.full(n * FRAME, 128, np.uint8)
+def peaks(samples: np.ndarray, frame: int = FRAME, hop: int | None = None, most: int = 1) -> np.ndarray:
+    """The ``most`` strongest peaks of each frame, strongest first, -1 for silence; the last frame is filled up with the middle value."""
+    hop = hop or frame
+    n = max(-(-(len(samples) - frame) // hop), 0) + 1 if len(samples) else 0
+    full = np.full(max(n - 1, 0) * hop + frame, 128, np.uint8)
     full[: len(samples)] = samples
-    frames = full.reshape(n, FRAME).astype(np.float32) - 128
+    frames = np.lib.stride_tricks.sliding_window_view(full, frame)[::hop][:n].astype(np.float32) - 128
     frames -= frames.mean(1, keepdims=True)
-    power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1))[:, 1:]
+    power = np.abs(np.fft.rfft(frames * np.hanning(frame).astype(np.float32), FRAME, axis=1))[:, 1:]
     # Rounding keeps the choice among near-equal bins independent of the transform's last digits.
     power = np.round(power, 2)
-    best = power.argmax(1)
-    return np.where(power[np.arange(n), best] > 0, best + 1, -1)
+    if most > 1:  # only local peaks count; the strongest bin is one
+        sides = np.pad(power, ((0, 0), (1, 1)), constant_values=-1)
+        power = np.where((power >= sides[:, :-2]) & (power > sides[:, 2:]), power, 0)
+    found = np.full((n, most), -1, np.int64)
+    for j in range(most):
+        best = power.argmax(1)
+        found[:, j] = np.where(power[np.arange(n), best] > 0, best + 1, -1)
+        power[np.arange(n), best] = 0
+    return found[:, 0] if most == 1 else found
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
     """Codes time << 24 | frequency << 12 | later frequency << 3 | distance of peak pairs, in order."""
     codes = []
+    each = frames.reshape(len(frames), -1).T if len(frames) else []
     for d in range(1, FAN_OUT + 1):
-        a, b = frames[:-d], frames[d:]
-        t = np.flatnonzero((a >= 0) & (b >= 0))
-        codes.append((t << 24) | (a[t] << 12) | (b[t] << 3) | d)
+        for a in (x[:-d] for x in each):
+            for b in (x[d:] for x in each):
+                t = np.flatnonzero((a >= 0) & (b >= 0))
+                codes.append((t << 24) | (a[t] << 12) | (b[t] << 3) | d)
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
 
 
 def describe(media: bytes) -> tuple:
     """All values of FEATURE_FIELDS, from the stored bytes alone."""
     digest, tail, size, found = hashlib.sha256(), b"", 0, []
+    edge = b""  # samples that the next block's first frame shares
     with wave.open(io.BytesIO(media), "rb") as w:
         if (w.getnchannels(), w.getsampwidth()) != (1, 1):
             raise ValueError("mono WAV of 8-bit samples is needed")
+        frame = min(FRAME, max(w.getnframes() // OVERLAP // OVERLAP * OVERLAP, UNIT // OVERLAP))
+        hop = frame // OVERLAP
+        edge = bytes([128]) * (frame - hop)
         while block := w.readframes(FRAME * BLOCK_FRAMES):
             digest.update(block)
             tail = (tail + block)[-UNIT:]
             size += len(block)
-            found.append(peaks(np.frombuffer(block, np.uint8)))
-    codes = fingerprint(np.concatenate(found) if found else np.zeros(0, np.int64))
+            samples = edge + block
+            whole = (len(samples) - frame) // hop + 1 if len(samples) >= frame else 0
+            if whole:
+                found.append(peaks(np.frombuffer(samples, np.uint8, (whole - 1) * hop + frame), frame, hop, PEAKS))
+            edge = samples[whole * hop :]
+        if size:
+            found.append(peaks(np.frombuffer(edge + bytes([128]) * (frame - hop), np.uint8), frame, hop, PEAKS))
+    codes = fingerprint(np.concatenate(found) if found else np.zeros((0, PEAKS), np.int64))
     return size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), codes
 
 

@@ -47,3 +47,20 @@ def test_edges(spark):
     got = m.wav_features(m.store_wav(spark.createDataFrame(rows, schema))).collect()
     assert sorted(r.payload_bytes for r in got) == [64, 64, 64, 64, 500032]
     assert len({r.media_sha256 for r in got}) == 3
+
+
+def test_short_texts_have_fingerprints_of_their_own():
+    rng = np.random.default_rng(3)
+    for size in (5, 20, 64, 100, 300, 500):
+        texts = {bytes(rng.integers(97, 123, size, dtype=np.uint8)) for _ in range(50)}
+        codes = [tuple(m.describe(m.to_wav(m.padded(t)))[5].tolist()) for t in texts]
+        assert all(codes) and len(set(codes)) == len(texts)
+
+
+def test_samples_at_frame_edges_count():
+    data = np.full(4 * m.FRAME, 128, np.uint8)
+    data[m.FRAME - 2 : m.FRAME + 2] = 255
+    other = data.copy()
+    other[m.FRAME - 2 : m.FRAME + 2] = (0, 255, 0, 255)
+    one, two = (m.describe(m.to_wav(d.tobytes()))[5].tolist() for d in (data, other))
+    assert one and two and one != two
