@@ -11,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that share so many rows may be hot; at most HOT_KEYS of them are dealt over PARTS parts.
+HOT_ROWS = 500
+HOT_KEYS = 4096
+PARTS = 64
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -75,3 +80,21 @@ def only(rows: DataFrame, sketch, inside: bool, bits: int = 25) -> DataFrame:
             yield batch.filter(pa.array(in_sketch(sketch.value, batch.column("key").to_numpy(), bits) == inside))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has few rows for each value of the long column ``key``.
+
+    The rows of the most frequent keys are dealt over PARTS parts by a hash of ``by``, and those keys' side is repeated
+    for each. They are HOT_KEYS at most, so any other key has less than that part of the rows; rows without a key are dealt,
+    too. ``rows`` is read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = [(r[0],) for r in counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).collect()]
+    if not hot:
+        return rows.join(side, key, how)
+    marks = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long").withColumn("_hot", F.lit(True)))
+    dealt = rows.join(marks, key, "left").withColumn("_part", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = side.join(marks, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")

@@ -15,7 +15,9 @@ _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PIECE = 4 << 20
+#: So many bytes of text are taken at a time, and so many are hashed at a time.
+_PIECE = 1 << 20
+_HASHED = 1 << 17
 _Q = 0x9E3779B97F4A7C15 | 1
 
 
@@ -28,6 +30,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers)
+
+
+_UP, _DOWN = _powers(_Q, _HASHED), _powers(pow(_Q, -1, 1 << 64), _HASHED)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = _PIECE) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the text in each is below ``limit`` bytes or is that of one row."""
     for batch in batches:
@@ -68,20 +80,19 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, computed in pieces of bounded memory."""
-    out, lens = np.zeros(len(s), np.uint64), e - s
-    ends = np.cumsum(lens)
+    """A 64-bit hash of each word's bytes: differences of a running sum over pieces of bounded size."""
+    out = np.zeros(len(s), np.uint64)
     i = 0
     while i < len(s):
-        done = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, done + _PIECE, side="right")))
-        own = lens[i:j]
-        first = np.cumsum(own) - own
-        at = np.arange(int(own.sum())) - np.repeat(first, own)
-        key = mix64(np.arange(int(own.max()), dtype=np.uint64))
-        b = buf[np.repeat(s[i:j], own) + at].astype(np.uint64) + np.uint64(1)
-        b *= key[at]
-        out[i:j] = mix64(np.add.reduceat(b, first) + own.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        start = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, start + _HASHED, side="right")))
+        values = _BYTES[buf[start : int(e[j - 1])]]
+        values *= _UP[: len(values)] if len(values) <= _HASHED else _powers(_Q, len(values))
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        at, own = s[i:j] - start, e[i:j] - s[i:j]
+        # Dividing by the power at its start, which is inside the table, makes a word's value independent of its place.
+        out[i:j] = mix64((sums[at + own] - sums[at]) * _DOWN[at] + own.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out
 

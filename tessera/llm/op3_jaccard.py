@@ -7,20 +7,23 @@ document's set into segments:
   their segments are equal. Equal segments meet by a shuffle of their hashes. Sets that meet others too seldom for a
   link of theirs are out of it; the rest meets again. In a small meeting all pairs are noted,
   and a pair stays if it meets as often as the threshold demands of sets of these sizes; in a larger one everybody is
-  linked with the first. The connected groups are the candidate groups. The number of fragments depends on a set's size
+  joined with the first. The connected groups are the candidate groups. The number of fragments depends on a set's size
   class, and a set takes part in its own class and the next smaller one. A few spare fragments make up for segments that
   are empty; sets with more empty ones than that also meet by these.
-* Counting: the candidate groups are cut into blocks of bounded size, and for each pair of blocks partial overlaps
-  are counted fragment by fragment and summed up per pair. The pairs over the threshold stay inside the task; it puts
-  out a spanning forest of them.
+* Counting: the order is cut into FRAGMENTS fragments. The overlap of a pair is counted in each fragment apart, in tasks
+  that hold that fragment's segments only, and the partial counts are summed up per pair. Each set is first counted
+  against its group's hub, the set that meets others most often; a group of near copies is mostly settled by that.
+  Sets that aren't linked with their hub are left open, and counted against all other sets of the group: both are cut
+  into blocks, and a fragment's partial counts of a pair of blocks are one matrix.
 
 Links and components are exact (up to 64-bit hashes of n-grams and sets). Equal sets are one node throughout, so copies
-are never paired with each other.
+are never paired with each other, and pairs of sets that are both linked with their hub aren't counted.
 
 Defined results: a text without words, or null, has an empty set, no links, and is its own component; with fewer words
 than an n-gram has, the whole sequence is the one n-gram; a null id takes part, and a component without any other id
-has a null component_id; repeated rows are linked with each other; an empty table gives no rows; other columns of a
-clashing name are overwritten in ``jaccard_components``.
+has a null component_id; repeated rows are linked with each other; an empty table gives no rows; other columns of
+``docs`` are ignored. Texts are taken in slices of about 1 MB; a longer one is held whole, with temporaries of some 25
+times its size.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._graph import components
-from tessera.llm._shared import in_sketch, membership_sketch, written
+from tessera.llm._shared import in_sketch, membership_sketch, only, spread_join, written
 from tessera.llm._words import gram_hashes, mix64, slices, text_buffer, word_hashes, word_spans
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK_DOCS = 2048
-BLOCK_GRAMS = 2_000_000
-DENSE_CELLS = 1 << 21
+FRAGMENTS = 4
+BLOCK_SETS = 512
+BLOCK_GRAMS = 500_000
+#: So many sets a task remembers, in order to put out equal ones once.
+REMEMBERED = 1 << 16
+DENSE_CELLS = 1 << 20
 FEW = 8
 SMALL_MEETING = 16
 
@@ -176,41 +182,54 @@ def signatures(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent
     return np.concatenate(sigs).astype(np.int64), np.concatenate(rows)
 
 
+class Seen:
+    """Which values come for the first time, as far as a memory of bounded size can tell."""
+
+    def __init__(self):
+        self.values: set[int] = set()
+
+    def first(self, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        out = wanted.copy()
+        for i in np.flatnonzero(wanted):
+            if (value := int(values[i])) in self.values:
+                out[i] = False
+            elif len(self.values) >= REMEMBERED:
+                self.values = {value}
+            else:
+                self.values.add(value)
+        return out
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
+
+
 def _described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, node (hash of the set; null if empty), n_shingles, e_own, e_below (empty segments in its two classes)."""
+    """doc_id, node (hash of the set; null if empty), n_shingles, e_own, e_below (empty segments in its two classes), and
+    sigs, the signatures of its segments, which a task puts out once for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in slices(batches):
             grams, owners = shingle_sets(batch.column("text"), shingle)
             sizes, nodes = set_hashes(grams, owners, batch.num_rows)
             own, below = empty_segments(grams, owners, sizes, percent)
+            new = seen.first(nodes, sizes > 0)
+            use = new[owners]
+            sigs, rows = signatures(grams[use], owners[use], np.where(new, sizes, 0), percent)
+            sigs = sigs[np.argsort(rows, kind="stable")]
             columns = [batch.column("doc_id"), pa.array(nodes, pa.int64(), mask=sizes == 0), *(pa.array(x, pa.int64()) for x in (sizes, own, below))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "e_own", "e_below"])
+            columns.append(_lists(sigs, np.bincount(rows, minlength=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "e_own", "e_below", "sigs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, e_own long, e_below long")
-
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, e_own long, e_below long, sigs array<long>")
 
-def _segments(docs: DataFrame, shingle: int, percent: int, sketch=None) -> DataFrame:
-    """sig, node: the signatures of each set, or of those in the sketch; a task puts out equal sets once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[int] = set()
-        for batch in slices(batches):
-            grams, owners = shingle_sets(batch.column("text"), shingle)
-            sizes, nodes = set_hashes(grams, owners, batch.num_rows)
-            first = sizes > 0
-            if sketch is not None:
-                first &= in_sketch(sketch.value, nodes)
-            for i in np.flatnonzero(first):
-                if (node := int(nodes[i])) in had:
-                    first[i] = False
-                had.add(node)
-            use = first[owners]
-            sigs, rows = signatures(grams[use], owners[use], np.where(first, sizes, 0), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(nodes[rows])], ["sig", "node"])
-
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+def _segments(described: DataFrame) -> DataFrame:
+    """sig, node: the signatures of each set."""
+    return described.select("node", F.explode("sigs").alias("sig"))
 
 
 def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,8 +253,9 @@ def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(a), np.concatenate(b), np.concatenate(kind)
 
 
-def _candidates(docs: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose connected groups hold every pair over the threshold."""
+def _candidates(described: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) whose connected groups hold every pair over the threshold, and the sets that can have links: node,
+    n, o, b, even, odd."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by signature and node. A run that is cut off waits for its rest; of a large one the first waits."""
@@ -299,18 +319,18 @@ def _candidates(docs: DataFrame, described: DataFrame, shingle: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
 
     ordered = lambda df: df.repartition("sig").sortWithinPartitions("sig", "node")
-    counts = ordered(_segments(docs, shingle, percent)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
+    counts = ordered(_segments(described)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
         F.count_if(F.col("odd") == 0).alias("even"), F.count_if(F.col("odd") == 1).alias("odd")
     )
-    every = described.where("node IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("e_own").alias("o"), F.max("e_below").alias("b"))
-    met_others = every.join(counts, "node")
+    met_others = sets.select("node", "n", "o", "b").join(counts, "node")
     nodes = written(met_others.mapInArrow(linkable, met_others.schema), "jaccard-linkable")
-    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes, "node"))
-    met = ordered(_segments(docs, shingle, percent, sketch)).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sketch = described.sparkSession.sparkContext.broadcast(membership_sketch(nodes, "node"))
+    again = only(described.where("size(sigs) > 0").select(F.col("node").alias("key"), "node", "sigs"), sketch, True)
+    met = ordered(_segments(again)).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
     met = written(met, "jaccard-meetings")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("b").alias(f"b{x}"))
     pairs = met.where("kind < 2").join(side("a"), "a").join(side("b"), "b").mapInArrow(filtered, "a long, b long")
-    return met.where("kind = 2").select("a", "b").unionByName(pairs)
+    return met.where("kind = 2").select("a", "b").unionByName(pairs), nodes
 
 
 def overlaps(grams: np.ndarray, owners: np.ndarray, n: int, split: int = 0) -> np.ndarray:
@@ -352,15 +372,14 @@ def overlaps(grams: np.ndarray, owners: np.ndarray, n: int, split: int = 0) -> n
     return total
 
 
-def linked(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, split: int, percent: int) -> np.ndarray:
-    """The smallest index linked with each set, directly or not; with ``split`` only pairs across it count."""
-    both = overlaps(grams, owners, len(sizes), split)
-    a, b = np.nonzero(both)
-    shared = both[a, b].astype(np.int64)
+def forest(linked: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest index, other) of the components of a symmetric matrix of links, or with ``split`` of a rectangle
+    whose columns are numbered from there."""
+    a, b = np.nonzero(linked)
     b = b + split
-    over = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
-    a, b = np.concatenate([a[over], b[over]]), np.concatenate([b[over], a[over]])
-    label = np.arange(len(sizes))
+    n = split + linked.shape[1]
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    label = np.arange(n)
     while len(a):
         least = label.copy()
         np.minimum.at(least, a, label[b])
@@ -368,81 +387,150 @@ def linked(grams: np.ndarray, owners: np.ndarray, sizes: np.ndarray, split: int,
         if (least == label).all():
             break
         label = least
-    return label
+    moved = np.flatnonzero(label != np.arange(n))
+    return label[moved], moved
 
 
-def _block_links(docs: DataFrame, described: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) over the threshold inside the candidate groups: a spanning forest for each pair of blocks."""
-    members = described.where("node IS NOT NULL").join(groups, "node")
-    nodes = written(members.groupBy("node", "root").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")), "jaccard-members")
-    per_group = nodes.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
-    )
-    placed = nodes.join(per_group, "root").select("node", "root", "blocks", F.pmod("node", "blocks").cast("int").alias("block"))
-    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes.select(F.xxhash64("doc_id").alias("key")), "key"))
+def _members(described: DataFrame, sets: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, root (its candidate group), n, doc_id (of one text of it), hub (of the group)."""
+    own = written(groups.join(sets.select("node", "n", "doc_id"), "node").join(nodes.select("node", (F.col("even") + F.col("odd")).alias("met")), "node", "left"), "jaccard-groups")
+    hubs = own.groupBy("root").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "n", "node")).alias("h")).select("root", F.col("h.node").alias("hub"))
+    return written(spread_join(own, hubs, "root", "node", "inner").select("node", "root", "n", "doc_id", "hub"), "jaccard-members")
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[int] = set()
+def _fragments(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """node, fragment, grams: the segments, empty ones too, of the sets of ``members``."""
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(members.select(F.xxhash64("doc_id").alias("key")), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             keep = in_sketch(sketch.value, batch.column("key").to_numpy())
             for part in slices(iter([batch.filter(pa.array(keep))])):
                 grams, owners = shingle_sets(part.column("text"), shingle)
                 sizes, node = set_hashes(grams, owners, part.num_rows)
-                first = np.array([bool(s) and x not in had and not had.add(x) for x, s in zip(node.tolist(), sizes.tolist(), strict=True)], bool)
-                use = first[owners]
-                offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[first])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[first]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams[use].astype(np.int64)))],
-                    ["node", "grams"],
-                )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                new = seen.first(node, sizes > 0)
+                use = new[owners]
+                grams, row = grams[use], (np.cumsum(new) - 1)[owners[use]]
+                # Sets are ordered by hash, so that their segments follow each other.
+                fragment = (grams >> np.uint64(32)) * np.uint64(FRAGMENTS) >> np.uint64(32)
+                lengths = np.bincount(row * FRAGMENTS + fragment.astype(np.int64), minlength=int(new.sum()) * FRAGMENTS)
+                columns = [pa.array(np.repeat(node[new], FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), int(new.sum()))), _lists(grams, lengths)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fragment", "grams"])
+
+    keyed = docs.select("text", F.xxhash64("doc_id").alias("key"))
+    parts = keyed.mapInArrow(run, "node long, fragment int, grams array<long>")
+    return written(parts.join(members.select("node", "root", "hub", "n"), "node"), "jaccard-segments")
+
+
+def _hub_links(segments: DataFrame, percent: int) -> DataFrame:
+    """node, root, n, linked: whether each set is linked with its group's hub (the hub is). Partial counts per fragment."""
+    hubs = segments.where("node = hub").select("root", "fragment", F.col("grams").alias("theirs"), F.col("n").alias("m"))
+    # Hub and fragment are one key: a large group is spread by its sets.
+    key = F.xxhash64("root", "fragment").alias("key")
+    both = spread_join(segments.select(key, "root", "fragment", "node", "n", "grams"), hubs.select(key, "theirs", "m"), "key", "node", "inner")
+    partial = both.select("node", "root", "n", "m", F.size(F.array_intersect("grams", "theirs")).alias("shared"))
+    total = partial.groupBy("node", "root", "n").agg(F.max("m").alias("m"), F.sum("shared").alias("shared"))
+    return total.select("node", "root", "n", (100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).alias("linked"))
+
+
+def _open_links(segments: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets that aren't linked with their hub: a spanning forest for each pair of blocks."""
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_SETS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_GRAMS)).cast("int")
+    per_group = settled.groupBy("root").agg(blocks(~F.col("linked")).alias("opens"), blocks(F.col("linked")).alias("others")).where("opens > 0")
+    first, many = F.when(F.col("linked"), F.col("opens")).otherwise(0), F.when(F.col("linked"), F.col("others")).otherwise(F.col("opens"))
+    block = (first + F.pmod(F.xxhash64("node"), F.greatest(many, F.lit(1)))).cast("int")
+    placed = spread_join(settled, per_group, "root", "node", "inner").select("node", "linked", "opens", "others", block.alias("block"))
+    # Blocks of open sets meet all blocks, the others only those of open sets.
+    last = F.when(F.col("linked"), F.col("opens")).otherwise(F.col("opens") + F.col("others")) - 1
+    spread = segments.select("node", "root", "fragment", "n", "grams").join(placed, "node").withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    by_pair = spread.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "fragment", "block", "node", "n", "grams")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial counts of a fragment, for each pair of blocks."""
         key, held = None, []
 
         def finish() -> pa.RecordBatch:
-            rows = {node: (side, grams) for node, side, grams in sorted(held, key=lambda x: x[1] != key[1])}
-            node = np.array(list(rows), np.int64)
-            sizes = np.array([len(g) for _, g in rows.values()], np.int64)
-            split = sum(side == key[1] for side, _ in rows.values()) if key[1] != key[2] else 0
-            if key[1] != key[2] and split in (0, len(node)):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-            grams = np.concatenate([g for _, g in rows.values()])
-            label = linked(grams, np.repeat(np.arange(len(node)), sizes), sizes, split, percent)
-            moved = label != np.arange(len(node))
-            return pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["a", "b"])
+            root, i, j, fragment = key
+            rows = {node: (block, n, grams) for block, node, n, grams in held}
+            blocks = np.array([b for b, _, _ in rows.values()])
+            split = int((blocks == i).sum()) if i != j else 0
+            sizes = np.array([len(g) for _, _, g in rows.values()])
+            grams = np.concatenate([g for _, _, g in rows.values()])
+            if i != j and split in (0, len(blocks)):
+                partial = b""
+            else:
+                partial = overlaps(grams.astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), len(sizes), split).astype(np.int32).tobytes()
+            values = [[root], [i], [j], [split], [list(rows)], [[n for _, n, _ in rows.values()]], [partial]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
-            node, side = batch.column("node").to_pylist(), batch.column("block").to_pylist()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "fragment")), strict=True))
+            block, node, n = (batch.column(c).to_pylist() for c in ("block", "node", "n"))
             column = batch.column("grams")
             for at, k in enumerate(keys):
                 if k != key:
                     if len(held) > 1:
                         yield finish()
                     key, held = k, []
-                held.append((node[at], side[at], column[at].values.to_numpy()))
+                held.append((block[at], node[at], n[at], column[at].values.to_numpy()))
         if len(held) > 1:
             yield finish()
 
-    keyed = docs.select("text", F.xxhash64("doc_id").alias("key"))
-    own = keyed.mapInArrow(sets, "node long, grams array<long>").join(placed, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = own.withColumn("x", other).select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "node", "grams")
-    by_pair = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    return by_pair.mapInArrow(compare, "a long, b long")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of the partial counts; pairs over the threshold become a forest."""
+        key, nodes, sizes, split, counts = None, [], [], 0, None
+
+        def finish() -> pa.RecordBatch:
+            n = np.array(sizes, np.int64)
+            rows, columns = (n[:split], n[split:]) if split else (n, n)
+            shared = counts.reshape(len(rows), len(columns)).astype(np.int64)
+            over = (shared > 0) & (100 * shared >= percent * (rows[:, None] + columns[None, :] - shared))
+            a, b = forest(over, split)
+            node = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["counts"], np.int32)
+                if (k := (row["root"], row["i"], row["j"])) != key:
+                    if key is not None and len(counts):
+                        yield finish()
+                    key, nodes, sizes, split, counts = k, row["nodes"], row["sizes"], row["split"], own.copy()
+                else:
+                    counts += own
+        if key is not None and len(counts):
+            yield finish()
+
+    names = ["root", "i", "j", "split", "nodes", "sizes", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    keyed = by_pair.repartition("root", "i", "j", "fragment").sortWithinPartitions("root", "i", "j", "fragment", "block", "node")
+    partial = keyed.mapInArrow(count, "root long, i int, j int, split int, nodes array<long>, sizes array<long>, counts binary")
+    return partial.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(total, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for ``docs`` (doc_id, text): sets link at a similarity of ``percent`` / 100."""
     described = written(_described(docs, shingle, percent), "jaccard-sets")
-    groups = components(_candidates(docs, described, shingle, percent))
-    roots = components(_block_links(docs, described, groups, shingle, percent))
-    own = described.where("node IS NOT NULL").select("doc_id", "n_shingles", "node")
-    labelled = own.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    alone = described.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    sets = written(
+        described.where("node IS NOT NULL").groupBy("node").agg(
+            F.max("n_shingles").alias("n"), F.max("e_own").alias("o"), F.max("e_below").alias("b"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
+        ),
+        "jaccard-nodes",
+    )
+    candidates, nodes = _candidates(described, sets, percent)
+    members = _members(described, sets, nodes, components(candidates))
+    segments = _fragments(docs, members, shingle)
+    settled = written(_hub_links(segments, percent), "jaccard-hubs")
+    hub_of = members.where("node <> hub").select("node", F.col("hub").alias("a"))
+    links = settled.where("linked").join(hub_of, "node").select("a", F.col("node").alias("b")).unionByName(_open_links(segments, settled, percent))
+    roots = components(links)
+    # The smallest id of each component, for the sets that need one.
+    named = written(sets.select("node", "doc_id", "copies").join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node")), "jaccard-roots")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = written(spread_join(named, least, "root", "node", "inner").select("node", "component_id", F.lit(True).alias("named")), "jaccard-components")
+    out = spread_join(described.select("doc_id", "n_shingles", "node"), component, "node", "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_query_equals_sql(spark):
 
 @pytest.mark.parametrize("percent,n,blocks", [(85, 4, 512), (80, 5, 3)])
 def test_families_of_near_copies_equal_brute_force(spark, monkeypatch, percent, n, blocks):
-    monkeypatch.setattr(m, "BLOCK_DOCS", blocks)
+    monkeypatch.setattr(m, "BLOCK_SETS", blocks)
     rng = random.Random(percent)
     rows = []
     for _ in range(6):
