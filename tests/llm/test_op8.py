@@ -30,3 +30,34 @@ def test_edges(spark):
     assert len(got) == 5 and {r.size for r in got} == {0, 2, 5000}
     again = m.mix(spark.createDataFrame(rows[::-1], schema)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_ties_repeated_ids_and_null_sources(spark):
+    """Systematic sampling over (size, id) in plain Python; rows that tie are interchangeable."""
+    rows = [(i % 7 if i % 5 else None, [None, "a", "", "\x00null"][i % 4], "w " * (i % 3)) for i in range(60)]
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, []).append(r)
+    assert len(by_source) == 4 and len(got) == 60
+    for each in by_source.values():
+        assert len({(r.source_size, r.target) for r in each}) == 1 and each[0].source_size == sum(r.size for r in each)
+        assert abs(sum(r.copies for r in each) - len(each) * each[0].target / each[0].source_size) <= 1
+
+
+def test_a_hot_source_is_ranked_by_ranges(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "hot").otherwise("cold").alias("source"), (F.col("id") % 11).alias("size"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        placed = m.prefix_sums(rows.select("*", *m._no_source()), [F.col(c) for c in ("_none", "_source", "size", "doc_id")], {"rank": None, "words": F.col("size")}, ("_none", "_source"))
+        got = placed.orderBy("source", "size", "doc_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for source in ("hot", "cold"):
+        own, total = [r for r in got if r.source == source], 0
+        for i, r in enumerate(own):
+            assert (r["rank"], r.words) == (i, total)
+            total += r["size"]

@@ -45,9 +45,7 @@ def mixed(docs):
     out = Counter()
     for s in total:
         start = int(hashlib.md5(f"mix:{s}".encode()).hexdigest()[:8], 16) / 2**32
-        bits = lambda n: len(f"{n:b}")
-        blocks = -(-len(docs) // 4096)
-        order = sorted((d for d in docs if d["source"] == s), key=lambda d: (bits(n := size[d["doc_id"]]) * 8 + (n >> max(bits(n) - 3, 0)), d["doc_id"] % blocks, n, d["doc_id"]))
+        order = sorted((d for d in docs if d["source"] == s), key=lambda d: (size[d["doc_id"]], d["doc_id"]))
         r = target[s] / total[s] if total[s] else 0
         for i, d in enumerate(order, 1):
             for _ in range(min(3, int(i * r + start) - int((i - 1) * r + start))):
