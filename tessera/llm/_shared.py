@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that share so many rows may be hot; at most HOT_KEYS of them are dealt over PARTS parts.
@@ -98,3 +98,10 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = side.join(marks, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
+def drop_rows(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key``, a struct, is in ``bad`` (row_key). Only rows that may be are shuffled."""
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(bad.select(F.xxhash64("row_key").alias("key")), "key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).withColumn("key", F.xxhash64("row_key"))
+    return only(keyed, sketch, False).select("row.*").unionByName(only(keyed, sketch, True).join(bad, "row_key", "left_anti").select("row.*"))

@@ -63,13 +63,13 @@ def text_buffer(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     return (_LOWER[raw] if lower else raw), offs - offs[0]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word."""
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SEP[buf]
+    inside = ~separators[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     start, last = inside.copy(), inside.copy()
