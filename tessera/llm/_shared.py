@@ -100,8 +100,21 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
 
 
-def drop_rows(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``key``, a struct, is in ``bad`` (row_key). Only rows that may be are shuffled."""
-    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(bad.select(F.xxhash64("row_key").alias("key")), "key"))
+def _apart(docs: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (row, row_key, key) in two parts: rows whose ``key``, a struct, can't be in ``listed`` (row_key), the rest."""
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(listed.select(F.xxhash64("row_key").alias("key")), "key"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).withColumn("key", F.xxhash64("row_key"))
-    return only(keyed, sketch, False).select("row.*").unionByName(only(keyed, sketch, True).join(bad, "row_key", "left_anti").select("row.*"))
+    return only(keyed, sketch, False), only(keyed, sketch, True)
+
+
+def drop_rows(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``bad``. Only rows that may be are shuffled."""
+    safe, rest = _apart(docs, key, bad)
+    return safe.select("row.*").unionByName(rest.join(bad, "row_key", "left_anti").select("row.*"))
+
+
+def keep_one(docs: DataFrame, key: Column, special: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``special`` (row_key, keep) doesn't keep; of those that it keeps, one with each key."""
+    safe, rest = _apart(docs, key, special)
+    checked = rest.join(special, "row_key", "left").where(F.coalesce("keep", F.lit(True))).dropDuplicates(["row_key"])
+    return safe.select("row.*").unionByName(checked.select("row.*"))

@@ -123,10 +123,10 @@ class LanguageFilters:
         )
         best = (corrected + typical).argmax(1) if k else np.zeros(n, int)
         score = corrected[np.arange(n), best] if k else np.zeros(n)
-        none = (total == 0) | (k == 0)
-        # Single letters hold no n-gram without a mark; they count as text with letters.
-        letters = np.bincount(rows[codes != 32], minlength=n) > 0
-        return np.where(none & ~letters | (k == 0), -1, best), np.where(none, 0.0, score)
+        # Marks alone are no text; a single letter is, though it may hold no n-gram.
+        letters = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
+        told = letters & (k > 0)
+        return np.where(told, best, -1), np.where(told & (total > 0), score, 0.0)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import op10_language as m
@@ -91,3 +95,70 @@ def test_more_languages_than_bits_of_a_word(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = m.predict(docs, m.fit(docs)).collect()
     assert len(got) == len(rows) and all(r.lang == r.lang_pred and r.score > 0.9 for r in got)
+
+
+def brute_mix(x):
+    mask = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return x ^ (x >> 31)
+
+
+def brute_grams(text):
+    """Hashes of the n-grams of 2 to 4 characters of each word between boundary marks."""
+    for word in regex.findall(r"[\p{L}\p{M}]+", (text or "").lower()):
+        marked = f" {word} "
+        for n in m.SIZES:
+            for i in range(len(marked) - n + 1):
+                value = n
+                for c in marked[i : i + n]:
+                    value = (value * 0x1FFFFF + ord(c)) & ((1 << 64) - 1)
+                yield brute_mix(value)
+
+
+def test_fit_and_predict_equal_brute_force(spark, sf_dir):
+    """Sets of slots in plain Python; every labelled document is in the sample."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    counts = {}
+    for doc, text, lang in rows:
+        if text is not None and lang is not None and doc is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+    languages = sorted(counts)
+    rate = {lang: {g: n / sum(counts[lang].values()) for g, n in counts[lang].items()} for lang in languages}
+    places = lambda g: (g & (m.SLOTS - 1), g >> 32 & (m.SLOTS - 1))
+    holds, typical = ({lang: set() for lang in languages} for _ in range(2))
+    for lang in languages:
+        for g, n in counts[lang].items():
+            if n >= m.LEAST:
+                holds[lang].update(places(g))
+                if rate[lang][g] * len(languages) >= sum(rate[x].get(g, 0) for x in languages) * m.SHARE:
+                    typical[lang].update(places(g))
+    want = {}
+    for doc, text, _ in rows:
+        grams = list(brute_grams(text))
+        if not regex.search(r"\p{L}", text or ""):
+            want[doc] = ("und", 0.0)
+            continue
+        each = []
+        for lang in languages:
+            shares = []
+            for slots in (holds[lang], typical[lang]):
+                false = (len(slots) / m.SLOTS) ** 2
+                share = sum(a in slots and b in slots for a, b in map(places, grams)) / max(len(grams), 1)
+                shares.append(min(max((share - false) / (1 - false), 0), 1))
+            each.append((sum(shares), shares[0], lang))
+        best = max(each, key=lambda x: (round(x[0], 12), [-ord(c) for c in x[2]]))
+        want[doc] = (best[2], best[1] if grams else 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in m.op10_language(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for doc, (lang, score) in got.items():
+        assert lang == want[doc][0] and abs(score - want[doc][1]) < 1e-9, doc
+
+
+def test_marks_are_no_letters_and_ties_go_to_the_smallest_name(spark):
+    labelled = spark.createDataFrame([(i, "the same words in both", lang) for i, lang in enumerate(["nn", "nb"] * 5)], "doc_id long, text string, lang string")
+    model = m.fit(labelled)
+    docs = spark.createDataFrame([(1, "\u0301"), (2, "the same words"), (3, "e\u0301"), (4, "12 %"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in m.predict(docs, model).collect()}
+    assert got == {1: "und", 2: "nb", 3: "nb", 4: "und", 5: "und"}
