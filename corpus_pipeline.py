@@ -1,8 +1,8 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next one.
 
 Rejected by language ID: documents without a letter, and those whose best language holds fewer than LEAST_SCORE of
-their n-grams; nothing, where no labels let it learn an n-gram. Of near duplicates (five-word shingles, similarity 0.8) the smallest id stays; documents without words
-have no near duplicates. Documents that share a template window with a benchmark item go. Secrets are masked in place.
+their n-grams; nothing, where no labels let it learn an n-gram. Of near duplicates (five-word shingles, similarity 0.8)
+the smallest id stays; documents without words have no near duplicates. Documents that share a template window with a benchmark item go. Secrets are masked in place.
 The mix puts out each document once per copy, numbered in ``copy``.
 
 Nulls, repeated rows and empty tables are as defined in the operators; of repeated rows one stays.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op1_secrets, op3_jaccard, op8_mixing, op9_decontamination, op10_language
-from tessera.llm._shared import fresh_path, membership_sketch, only, written
+from tessera.llm._shared import fresh_path, keep_one, written
 
 LEAST_SCORE = 0.2
 SHINGLE = 5
@@ -33,13 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Null ids come last, and texts with an equal id are told apart.
     identity = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
     found = op3_jaccard.jaccard_components(docs.select(identity.alias("doc_id"), "text"), SHINGLE, PERCENT)
-    per_row = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(F.col("doc_id") == F.col("component_id")).alias("_keep"))
-    special = written(per_row.where("_n > 1 OR NOT _keep"), "near-duplicates")
-    # Only rows that may go, or that repeat, are shuffled with their texts.
-    sketch = spark.sparkContext.broadcast(membership_sketch(special.select(F.xxhash64("_id").alias("key")), "key"))
-    keyed = docs.withColumn("_id", identity).withColumn("key", F.xxhash64("_id"))
-    checked = only(keyed, sketch, True).join(special, "_id", "left").where(F.coalesce("_keep", F.lit(True))).dropDuplicates(["_id"])
-    return only(keyed, sketch, False).select(*docs.columns).unionByName(checked.select(*docs.columns))
+    per_row = found.groupBy(F.col("doc_id").alias("row_key")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("doc_id") == F.col("component_id")).alias("keep"))
+    return keep_one(docs, identity, written(per_row.where("n > 1 OR NOT keep").select("row_key", "keep"), "near-duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
