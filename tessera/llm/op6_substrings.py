@@ -4,8 +4,9 @@ A word goes if a window of ``window`` consecutive words covers it whose sequence
 smaller id. Three steps:
 
 1. Candidates. Each window has an anchor, the least hash among its 10-word grams; only windows whose anchor occurs in
-   two documents can repeat, and of those the ones whose own hash does are found by a shuffle. Runs of repeated windows
-   become (document, stretch, first document, stretch there).
+   two documents can repeat, and of those the ones whose own hash does are found by a shuffle. Windows with an anchor of
+   very many documents are summed up before that, and their documents dealt over tasks. Runs of repeated windows become
+   (document, stretch, first document, stretch there).
 2. Matching. The stretches of first documents are the reference, cut into shards of bounded size. A shard's automaton
    is sent to all tasks that stream documents with stretches in it (several, if many documents have), and knows for
    each state the smallest document in which its words occur. Matching statistics over a streamed stretch give the
@@ -14,7 +15,8 @@ smaller id. Three steps:
 
 Defined results: a null text has no words; a null id matches nothing and keeps all words; repeated rows, and rows that
 share an id, don't take words from each other, but each loses what smaller ids hold; an empty table gives no rows;
-other columns are ignored. Texts of any length are read whole; what a task holds at once is one text, or one shard.
+other columns are ignored. Texts are taken in slices of about 1 MB, a longer one is held whole, with temporaries of
+some 12 times its size; what a matching task holds is one shard's automaton.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import in_sketch, membership_sketch, only, written
+from tessera.llm._shared import in_sketch, membership_sketch, only, spread_join, written
 from tessera.llm._words import gram_hashes, slices, text_buffer, word_hashes, word_spans
 
 WINDOW = 50
@@ -36,6 +38,11 @@ ANCHOR_GRAM = 10
 PIECE = 8192
 SHARD_WORDS = 100_000
 STREAM_WORDS = 1_000_000
+#: An anchor that so many documents have is frequent.
+FREQUENT = 1000
+#: The bitmap of shared anchors has eight places for each, within these bounds (128 KB to 32 MB). Beyond what it is made
+#: for it lets more windows pass, never fewer.
+ANCHOR_BITS = (20, 28)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,29 +79,31 @@ def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchors[new]), batch.column("doc_id").take(pa.array(rows[new]))], ["h", "doc_id"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
-    return rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    return rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
 
 
-def _repeats(docs: DataFrame, window: int, bits: int) -> DataFrame:
+def _repeats(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, spot, first_doc, first_spot of each window that a smaller document has; spot: text hash << 32 | word."""
-    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(_shared_anchors(docs, window), "h", bits))
+    anchors = written(_shared_anchors(docs, window), "anchors")
+    bits = min(max((8 * anchors.count()).bit_length(), ANCHOR_BITS[0]), ANCHOR_BITS[1])
+    sketch, frequent = (docs.sparkSession.sparkContext.broadcast(membership_sketch(x, "h", bits)) for x in (anchors, anchors.where(F.col("n") > FREQUENT)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each different window of a text, with all its spots: texts that repeat themselves make few rows."""
         for batch in slices(batches):
             hashes, anchors, rows, at = _anchored(batch.column("text"), window)
             keep = np.flatnonzero(in_sketch(sketch.value, anchors, bits))
-            hashes, rows, at = hashes[keep].astype(np.int64), rows[keep], at[keep]
+            hashes, rows, at, often = hashes[keep].astype(np.int64), rows[keep], at[keep], in_sketch(frequent.value, anchors[keep], bits)
             order = np.lexsort((at, hashes, rows))
-            hashes, rows, at = hashes[order], rows[order], at[order]
+            hashes, rows, at, often = hashes[order], rows[order], at[order], often[order]
             new = np.ones(len(rows), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
             first = np.flatnonzero(new)
             spot = (batch.column("th").to_numpy()[rows] << 32) | at
             offsets = np.append(first, len(rows)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[first]), batch.column("doc_id").take(pa.array(rows[first])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot))],
-                ["w", "doc_id", "spots"],
+                [pa.array(hashes[first]), batch.column("doc_id").take(pa.array(rows[first])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot)), pa.array(often[first])],
+                ["w", "doc_id", "spots", "frequent"],
             )
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +128,13 @@ def _repeats(docs: DataFrame, window: int, bits: int) -> DataFrame:
             each = each[hit]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[each], spots[hit], first_doc[each], first_spot[each])], ["doc_id", "spot", "first_doc", "first_spot"])
 
-    rows = docs.where("doc_id IS NOT NULL").mapInArrow(windows, "w long, doc_id long, spots array<long>")
-    ordered = rows.repartition("w").sortWithinPartitions("w", "doc_id", "spots")
-    return ordered.mapInArrow(firsts, "doc_id long, spot long, first_doc long, first_spot long")
+    rows = written(docs.where("doc_id IS NOT NULL").mapInArrow(windows, "w long, doc_id long, spots array<long>, frequent boolean"), "windows")
+    ordered = rows.where("NOT frequent").select("w", "doc_id", "spots").repartition("w").sortWithinPartitions("w", "doc_id", "spots")
+    rare = ordered.mapInArrow(firsts, "doc_id long, spot long, first_doc long, first_spot long")
+    hot = rows.where("frequent")
+    first = hot.groupBy("w").agg(F.min(F.struct("doc_id", F.col("spots")[0].alias("spot"))).alias("f"), F.max("doc_id").alias("b")).where("f.doc_id < b")
+    later = spread_join(hot, first.select("w", F.col("f.doc_id").alias("first_doc"), F.col("f.spot").alias("first_spot")), "w", "doc_id").where("doc_id > first_doc")
+    return rare.unionByName(later.select("doc_id", F.explode("spots").alias("spot"), "first_doc", "first_spot"))
 
 
 def _stretches(repeats: DataFrame) -> DataFrame:
@@ -227,7 +240,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def covered_spans(docs: DataFrame, window: int = WINDOW, bits: int = 25) -> DataFrame:
     """doc_id, th (text hash), spans (array of start, stop in words) of the documents that lose words."""
     spark, keyed = docs.sparkSession, _keyed(docs)
-    runs = written(_stretches(_repeats(keyed, window, bits)), "repeated-stretches")
+    runs = written(_stretches(_repeats(keyed, window)), "repeated-stretches")
     high, low = (lambda c: F.call_function("shiftright", F.col(c), F.lit(32))), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     placed = runs.select("doc_id", high("spot").alias("th"), low("spot").alias("lo"), "n", "first_doc", high("first_spot").alias("fth"), low("first_spot").alias("flo"), "span")
     placed = placed.withColumn("piece", F.floor(F.col("flo") / PIECE))

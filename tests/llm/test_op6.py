@@ -38,8 +38,10 @@ def test_query_equals_sql(spark):
     assert_same(m.op6_substrings(spark, sf_dir), m.SQL, sf_dir)
 
 
-@pytest.mark.parametrize("window,piece,shard", [(50, 8192, 100_000), (12, 16, 40)])
-def test_equals_brute_force(spark, monkeypatch, window, piece, shard):
+@pytest.mark.parametrize("window,piece,shard,frequent", [(50, 8192, 100_000, 1000), (12, 16, 40, 1000), (12, 8192, 1000, 3)])
+def test_equals_brute_force(spark, monkeypatch, window, piece, shard, frequent):
+    monkeypatch.setattr(m, "FREQUENT", frequent)
+    monkeypatch.setattr("tessera.llm._shared.HOT_ROWS", frequent)
     monkeypatch.setattr(m, "PIECE", piece)
     monkeypatch.setattr(m, "SHARD_WORDS", shard)
     monkeypatch.setattr(m, "STREAM_WORDS", 5 * shard)
