@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from pyspark.sql import Window as W
 from tessera.functions.text import BLANKS, trimmed
 
 MAX_SIZE, MIN_SIZE = 800, 100
-_BREAKS = "。\n；"
+#: Marks that a long paragraph may be cut after (fixed values).
+SENTENCE_ENDS = "。\n；"
 
 
 def check_chunking(size: int, overlap: int) -> None:
@@ -47,59 +50,61 @@ def chunk_fixed(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", s
 def chunk_sections(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """Fixed windows without overlap inside sections; a section starts at a line whose first visible character is #."""
     check_chunking(size, 0)
-    lines = docs.select(key, F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line", "content"))
-    order = W.partitionBy(key).orderBy("line")
-    opens = F.col("content").rlike(rf"^{BLANKS}*#") & (F.col("line") > 0)
-    numbered = lines.withColumn("section", F.sum(opens.cast("int")).over(order))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
-    sections = numbered.groupBy(key, "section").agg(trimmed(body).alias("text"))
-    pieces = sections.select(key, "section", F.posexplode(fixed_windows(F.col("text"), size, 0)).alias("piece", "content"))
-    index = F.row_number().over(W.partitionBy(key).orderBy("section", "piece")) - 1
-    return pieces.select(key, index.alias("chunk_index"), "content")
+    lines = F.regexp_replace("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
+    sections = F.split(lines, rf"(?dm)^(?=[{BLANKS[1:-1]}&&[^\n]]*#)")
+    pieces = F.flatten(F.transform(sections, lambda s: fixed_windows(trimmed(s), size, 0)))
+    return docs.select(key, F.posexplode(pieces).alias("chunk_index", "content"))
+
+
+def section_starts(text: str) -> list[int]:
+    """Where the lines begin that open a section; the text's start is one of these only if it does."""
+    return [m.start() for m in re.finditer(r"^[^\S\n]*#", text, re.MULTILINE)]
 
 
 def header_sections(text: str) -> list[tuple[str, str]]:
-    """(header, body) pairs; a section without header needs a body that isn't blank."""
-    found, header, body = [], "", []
-    for line in re.split(r"\r?\n", text.removesuffix("\n")) if text else []:
-        if line.lstrip().startswith("#"):
-            found.append((header, "".join(body)))
-            header, body = line.lstrip(), []
-        else:
-            body.append(line + "\n")
-    found.append((header, "".join(body)))
-    return [(h, b) for h, b in found if h or b.strip()]
-
-
-def _by_breaks(text: str, most: int) -> Iterator[str]:
-    """Pieces of at most ``most`` characters, cut after the last sentence mark in a piece's second half if it has one."""
-    start = 0
-    while start < len(text):
-        stop = start + most
-        if stop < len(text):
-            mark = max(text.rfind(b, start + most // 2, stop) for b in _BREAKS)
-            stop = mark + 1 if mark >= 0 else stop
-        yield text[start:stop].strip()
-        start = stop
-
-
-def _long_section(text: str, most: int, least: int) -> list[str]:
+    """(header, body) pairs; a section without header needs a body that isn't blank. Lines end with a line feed each."""
+    text = text.replace("\r\n", "\n")
+    if not text.endswith("\n"):
+        text += "\n"
+    at = section_starts(text)
+    cuts = [*at, len(text)]
+    found = [("", text[: cuts[0]])] if text[: cuts[0]].strip() else []
+    for a, b in zip(at, cuts[1:], strict=True):
+        header, _, body = text[a:b].partition("\n")
+        found.append((header.lstrip(), body))
+    return found
+
+
+def sentence_cuts(text: str, most: int) -> list[int]:
+    """Cut points no more than ``most`` apart: after the last sentence end in a piece's second half, or at full length."""
+    ends = [m.end() for m in re.finditer(f"[{SENTENCE_ENDS}]", text)]
+    cuts = [0]
+    while len(text) - cuts[-1] > most:
+        here = bisect_right(ends, cuts[-1] + most) - 1
+        cuts.append(ends[here] if here >= 0 and ends[here] > cuts[-1] + most // 2 else cuts[-1] + most)
+    return [*cuts, len(text)]
+
+
+def paragraph_packs(lengths: list[int], most: int) -> list[int]:
+    """Where packs of paragraphs begin, each filled while the next paragraph fits into ``most``, two separators counted."""
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(lengths, np.int64) + 2)])
+    with_own = before[:-1] + np.array(lengths, np.int64)
+    packs = [0]
+    while (stop := max(packs[-1] + 1, int(np.searchsorted(with_own, most + before[packs[-1]], side="right")))) < len(lengths):
+        packs.append(stop)
+    return packs
+
+
+def split_section(text: str, most: int, least: int) -> list[str]:
+    """A long section in pieces: its only paragraph cut at sentence ends, or several packed; a short last pack joins the one before."""
     paragraphs = [p for p in text.split("\n\n") if p.strip()]
-    if not paragraphs:
-        return [text]
-    if len(paragraphs) == 1:
-        return [p for p in _by_breaks(text, most) if p]
-    packs, pack = [], ""
-    for p in paragraphs:
-        if pack and len(pack) + len(p) > most:
-            packs.append(pack.strip())
-            pack = ""
-        pack += p + "\n\n"
-    tail = pack.strip()
-    if packs and len(tail) < least:
-        packs[-1] += "\n\n" + tail
-    elif tail:
-        packs.append(tail)
+    if len(paragraphs) < 2:
+        cuts = sentence_cuts(text, most)
+        return [text[a:b].strip() for a, b in zip(cuts, cuts[1:])]
+    at = [*paragraph_packs([len(p) for p in paragraphs], most), len(paragraphs)]
+    packs = ["\n\n".join(paragraphs[a:b]).strip() for a, b in zip(at, at[1:])]
+    if len(packs) > 1 and len(packs[-1]) < least:
+        packs[-2:] = ["\n\n".join(packs[-2:])]
     return packs
 
 
@@ -109,18 +114,13 @@ def structure_pieces(text: str, most: int = MAX_SIZE, least: int = MIN_SIZE) ->
     A piece shorter than ``least`` is appended to the chunk before it, which may grow beyond ``most`` by that and keeps
     its section; only a first chunk may be short.
     """
-    out: list[list[str]] = []
+    pieces = []
     for header, body in header_sections(text):
         whole = f"{header}\n{body}" if header else body
-        label = header.lstrip("#").strip()
-        short = len(whole.strip()) <= most
-        for piece in [whole.strip()] if short else _long_section(whole, most, least):
-            piece = piece.strip()
-            if piece and out and len(piece) < least:
-                out[-1][1] += "\n\n" + piece
-            elif piece:
-                out.append([label, piece])
-    return [(s, c) for s, c in out]
+        split = [whole] if len(whole.strip()) <= most else split_section(whole, most, least)
+        pieces += [(header.lstrip("#").strip(), p) for p in map(str.strip, split) if p]
+    begins = [i for i, (_, p) in enumerate(pieces) if i == 0 or len(p) >= least]
+    return [(pieces[a][0], "\n\n".join(p for _, p in pieces[a:b])) for a, b in zip(begins, [*begins, len(pieces)][1:], strict=True)]
 
 
 def chunk_structure(docs: DataFrame, most: int = MAX_SIZE, least: int = MIN_SIZE, key: str = "doc_id", cut: Callable = structure_pieces) -> DataFrame:
