@@ -1,16 +1,17 @@
 """Secret scans with a random forest for false-positive removal, in DataFrame and pyspark.ml operations only.
 
-Candidates are all runs of at least LEAST_LENGTH token characters in words with a digit or mixed case; runs that dots
-join are one, and what is assigned to a secret's name inside the word needs LEAST_NAMED characters only. Each carries its
-length, character transitions, dictionary coverage, path features, its neighbouring words and the text beside it in its
-word. A random forest trained
-on labelled findings gives the probability that it is a secret; those below the threshold are false positives.
+Candidates are all runs of at least LEAST_LENGTH token characters, and those of at least LEAST_NAMED that mix letters and
+digits or are assigned to a secret's name, in their own word or in the words before; runs that dots join are one. Each
+carries its length, character transitions, dictionary coverage, path features, its neighbouring words and the text beside
+it in its word. A random forest trained on labelled findings gives the probability that it is a secret; those below the
+threshold are false positives.
 
 The forest is fitted on at most about SAMPLE findings of each label (drawn by a hash); everything else covers all words
-of all texts. Labelled findings come from the caller; where there are none, ``labelled`` derives them: a mixed
-letter-digit run assigned to a name like ``token``, in its own word or in those before, and keys of known formats are
-secrets; numbers and identifiers made of words that aren't assigned to such a name are not; the rest is left undecided,
-is not learned from, and gets the forest's probability.
+of all texts. Labelled findings come from the caller (``train`` takes any, as tests do with a set that no rule made); where there are
+none, ``labelled`` derives them: a mixed letter-digit run assigned to a name like ``token``, in its own word or in those
+before, and keys of known formats are secrets; numbers and identifiers made of words that aren't assigned to such a name
+are not; the rest is left undecided, is not learned from, and gets the forest's probability. The forest isn't told what
+the rules decide by: it sees whether a secret's name is anywhere near, not whether it is assigned to, and no key format.
 
 Defined results: null and empty texts have no findings; repeated rows are found as often as they occur; an empty table
 gives no rows; with one label only, every finding gets that label, and 0 with none; a null path counts as empty; null ids pass through.
@@ -47,6 +48,7 @@ FOUND = (
     rf"{_LONG}={{0,2}}(?:(?:\.{_VALUE}{{1,{LEAST_LENGTH - 1}}}){{0,3}}\.{_LONG}={{0,2}}){{0,64}}"
     rf"|(?<=(?i:{NAME})[\"']?(?::=|=>|[:=])[\"']?){_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
     rf"|(?!{_RUN}*{_LONG})(?!{_RUN}*(?i:{NAME})={_VALUE}{{{LEAST_NAMED}}}){TOKEN}"
+    rf"|{_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
 )
 #: Keys that their issuers give a fixed form, and numbers or identifiers made of words (fixed values).
 KEY_FORMAT = (
@@ -60,7 +62,7 @@ NEAR = 100
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
 FEATURES = [
     "length", "digits", "uppers", "symbols", "distinct", "changes", "common", "coverage", "longest", "hexadecimal",
-    "named", "assigned", "format", "quoted", "known_before", "known_after", "path_example", "path_depth",
+    "name_near", "assigned", "quoted", "known_before", "known_after", "path_example", "path_depth",
 ]
 
 
@@ -68,14 +70,18 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """All candidates of ``docs`` (doc_id, text, path column): word number, number in the word, neighbouring words, text beside."""
     place = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
     words = docs.select("doc_id", place.alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    near = """filter(transform(w, (x, i) -> if(length(x) >= {n} and x rlike '[0-9]|[a-z][A-Z]',
+    # Words that may hold a candidate; which runs of theirs are some is decided below.
+    near = """filter(transform(w, (x, i) -> if(length(x) >= {n} and (length(x) >= {long} or x rlike '[0-9]' or x rlike '(?i){name}'
+        or get(w, i - 1) rlike '^(=|:|:=|=>)$' or get(w, i - 1) rlike '(?i){name}'),
         struct(i as pos, x as word, right(get(w, i - 2), {k}) as before2, right(get(w, i - 1), {k}) as before1, left(get(w, i + 1), {k}) as after1), null)), x -> x is not null)"""
-    each = words.select("doc_id", "path", F.explode(F.expr(near.format(n=LEAST_LENGTH, k=NEAR))).alias("f")).select("doc_id", "path", "f.*")
+    each = words.select("doc_id", "path", F.explode(F.expr(near.format(n=LEAST_NAMED, long=LEAST_LENGTH, name=NAME, k=NEAR))).alias("f")).select("doc_id", "path", "f.*")
     runs = each.withColumns({"runs": F.regexp_extract_all("word", F.lit(FOUND), F.lit(0)), "gaps": F.split("word", FOUND)}).where(F.size("runs") > 0)
     beside = """transform(runs, (x, i) -> struct(i as run, x as candidate,
         right(concat(coalesce(get(runs, i - 1), ''), get(gaps, i)), {k}) as left, left(concat(get(gaps, i + 1), coalesce(get(runs, i + 1), '')), {k}) as right))"""
     names = ["doc_id", "path", "pos", "before2", "before1", "after1"]
-    return runs.select(*names, F.explode(F.expr(beside.format(k=NEAR))).alias("r")).select(*names, "r.*")
+    each = runs.select(*names, F.explode(F.expr(beside.format(k=NEAR))).alias("r")).select(*names, "r.*")
+    c = F.col("candidate")
+    return each.where((F.length(c) >= LEAST_LENGTH) | c.rlike("[0-9]") & c.rlike("[A-Za-z]") | _named()[0])
 
 
 def _named() -> tuple[Column, Column]:
@@ -92,8 +98,7 @@ def labelled(found: DataFrame) -> DataFrame:
     """``found`` with label 1.0, 0.0 or null by rules of high precision, for want of findings labelled by people."""
     c = F.col("candidate")
     named, _ = _named()
-    least = F.when(F.col("left").rlike("[:=]"), LEAST_NAMED).otherwise(20)  # a sign in the word itself is the surer one
-    secret = c.rlike(KEY_FORMAT) | named & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= least)
+    secret = c.rlike(KEY_FORMAT) | named & c.rlike("[0-9]") & c.rlike("[A-Za-z]")
     return found.withColumn("label", F.when(secret, 1.0).when(~named & c.rlike(PLAIN), 0.0))
 
 
@@ -109,7 +114,8 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
     covered = F.aggregate(known, F.lit(0), lambda acc, x: acc + F.length(x))
     pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.lower(F.substr(c, i, F.lit(2))))
     common = F.size(F.filter(pairs, lambda x: x.isin(transitions) if transitions else F.lit(False)))
-    named, assigned = _named()
+    _, assigned = _named()
+    beside = F.concat_ws(" ", "before2", "before1", "left")
     return found.select(
         "*",
         size.cast("double").alias("length"),
@@ -122,9 +128,8 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
         (covered / size).alias("coverage"),
         (F.array_max(F.transform(F.split(c, "[^A-Za-z]+"), F.length)) / size).alias("longest"),
         c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hexadecimal"),
-        named.cast("double").alias("named"),
+        beside.rlike(f"(?i){NAME}").cast("double").alias("name_near"),
         assigned.cast("double").alias("assigned"),
-        c.rlike(KEY_FORMAT).cast("double").alias("format"),
         F.col("left").rlike("[\"'`]$").cast("double").alias("quoted"),
         clean(F.col("before1")).isin(dictionary or [""]).cast("double").alias("known_before"),
         clean(F.col("after1")).isin(dictionary or [""]).cast("double").alias("known_after"),
@@ -192,16 +197,16 @@ def scan(docs: DataFrame, model: SecretModel | None = None, path: str = "source"
 
 def redact(docs: DataFrame, model: SecretModel | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by MASK. Only rows with a candidate are joined."""
-    key = ["doc_id", F.xxhash64("text").alias("_text")]
-    secrets = scan(docs.select(F.struct(*key).alias("doc_id"), "text", *([path] if path in docs.columns else [])), model, path, threshold)
-    per_doc = secrets.where("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_secrets"))
-    per_doc = per_doc.select(F.coalesce("doc_id.doc_id", F.lit(0)).alias("_id"), F.col("doc_id.doc_id").isNull().alias("_none"), F.col("doc_id._text").alias("_text"), "_secrets")
-    may = F.coalesce(F.col("text").rlike(FOUND), F.lit(False))
-    keyed = docs.where(may).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_text": F.xxhash64("text")})
-    joined = keyed.join(per_doc, ["_id", "_none", "_text"], "left")
-    longest_first = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
-    clean = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda acc, s: F.replace(acc, s, F.lit(MASK))))
-    return docs.where(~may).unionByName(joined.withColumn("text", clean).select(*docs.columns))
+    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("t"))
+    secrets = scan(docs.select(key.alias("doc_id"), "text", *([path] if path in docs.columns else [])), model, path, threshold)
+    per_doc = written(secrets.where("is_secret").groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set("candidate").alias("secrets")), "secrets")
+    # Only texts with anything like a candidate are joined; the secrets' side is broadcast where Spark finds it small.
+    may = F.coalesce(F.col("text").rlike(rf"[0-9]|(?i:{NAME})|{_LONG}"), F.lit(False))
+    rows = docs.where(may).select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).join(per_doc, "row_key", "left")
+    longest_first = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
+    masked = F.aggregate(longest_first, F.col("row.text"), lambda acc, s: F.replace(acc, s, F.lit(MASK)))
+    clean = F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(masked)
+    return docs.where(~may).unionByName(rows.select(*[clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
