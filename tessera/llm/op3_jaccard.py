@@ -206,30 +206,37 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, node (hash of the set; null if empty), n_shingles, e_own, e_below (empty segments in its two classes), and
-    sigs, the signatures of its segments, which a task puts out once for equal sets."""
+    """doc_id, node (hash of the set; null if empty), n_shingles, e_own, e_below (empty segments in its two classes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
         for batch in slices(batches):
             grams, owners = shingle_sets(batch.column("text"), shingle)
             sizes, nodes = set_hashes(grams, owners, batch.num_rows)
             own, below = empty_segments(grams, owners, sizes, percent)
-            new = seen.first(nodes, sizes > 0)
-            use = new[owners]
-            sigs, rows = signatures(grams[use], owners[use], np.where(new, sizes, 0), percent)
-            sigs = sigs[np.argsort(rows, kind="stable")]
             columns = [batch.column("doc_id"), pa.array(nodes, pa.int64(), mask=sizes == 0), *(pa.array(x, pa.int64()) for x in (sizes, own, below))]
-            columns.append(_lists(sigs, np.bincount(rows, minlength=batch.num_rows)))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "e_own", "e_below", "sigs"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "e_own", "e_below"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, e_own long, e_below long, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, e_own long, e_below long")
+
 
+def _segments(docs: DataFrame, shingle: int, percent: int, sketch=None) -> DataFrame:
+    """sig, node: the signatures of each set, or of those of the documents in the sketch; a task puts out equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            if sketch is not None:
+                batch = batch.filter(pa.array(in_sketch(sketch.value, batch.column("key").to_numpy())))
+            for part in slices(iter([batch])):
+                grams, owners = shingle_sets(part.column("text"), shingle)
+                sizes, nodes = set_hashes(grams, owners, part.num_rows)
+                new = seen.first(nodes, sizes > 0)
+                use = new[owners]
+                sigs, rows = signatures(grams[use], owners[use], np.where(new, sizes, 0), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(nodes[rows])], ["sig", "node"])
 
-def _segments(described: DataFrame) -> DataFrame:
-    """sig, node: the signatures of each set."""
-    return described.select("node", F.explode("sigs").alias("sig"))
+    return docs.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "sig long, node long")
 
 
 def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +260,7 @@ def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(a), np.concatenate(b), np.concatenate(kind)
 
 
-def _candidates(described: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) whose connected groups hold every pair over the threshold, and the sets that can have links: node,
     n, o, b, even, odd."""
 
@@ -319,14 +326,14 @@ def _candidates(described: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
             yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
 
     ordered = lambda df: df.repartition("sig").sortWithinPartitions("sig", "node")
-    counts = ordered(_segments(described)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
+    counts = ordered(_segments(docs, shingle, percent)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
         F.count_if(F.col("odd") == 0).alias("even"), F.count_if(F.col("odd") == 1).alias("odd")
     )
-    met_others = sets.select("node", "n", "o", "b").join(counts, "node")
+    met_others = sets.select("node", "n", "o", "b", "doc_id").join(counts, "node")
     nodes = written(met_others.mapInArrow(linkable, met_others.schema), "jaccard-linkable")
-    sketch = described.sparkSession.sparkContext.broadcast(membership_sketch(nodes, "node"))
-    again = only(described.where("size(sigs) > 0").select(F.col("node").alias("key"), "node", "sigs"), sketch, True)
-    met = ordered(_segments(again)).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes.select(F.xxhash64("doc_id").alias("key")), "key"))
+    again = _segments(docs, shingle, percent, sketch)
+    met = ordered(again).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
     met = written(met, "jaccard-meetings")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("b").alias(f"b{x}"))
     pairs = met.where("kind < 2").join(side("a"), "a").join(side("b"), "b").mapInArrow(filtered, "a long, b long")
@@ -518,7 +525,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         ),
         "jaccard-nodes",
     )
-    candidates, nodes = _candidates(described, sets, percent)
+    candidates, nodes = _candidates(docs, sets, shingle, percent)
     members = _members(described, sets, nodes, components(candidates))
     segments = _fragments(docs, members, shingle)
     settled = written(_hub_links(segments, percent), "jaccard-hubs")
