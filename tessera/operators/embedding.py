@@ -19,6 +19,7 @@ DOCUMENT, QUERY = "DOCUMENT", "QUERY"
 DIMENSION = 64
 BATCH = 32
 KEPT_GRAMS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 @dataclass(frozen=True)
@@ -63,21 +64,34 @@ def _hashed(gram: str) -> tuple[int, int]:
 
 
 def hashed_ngrams(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
-    """A row per text: signed counts of its 1- to 3-grams of lower-cased characters, of length 1 unless all are 0."""
+    """A row per text: signed counts of its 1- to 3-grams of lower-cased characters, of length 1 unless all are 0.
+
+    The n-grams of SLICE_CHARS characters are made distinct at once, so each of these is hashed once.
+    """
     out = np.zeros((len(texts), dimension))
-    for row, text in enumerate(texts):
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lowered = [(t or "").lower() for t in texts]
+    ends = np.cumsum([len(t) for t in lowered])
+    start = 0
+    while start < len(texts) and dimension:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_CHARS, side="right")))
+        part = lowered[start:stop]
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        rows = np.repeat(np.arange(len(part)), [len(t) for t in part])
         for n in (1, 2, 3):
             m = len(codes) - n + 1
-            if m <= 0 or not dimension:
+            if m <= 0:
                 break
             packed = codes[:m].copy()
             for j in range(1, n):
                 packed = (packed << np.uint64(21)) | codes[j : m + j]
-            for value, count in zip(*(x.tolist() for x in np.unique(packed, return_counts=True)), strict=True):
-                gram = "".join(chr(value >> 21 * (n - 1 - j) & 0x1FFFFF) for j in range(n))
-                spot, sign = _hashed(gram)
-                out[row, spot % dimension] += sign * count
+            at = np.flatnonzero(rows[:m] == rows[n - 1 :])
+            grams, which = np.unique(packed[at], return_inverse=True)
+            hashed = [_hashed("".join(chr(value >> 21 * (n - 1 - j) & 0x1FFFFF) for j in range(n))) for value in grams.tolist()]
+            spots = np.array([spot % dimension for spot, _ in hashed], np.int64)[which] if hashed else which
+            signs = np.array([sign for _, sign in hashed], np.float64)[which] if hashed else which
+            out[start:stop] += np.bincount(rows[at] * dimension + spots, signs, len(part) * dimension).reshape(len(part), dimension)
+        start = stop
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 

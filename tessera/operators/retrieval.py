@@ -2,8 +2,9 @@
 
 Queries and corpus are DataFrames. Vector search compares blocks: a block of queries of bounded size goes to every task
 of the corpus scan, each task keeps its own best k per query, and one window over these few rows gives the ranks. More
-queries than a block holds are searched block by block. Lexical search finds all terms of a block in one pass over each
-text with an automaton, so its cost doesn't grow with the number of queries.
+queries than a block holds are searched block by block. Lexical search works alike: an automaton finds all terms of a
+block in one pass over each text, and a matrix product scores the texts inside the task. BM25 reads the corpus twice,
+for the document frequencies, summed up in the tasks, and for the scores.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from tessera.functions.text import distinct_terms, segments
 
 QUERY_BLOCK_BYTES = 32 << 20
 TERM_BLOCK_CHARS = 8 << 20
+#: Bounds of the matrices of queries and terms, and of texts and terms.
+FACTOR_CELLS = 4 << 20
+TEXT_CELLS = 1 << 20
 RRF_K = 60
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -142,81 +146,167 @@ def query_term_rows(queries: DataFrame, terms: Segmenter = distinct_terms) -> Da
     return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        automaton.add_word(w, (i, len(w)))
+    automaton.make_automaton()
+    return automaton
+
+
+def _counted(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and number of non-overlapping occurrences, where there are any."""
+    rows, spots, counts = [], [], []
+    for row, text in enumerate(texts):
+        tf: dict[int, int] = {}
+        free: dict[int, int] = {}
+        for end, (i, n) in automaton.iter(text or ""):
+            if end - n + 1 >= free.get(i, 0):
+                tf[i] = tf.get(i, 0) + 1
+                free[i] = end + 1
+        spots += tf.keys()
+        counts += tf.values()
+        rows += [row] * len(tf)
+    return np.array(rows, np.int64), np.array(spots, np.int64), np.array(counts, np.int64)
+
+
+def _term_blocks(terms: DataFrame) -> Iterator[list[str]]:
+    """Distinct terms in blocks of bounded size."""
+    block, size = [], 0
+    for r in terms.where("term <> ''").select("term").distinct().toLocalIterator():
+        block.append(r.term)
+        size += len(r.term)
+        if size >= TERM_BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _united(parts: list[DataFrame], corpus: DataFrame, schema: str) -> DataFrame:
+    out = corpus.sparkSession.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def term_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, id, tf: non-overlapping occurrences of each distinct ``term`` in ``corpus`` (id, text), where there are any."""
-    id_type = corpus.schema["id"].dataType.simpleString()
-    found, block, size = None, [], 0
+    schema = f"term string, id {corpus.schema['id'].dataType.simpleString()}, tf long"
 
     def search(words: list[str]) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(words)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
+            automaton, names = _automaton(shared.value), pa.array(shared.value)
+            for batch in batches:
+                rows, spots, counts = _counted(automaton, batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(spots)), batch.column("id").take(pa.array(rows)), pa.array(counts)], ["term", "id", "tf"])
+
+        return corpus.select("id", "text").mapInArrow(run, schema)
+
+    return _united([search(words) for words in _term_blocks(terms)], corpus, schema)
+
+
+def document_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """term, df: in how many texts each distinct term occurs, if in any; each task sums up what it finds."""
+
+    def search(words: list[str]) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(words)
 
-            automaton = ahocorasick.Automaton()
-            for i, w in enumerate(shared.value):
-                automaton.add_word(w, (i, len(w)))
-            automaton.make_automaton()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, total = _automaton(shared.value), np.zeros(len(shared.value), np.int64)
             for batch in batches:
-                spots, rows, counts = [], [], []
-                for row, text in enumerate(batch.column("text").to_pylist()):
-                    tf: dict[int, int] = {}
-                    free: dict[int, int] = {}
-                    for end, (i, n) in automaton.iter(text or ""):
-                        if end - n + 1 >= free.get(i, 0):
-                            tf[i] = tf.get(i, 0) + 1
-                            free[i] = end + 1
-                    spots += tf.keys()
-                    counts += tf.values()
-                    rows += [row] * len(tf)
-                names = pa.array(shared.value).take(pa.array(spots, pa.int64()))
-                yield pa.RecordBatch.from_arrays([names, batch.column("id").take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64())], ["term", "id", "tf"])
-
-        return corpus.select("id", "text").mapInArrow(run, f"term string, id {id_type}, tf long")
+                _, spots, _ = _counted(automaton, batch.column("text").to_pylist())
+                total += np.bincount(spots, minlength=len(total))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()).take(pa.array(some)), pa.array(total[some])], ["term", "df"])
 
-    for r in terms.where("term <> ''").select("term").distinct().toLocalIterator():
-        block.append(r.term)
-        size += len(r.term)
-        if size >= TERM_BLOCK_CHARS:
-            part = search(block)
-            found, block, size = part if found is None else found.unionByName(part), [], 0
-    if block:
-        part = search(block)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else corpus.sparkSession.createDataFrame([], f"term string, id {id_type}, tf long")
+        return corpus.select("text").mapInArrow(run, "term string, df long")
+
+    return _united([search(words) for words in _term_blocks(terms)], corpus, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _by_terms(wanted: DataFrame, corpus: DataFrame, k: int, mean: float | None = None) -> DataFrame:
+    """query_id, id, score: each task's k best texts for each query (query_id, term, weight, idf) among those that hold a
+    term: the sum of weight * idf * BM25's share of the occurrences with a ``mean`` length, or without of weight * occurrences.
+
+    Queries go to the tasks in blocks of bounded size, as a matrix of queries and terms; its product with the counts of a
+    few texts gives their scores, so neither counts nor scores of single texts leave the task.
+    """
+    id_kind, query_kind = (to_arrow_type(df.schema[c].dataType) for df, c in ((corpus, "id"), (wanted, "query_id")))
+    schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
+
+    def search(ids: list, words: dict[str, int], cells: list[tuple[int, int, float]]) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, list(words), cells))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, words, cells = shared.value
+            automaton, factors = _automaton(words), np.zeros((len(words), len(ids)))
+            for q, t, x in cells:
+                factors[t, q] = x
+            best_score, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
+            step = max(1, TEXT_CELLS // max(len(words), len(ids)))
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    texts, keys = batch.column("text").to_pylist(), np.array(batch.column("id").to_pylist(), object)
+                    rows, spots, counts = _counted(automaton, texts)
+                    values = counts.astype(np.float64)
+                    if mean is not None:
+                        size = np.array([len(t or "") for t in texts])[rows]
+                        values = values * (K1 + 1) / (values + K1 * (1 - B + B * size / mean))
+                    found = np.zeros((len(texts), len(words)))
+                    found[rows, spots] = values
+                    scores = np.concatenate([best_score, np.round(found @ factors, DIGITS).T], 1)
+                    names = np.concatenate([best_id, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
+                    pick = [_best(scores[i], names[i], min(k, names.shape[1]), False) for i in range(len(ids))]
+                    best_score = np.array([scores[i, p] for i, p in enumerate(pick)]).reshape(len(ids), -1)
+                    best_id = np.array([names[i, p] for i, p in enumerate(pick)], object).reshape(len(ids), -1)
+            q, j = np.nonzero(best_score > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_kind), pa.array(best_id[q, j].tolist(), id_kind), pa.array(best_score[q, j])], ["query_id", "id", "score"])
+
+        return corpus.select("id", "text").mapInArrow(run, schema)
+
+    parts, ids, words, cells = [], [], {}, []
+    for r in wanted.where("term <> ''").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("x"))).alias("terms")).toLocalIterator():
+        if ids and len(ids) * (len(words) + len(r.terms)) > FACTOR_CELLS:
+            parts.append(search(ids, words, cells))
+            ids, words, cells = [], {}, []
+        cells += [(len(ids), words.setdefault(t.term, len(words)), t.x) for t in r.terms]
+        ids.append(r.query_id)
+    if ids:
+        parts.append(search(ids, words, cells))
+    return _united(parts, corpus, schema)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_statistics(terms: DataFrame, tf: DataFrame, corpus: DataFrame) -> DataFrame:
-    """term, doc_freq, idf of all distinct terms, those that don't occur included."""
-    counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_statistics(terms: DataFrame, counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """term, doc_freq, idf of all distinct terms with the document frequencies ``counts``, those that don't occur included."""
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     known = terms.select("term").distinct().join(counts, "term", "left").crossJoin(F.broadcast(n))  # n is one row
     df = F.coalesce("df", F.lit(0))
     return known.select("term", df.alias("doc_freq"), idf(F.col("n"), df).alias("idf"))
 
 
-def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments, tf: DataFrame | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments, stats: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank by BM25 with lengths in characters; a term that a query repeats counts again."""
     wanted = query_term_rows(queries, terms)
-    tf = term_frequencies(wanted, corpus) if tf is None else tf
-    stats = term_statistics(wanted, tf, corpus)
-    mean = corpus.agg(F.avg(F.length("text")).alias("mean"))
-    sized = tf.join(corpus.select("id", F.length("text").alias("size")), "id")
-    rows = wanted.join(stats, "term").join(sized, "term").crossJoin(F.broadcast(mean))  # mean is one row
-    tf_part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf") * tf_part), DIGITS).alias("score"))
-    return _ranked(scored.where("score > 0"), k)
+    if stats is None:
+        stats = term_statistics(wanted, document_frequencies(wanted, corpus), corpus)
+    mean = corpus.agg(F.avg(F.length("text"))).first()[0]
+    return _ranked(_by_terms(wanted.join(stats, "term"), corpus, k, mean or 1.0), k)
 
 
 def lexical_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = distinct_terms) -> DataFrame:
     """query_id, id, score, rank by the sum of the occurrences of a query's distinct terms."""
-    wanted = query_term_rows(queries, terms)
-    rows = wanted.join(term_frequencies(wanted, corpus), "term")
-    return _ranked(rows.groupBy("query_id", "id").agg(F.sum("tf").cast("double").alias("score")), k)
+    wanted = query_term_rows(queries, terms).select("query_id", "term", F.lit(1.0).alias("weight"), F.lit(1.0).alias("idf"))
+    return _ranked(_by_terms(wanted, corpus, k), k)
 
 
 def specificity(queries: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -230,7 +320,7 @@ def specificity(queries: DataFrame, stats: DataFrame, wanted: DataFrame) -> Data
 def analyze_queries(queries: DataFrame, corpus: DataFrame, terms: Segmenter = segments) -> DataFrame:
     """Per query and term: doc_freq and idf; per query: specificity and weights; formatted to three decimals."""
     wanted = query_term_rows(queries, terms)
-    stats = term_statistics(wanted, term_frequencies(wanted, corpus), corpus)
+    stats = term_statistics(wanted, document_frequencies(wanted, corpus), corpus)
     own = specificity(queries, stats, wanted)
     three = lambda c: F.format_string("%.3f", F.round(c, 3)).alias(c)
     rows = own.join(wanted, "query_id", "left").join(stats, "term", "left")
@@ -246,20 +336,24 @@ def fuse(lists: list[tuple[DataFrame, Column]], k: int) -> DataFrame:
     return _ranked(every.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score")), k)
 
 
-def hybrid_static(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = distinct_terms) -> DataFrame:
-    """Fusion of vector ranks (weight 0.8) and lexical ranks (weight 1), 3k candidates of each."""
+def hybrid_static(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = distinct_terms, texts: DataFrame | None = None) -> DataFrame:
+    """Fusion of vector ranks (weight 0.8) and lexical ranks (weight 1), 3k candidates of each.
+
+    ``texts`` (id, text) is the corpus without vectors, so that these aren't computed for the lexical side.
+    """
     by_vector = vector_search(queries, corpus, 3 * k, "clamped")
-    fused = fuse([(by_vector, F.lit(0.8)), (lexical_search(queries, corpus, 3 * k, terms), F.lit(1.0))], k)
-    return fused
+    by_terms = lexical_search(queries, corpus if texts is None else texts, 3 * k, terms)
+    return fuse([(by_vector, F.lit(0.8)), (by_terms, F.lit(1.0))], k)
 
 
-def hybrid_adaptive(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments) -> DataFrame:
-    """Fusion of vector and BM25 ranks with weights by the query's specificity, 3k candidates of each."""
+def hybrid_adaptive(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments, texts: DataFrame | None = None) -> DataFrame:
+    """Fusion of vector and BM25 ranks with weights by the query's specificity, 3k candidates of each; ``texts`` as above."""
+    texts = corpus if texts is None else texts
     wanted = query_term_rows(queries, terms)
-    tf = term_frequencies(wanted, corpus)
-    weights = specificity(queries, term_statistics(wanted, tf, corpus), wanted)
+    stats = term_statistics(wanted, document_frequencies(wanted, texts), texts).persist()  # a row for each term of the queries
+    weights = specificity(queries, stats, wanted)
     by_vector = vector_search(queries, corpus, 3 * k, "cosine", "zero").join(weights, "query_id")
-    by_terms = bm25_search(queries, corpus, 3 * k, terms, tf).join(weights, "query_id")
+    by_terms = bm25_search(queries, texts, 3 * k, terms, stats).join(weights, "query_id")
     return fuse([(by_vector, F.col("vector_weight")), (by_terms, F.col("bm25_weight"))], k)
 
 

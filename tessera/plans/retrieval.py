@@ -213,13 +213,13 @@ def analyze(spark, sf_dir):
 
 
 def hybrid_static(spark, sf_dir):
-    chunks, queries = _vectors(_chunks(spark, sf_dir)), _vectors(_queries(spark, sf_dir))
-    return retrieval.hybrid_static(queries, chunks, K).select("query_id", "id", "score", "rank")
+    chunks, queries = _chunks(spark, sf_dir), _vectors(_queries(spark, sf_dir))
+    return retrieval.hybrid_static(queries, _vectors(chunks), K, texts=chunks).select("query_id", "id", "score", "rank")
 
 
 def hybrid_adaptive(spark, sf_dir):
-    chunks, queries = _vectors(_chunks(spark, sf_dir)), _vectors(_queries(spark, sf_dir))
-    return retrieval.hybrid_adaptive(queries, chunks, K).select("query_id", "id", "score", "rank")
+    chunks, queries = _chunks(spark, sf_dir), _vectors(_queries(spark, sf_dir))
+    return retrieval.hybrid_adaptive(queries, _vectors(chunks), K, texts=chunks).select("query_id", "id", "score", "rank")
 
 
 def _quoted(words: list[str]) -> str:
