@@ -14,7 +14,7 @@ def document_listing(documents: DataFrame, chunks: DataFrame, vectors: DataFrame
     )
     rows = documents.join(per_document.withColumnRenamed("document_id", "id"), "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.withColumns({"chunk_count": zero("chunk_count"), "vector_count": zero("vector_count")})
+    return rows.withColumns({"chunk_count": zero("chunk_count"), "vector_count": zero("vector_count")}).orderBy("file_name", "id")
 
 
 def profile_listing(profiles: DataFrame, states: DataFrame, vectors: DataFrame, kb_id: str | None = None) -> DataFrame:
@@ -26,9 +26,17 @@ def profile_listing(profiles: DataFrame, states: DataFrame, vectors: DataFrame,
     return rows.withColumns({"status": F.coalesce("status", F.lit("EMPTY")), "vector_count": F.coalesce("vector_count", F.lit(0))})
 
 
+def searchable_chunks(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, profile: str | None = None) -> DataFrame:
+    """The chunks that a search ranks: those of active documents that have a vector, in ``profile`` or in any."""
+    active = documents.where("status = 'active'").select(F.col("id").alias("document_id"))
+    own = vectors if profile is None else vectors.where(F.col("embedding_profile_id") == profile)
+    return chunks.join(active, "document_id", "left_semi").join(own.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+
+
 def chunk_listing(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The chunks with their documents' file names, in the order of these and of the chunks."""
     own = chunks.join(documents.select(F.col("id").alias("document_id"), "file_name"), "document_id")
-    return own.select("id", "document_id", "file_name", "chunk_index", "text")
+    return own.select("id", "document_id", "file_name", "chunk_index", "text").orderBy("file_name", "document_id", "chunk_index")
 
 
 def dashboard(knowledge_bases: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, states: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -208,6 +208,13 @@ def chunk_listing(spark, sf_dir):
     return views.chunk_listing(_chunk_rows(spark, sf_dir), _documents(spark, sf_dir))
 
 
+def searchable_chunks(spark, sf_dir):
+    """Chunks of active documents with a vector; other documents and chunks are in the tables, too."""
+    docs = _documents(spark, sf_dir).withColumn("status", F.when(F.col("status") == "O", "active").otherwise("deleted"))
+    found = views.searchable_chunks(_chunk_rows(spark, sf_dir), docs, _vector_rows(spark, sf_dir))
+    return found.select("id", "document_id", "chunk_index", "text")
+
+
 def covered_documents(spark, sf_dir):
     """Documents with at least one chunk, all of whose chunks have a vector."""
     parents = _documents(spark, sf_dir).select(F.col("id").alias("document_id"))
@@ -310,6 +317,10 @@ QUERIES = {
     "covered_documents": (covered_documents, f"WITH {_CATALOG} SELECT id AS document_id FROM documents_ d WHERE EXISTS (SELECT 1 FROM chunks_ c WHERE c.document_id = d.id) AND NOT EXISTS (SELECT 1 FROM chunks_ c WHERE c.document_id = d.id AND NOT EXISTS (SELECT 1 FROM vectors_ v WHERE v.chunk_id = c.id))"),
     "profile_listing": (profile_listing, f"WITH {_CATALOG} SELECT embedding_profile_id AS id, 'kb' AS knowledge_base_id, CASE WHEN embedding_profile_id < 'N' THEN 'INDEXED' ELSE 'EMPTY' END AS status, count(*) AS vector_count FROM vectors_ GROUP BY 1"),
     "dashboard": (dashboard, f"WITH {_CATALOG} SELECT (SELECT count(*) FROM customer) AS knowledge_bases, (SELECT count(*) FROM documents_) AS documents, (SELECT count(*) FROM chunks_) AS chunks, (SELECT count(*) FROM vectors_) AS vectors, 'MOCK_ONLY' AS embedding_status, (SELECT o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS index_status"),
+    "searchable_chunks": (
+        searchable_chunks,
+        f"WITH {_CATALOG} SELECT id, document_id, chunk_index, text FROM chunks_ c WHERE id IN (SELECT chunk_id FROM vectors_) AND document_id IN (SELECT id FROM documents_ WHERE status = 'O')",
+    ),
     "service_statistics": (service_statistics, f"WITH {_CATALOG} SELECT (SELECT count_if(status = 'O') FROM documents_) AS active_documents, count(*) AS chunks, count_if(l_returnflag <> 'R') AS vectors FROM chunks_"),
     "file_changes": (file_changes, "WITH s AS (SELECT o_orderkey AS k, sha256(o_orderstatus) AS h FROM orders WHERE o_orderkey % 10 <> 1), c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN 'changed' ELSE sha256(o_orderstatus) END AS h FROM orders WHERE o_orderkey % 10 <> 2) SELECT coalesce(s.k, c.k) AS file_path, CASE WHEN s.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'removed' WHEN s.h = c.h THEN 'unchanged' ELSE 'updated' END AS change FROM s FULL JOIN c ON s.k = c.k"),
     "upsert": (upsert, "WITH n AS (SELECT c_custkey * 2 AS c_custkey, 'new' AS c_name, c_nationkey + 100 AS c_nationkey FROM customer WHERE c_custkey % 4 = 0) SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(o.c_name, n.c_name) AS c_name, coalesce(n.c_nationkey, o.c_nationkey) AS c_nationkey FROM customer o FULL JOIN n ON n.c_custkey = o.c_custkey"),
