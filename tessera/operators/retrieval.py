@@ -23,9 +23,10 @@ from tessera.functions.text import distinct_terms, segments
 
 QUERY_BLOCK_BYTES = 32 << 20
 TERM_BLOCK_CHARS = 8 << 20
-#: Bounds of the matrices of queries and terms, and of texts and terms.
+#: Bounds of the matrices of queries and terms, of texts and terms, and of queries and vectors.
 FACTOR_CELLS = 4 << 20
 TEXT_CELLS = 1 << 20
+SCORE_CELLS = 1 << 20
 RRF_K = 60
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -38,18 +39,18 @@ def _ranked(scored: DataFrame, k: int, ascending: bool = False, by: str = "query
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Queries (query_id, vector) in blocks of bounded size. They pass the driver a block at a time."""
-    ids, rows, size = [], [], 0
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(np.asarray(r.vector, np.float64))
-        size += rows[-1].nbytes
+def _query_blocks(queries: DataFrame, profile: str | None) -> Iterator[list[tuple]]:
+    """Queries (id, vector, profile or null) in blocks of bounded size. They pass the driver a block at a time."""
+    block, size = [], 0
+    own = queries.select("query_id", "vector", (F.lit(None) if profile is None else F.col(profile)).alias("profile"))
+    for r in own.toLocalIterator():
+        block.append((r.query_id, np.asarray(r.vector, np.float64), r.profile))
+        size += block[-1][1].nbytes
         if size >= QUERY_BLOCK_BYTES:
-            yield ids, rows
-            ids, rows, size = [], [], 0
-    if ids:
-        yield ids, rows
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", mismatch: str = "error", profile: str | None = None) -> DataFrame:
@@ -57,66 +58,61 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
 
     ``metric``: cosine (zero norm: 0), clamped (norms of 1e-12 at least) or l2 (squared distance, ascending).
     ``mismatch``: vectors of another dimension are an ``error`` or score ``zero``. With ``profile``, a column of both,
-    only vectors of the query's own profile are compared. Equal scores are ranked by id.
+    only vectors of the query's own profile are compared, null with null; all profiles share one scan of the corpus.
+    Equal scores are ranked by id.
     """
     if metric not in ("cosine", "clamped", "l2") or mismatch not in ("error", "zero"):
         raise ValueError("metric is cosine, clamped or l2, mismatch is error or zero")
-    if profile is not None:
-        out = None
-        for r in queries.select(profile).distinct().collect():
-            own = F.col(profile).eqNullSafe(F.lit(r[0]))
-            part = vector_search(queries.where(own), corpus.where(own), k, metric, mismatch)
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else vector_search(queries, corpus, k, metric, mismatch)
     id_type, query_type = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, score double"
-    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
-    found = None
-    for ids, rows in _query_blocks(queries):
-        block = corpus.sparkSession.sparkContext.broadcast((ids, rows))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, rows = block.value
-            dims = {len(r) for r in rows}
-            best_scores: dict[int, np.ndarray] = {d: np.zeros((sum(len(r) == d for r in rows), 0)) for d in dims}
-            best_ids = {d: np.zeros(best_scores[d].shape, object) for d in dims}
-            kind = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column, keys = batch.column("vector"), np.array(batch.column("id").to_pylist(), object)
-                kind = batch.schema.field("id").type
-                lens = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-                for d in dims:
-                    mine = lens == d
-                    if mismatch == "error" and not mine.all():
-                        raise ValueError("query and stored vectors differ in dimension")
-                    q = np.array([r for r in rows if len(r) == d])
-                    v = column.filter(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                    if not (np.isfinite(v).all() and np.isfinite(q).all()):
-                        raise ValueError("a vector has a value that isn't finite")
-                    scores = np.zeros((len(q), len(keys)))
-                    scores[:, mine] = _scores(q, v, metric)
-                    scores = np.concatenate([best_scores[d], np.round(scores, DIGITS)], 1)
-                    names = np.concatenate([best_ids[d], np.broadcast_to(keys, (len(q), len(keys)))], 1)
-                    pick = [_best(scores[i], names[i], min(k, names.shape[1]), metric == "l2") for i in range(len(q))]
-                    best_scores[d] = np.array([scores[i, p] for i, p in enumerate(pick)])
-                    best_ids[d] = np.array([names[i, p] for i, p in enumerate(pick)], object)
-            if kind is None:
-                return
-            for d in dims:
-                own = [i for i, r in zip(ids, rows, strict=True) if len(r) == d]
-                n = best_scores[d].shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i in own for _ in range(n)], query_kind), pa.array(best_ids[d].ravel().tolist(), kind), pa.array(best_scores[d].ravel(), pa.float64())],
-                    ["query_id", "id", "score"],
-                )
-
-        part = corpus.select("id", "vector").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], schema)
-    return _ranked(found, k, metric == "l2")
+    id_kind, query_kind = to_arrow_type(corpus.schema["id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+    columns = ["id", "vector"] + ([] if profile is None else [profile])
+
+    def search(block: list[tuple]) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            members: dict[tuple, list[int]] = {}
+            for i, (_, vector, own) in enumerate(shared.value):
+                members.setdefault((own, len(vector)), []).append(i)
+            factors = {g: np.array([shared.value[i][1] for i in at]).reshape(len(at), g[1]) for g, at in members.items()}
+            if not all(np.isfinite(q).all() for q in factors.values()):
+                raise ValueError("a vector has a value that isn't finite")
+            best = {g: (np.zeros((len(at), 0)), np.zeros((len(at), 0), object)) for g, at in members.items()}
+            by_profile: dict[object, list[tuple]] = {}
+            for g in members:
+                by_profile.setdefault(g[0], []).append(g)
+            step = max(1, SCORE_CELLS // max(map(len, members.values())))
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    names = [None] * batch.num_rows if profile is None else batch.column(2).to_pylist()
+                    rows: dict[object, list[int]] = {}
+                    for i, name in enumerate(names):
+                        if name in by_profile:
+                            rows.setdefault(name, []).append(i)
+                    for name, at in rows.items():
+                        part = batch.take(pa.array(at))
+                        column, keys = part.column(1), part.column(0).to_pylist()
+                        sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+                        for g in by_profile[name]:
+                            same = sizes == g[1]
+                            if mismatch == "error" and not same.all():
+                                raise ValueError("query and stored vectors differ in dimension")
+                            v = column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, g[1])
+                            if not np.isfinite(v).all():
+                                raise ValueError("a vector has a value that isn't finite")
+                            scores = np.zeros((len(factors[g]), len(keys)))
+                            scores[:, same] = _scores(factors[g], v, metric)
+                            best[g] = _merged(best[g], scores, keys, k, metric == "l2")
+            for g, (scores, ids) in best.items():
+                if scores.size:
+                    own = [shared.value[i][0] for i in members[g] for _ in range(scores.shape[1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, query_kind), pa.array(ids.ravel().tolist(), id_kind), pa.array(scores.ravel())], ["query_id", "id", "score"])
+
+        return corpus.select(*columns).mapInArrow(run, schema)
+
+    return _ranked(_united([search(block) for block in _query_blocks(queries, profile)], corpus, schema), k, metric == "l2")
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -128,11 +124,22 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(q @ v.T, nq * nv, out=np.zeros((len(q), len(v))), where=(nq * nv) > 0)
 
 
-def _best(scores: np.ndarray, names: np.ndarray, k: int, ascending: bool) -> list[int]:
-    """Indices of the k best scores, ties by name: a partition first, then a sort of what can still be among them."""
-    value = scores if ascending else -scores
-    edge = np.partition(value, k - 1)[k - 1]
-    return sorted(np.flatnonzero(value <= edge).tolist(), key=lambda j: (value[j], names[j]))[:k]
+def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, keys: list, k: int, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The best k scores and ids of each query so far, merged with ``scores`` (queries by ``keys``); equal scores go by id.
+
+    A partition finds the k-th score first, so only what can still be among the best is sorted.
+    """
+    n = best[0].shape[1]
+    every = np.concatenate([best[0], np.round(scores, DIGITS)], 1)
+    size = min(k, every.shape[1])
+    out_scores, out_ids = np.zeros((len(every), size)), np.zeros((len(every), size), object)
+    for i, row in enumerate(every if ascending else -every):
+        if not size:
+            break
+        near = np.flatnonzero(row <= np.partition(row, size - 1)[size - 1]).tolist()
+        pick = sorted((row[j], best[1][i, j] if j < n else keys[j - n], j) for j in near)[:size]
+        out_scores[i], out_ids[i] = every[i, [j for _, _, j in pick]], [name for _, name, _ in pick]
+    return out_scores, out_ids
 
 
 def store_search(queries: DataFrame, corpus: DataFrame, k: int, profile: str) -> DataFrame:
@@ -146,23 +153,23 @@ def query_term_rows(queries: DataFrame, terms: Segmenter = distinct_terms) -> Da
     return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _automaton(words: list[str]):
+def automaton(words: list[str]):
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    made = ahocorasick.Automaton()
     for i, w in enumerate(words):
-        automaton.add_word(w, (i, len(w)))
-    automaton.make_automaton()
-    return automaton
+        made.add_word(w, (i, len(w)))
+    made.make_automaton()
+    return made
 
 
-def _counted(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted(finder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, word and number of non-overlapping occurrences, where there are any."""
     rows, spots, counts = [], [], []
     for row, text in enumerate(texts):
         tf: dict[int, int] = {}
         free: dict[int, int] = {}
-        for end, (i, n) in automaton.iter(text or ""):
+        for end, (i, n) in finder.iter(text or ""):
             if end - n + 1 >= free.get(i, 0):
                 tf[i] = tf.get(i, 0) + 1
                 free[i] = end + 1
@@ -200,9 +207,9 @@ def term_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(words)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, names = _automaton(shared.value), pa.array(shared.value)
+            finder, names = automaton(shared.value), pa.array(shared.value)
             for batch in batches:
-                rows, spots, counts = _counted(automaton, batch.column("text").to_pylist())
+                rows, spots, counts = counted(finder, batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(spots)), batch.column("id").take(pa.array(rows)), pa.array(counts)], ["term", "id", "tf"])
 
         return corpus.select("id", "text").mapInArrow(run, schema)
@@ -217,9 +224,9 @@ def document_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(words)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, total = _automaton(shared.value), np.zeros(len(shared.value), np.int64)
+            finder, total = automaton(shared.value), np.zeros(len(shared.value), np.int64)
             for batch in batches:
-                _, spots, _ = _counted(automaton, batch.column("text").to_pylist())
+                _, spots, _ = counted(finder, batch.column("text").to_pylist())
                 total += np.bincount(spots, minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()).take(pa.array(some)), pa.array(total[some])], ["term", "df"])
@@ -244,27 +251,24 @@ def _by_terms(wanted: DataFrame, corpus: DataFrame, k: int, mean: float | None =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, words, cells = shared.value
-            automaton, factors = _automaton(words), np.zeros((len(words), len(ids)))
+            finder, factors = automaton(words), np.zeros((len(words), len(ids)))
             for q, t, x in cells:
                 factors[t, q] = x
-            best_score, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
+            best = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
             step = max(1, TEXT_CELLS // max(len(words), len(ids)))
             for whole in batches:
                 for start in range(0, whole.num_rows, step):
                     batch = whole.slice(start, step)
-                    texts, keys = batch.column("text").to_pylist(), np.array(batch.column("id").to_pylist(), object)
-                    rows, spots, counts = _counted(automaton, texts)
+                    texts, keys = batch.column("text").to_pylist(), batch.column("id").to_pylist()
+                    rows, spots, counts = counted(finder, texts)
                     values = counts.astype(np.float64)
                     if mean is not None:
                         size = np.array([len(t or "") for t in texts])[rows]
                         values = values * (K1 + 1) / (values + K1 * (1 - B + B * size / mean))
                     found = np.zeros((len(texts), len(words)))
                     found[rows, spots] = values
-                    scores = np.concatenate([best_score, np.round(found @ factors, DIGITS).T], 1)
-                    names = np.concatenate([best_id, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
-                    pick = [_best(scores[i], names[i], min(k, names.shape[1]), False) for i in range(len(ids))]
-                    best_score = np.array([scores[i, p] for i, p in enumerate(pick)]).reshape(len(ids), -1)
-                    best_id = np.array([names[i, p] for i, p in enumerate(pick)], object).reshape(len(ids), -1)
+                    best = _merged(best, (found @ factors).T, keys, k)
+            best_score, best_id = best
             q, j = np.nonzero(best_score > 0)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_kind), pa.array(best_id[q, j].tolist(), id_kind), pa.array(best_score[q, j])], ["query_id", "id", "score"])
 

@@ -203,3 +203,25 @@ def test_files(spark, tmp_path):
     assert files.vector_batches(spark.createDataFrame([(batch,)], "value string")).first().vector == [1.0, 2.0]
     with pytest.raises(ValueError):
         files.scan_one(spark, "x.docx")
+
+
+def test_search_by_profile(spark):
+    """All profiles in one scan give what a search in each gives."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)], None if i % 4 == 3 else f"p{i % 4}") for i in range(120)]
+    corpus = spark.createDataFrame(rows, "id int, vector array<float>, p string").repartition(5)
+    queries = corpus.where("id % 10 < 4").withColumnRenamed("id", "query_id")
+    got = retrieval.vector_search(queries, corpus, 4, "l2", profile="p").collect()
+    for i, q, p in (r for r in rows if r[0] % 10 < 4):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(q, v, strict=True)), j) for j, v, own in rows if own == p)[:4]
+        assert sorted((r.score, r.id) for r in got if r.query_id == i) == want
+
+
+def test_total_relevant(spark):
+    texts = ["ab cd", "cd ef", "ab", "", None, "abab ef"]
+    rules = [(1, ["ab"], []), (2, ["ab", "cd"], []), (3, [], ["cd", "ef"]), (4, [], []), (5, ["ab"], ["ef", "x"]), (6, [""], [""]), (7, ["zz"], []), (8, None, []), (9, ["ab", "ab"], [])]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    frame = spark.createDataFrame(rules, "query_id int, must_contain array<string>, any_of array<string>")
+    want = {q: sum(t is not None and all(x in t for x in must) and (not other or any(x in t for x in other)) for t in texts) if must is not None else 0 for q, must, other in rules}
+    assert dict(map(tuple, evaluation.total_relevant(frame, corpus).collect())) == want
+    assert {r.total_relevant for r in evaluation.total_relevant(frame, corpus.limit(0)).collect()} == {0}
