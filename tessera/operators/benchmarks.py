@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import latency_summary
+
 REQUIRED_SECTIONS = (
     "run_info test_config dataset environment latency_samples resource_samples quality_details case_results summary artifacts errors notes"
 ).split()
@@ -104,6 +106,50 @@ def session_check(session_status: str, runs: DataFrame) -> DataFrame:
     return rows.select(((F.size("bad_runs") == 0) & F.lit(session_status == "PASS")).alias("valid"), "n_runs", "bad_runs")
 
 
+def case_evidence(required: DataFrame, measured: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """case_id, description, status, duration_ms, actual of the ``required`` cases (case_id, measured_id, description).
+
+    ``measured`` is (case_id, status, duration_ms, actual); several cases may cite one measured. ``checks`` (case_id,
+    passed) decide where there is one, else the measured status: PASS, also for null. A case without a measurement fails.
+    """
+    own = measured.select(F.col("case_id").alias("measured_id"), F.col("status").alias("_status"), "duration_ms", "actual", F.lit(True).alias("_there"))
+    rows = required.join(own, "measured_id", "left")
+    if checks is not None:
+        rows = rows.join(checks.select("case_id", "passed"), "case_id", "left")
+    passed = F.coalesce(*([F.col("passed")] if checks is not None else []), F.coalesce("_status", F.lit("PASS")) == "PASS")
+    status = F.when(F.coalesce("_there", F.lit(False)) & passed, "PASS").otherwise("FAIL")
+    return rows.select("case_id", "description", status.alias("status"), "duration_ms", "actual")
+
+
+def case_summary(cases: DataFrame, required_count: int) -> DataFrame:
+    """One row: pass_count, required_count, all_passed."""
+    rows = cases.agg(F.count_if(F.col("status") == "PASS").alias("pass_count"))
+    return rows.select("pass_count", F.lit(required_count).alias("required_count"), (F.col("pass_count") == required_count).alias("all_passed"))
+
+
+def historical_comparison(former: DataFrame, current: DataFrame, former_config: str, current_config: str, top_k: int = 3) -> DataFrame:
+    """old, new (structs of the rows' columns) and strict_ab, which is false as the runs weren't made side by side.
+
+    One row of each side is compared, that of its chunk_config and ``top_k``; no row if either isn't there.
+    """
+    sides = []
+    for df, config, name in ((former, former_config, "old"), (current, current_config, "new")):
+        mine = df.where((F.col("chunk_config") == config) & (F.col("top_k") == top_k))
+        sides.append(mine.orderBy(*(c for c, t in df.dtypes if not t.startswith("map"))).limit(1).select(F.struct("*").alias(name)))
+    return sides[0].crossJoin(sides[1]).withColumn("strict_ab", F.lit(False))  # single rows
+
+
+def storage_comparison(builds: DataFrame, searches: DataFrame) -> DataFrame:
+    """backend, vector_count, dimension, top_k with the builds' means and the searches' latencies.
+
+    ``builds`` is (backend, vector_count, dimension, insert_ms, database_bytes), a row a round; ``searches`` is
+    (backend, vector_count, top_k, latency_ms, success), a row a query. Scales without a build keep nulls.
+    """
+    built = builds.groupBy("backend", "vector_count", "dimension").agg(F.avg("insert_ms").alias("build_ms_mean"), F.avg("database_bytes").alias("database_bytes_mean"))
+    measured = searches.groupBy("backend", "vector_count", "top_k").agg(*latency_summary())
+    return measured.join(built, ["backend", "vector_count"], "left")
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """One retrieval run, checked."""

@@ -15,8 +15,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import recall_query
+from tessera.functions.vectors import is_finite
 from tessera.operators.chunking import check_chunking, chunk_fixed
-from tessera.operators.embedding import EmbeddingProvider, ModelInfo, checked_batch
+from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, checked_batch
+from tessera.operators.retrieval import every_profile_search, vector_search
 
 VERSION = 1
 SCHEMAS = {
@@ -66,6 +69,45 @@ def fully_covered(parents: DataFrame, children: DataFrame, covered: DataFrame, p
     return parents.join(whole.select(parent), parent, "left_semi")
 
 
+def profile_of(profiles: DataFrame, kb_id: str, info: ModelInfo):
+    """The profile of a knowledge base whose vectors a model's can be compared with; KeyError if there is none."""
+    own = {"knowledge_base_id": kb_id, "model_id": info.model_id, "model_version": info.model_version, "config_hash": info.config_hash}
+    found = profiles
+    for name, value in own.items():
+        found = found.where(F.col(name) == value)
+    row = found.orderBy("id").first()
+    if row is None:
+        raise KeyError(f"knowledge base {kb_id} has no vectors of {info.model_id}; index it first")
+    return row
+
+
+def checked_profile(profiles: DataFrame, kb_id: str, profile_id: str):
+    """The profile of that id; ValueError unless it belongs to the knowledge base."""
+    row = profiles.where(F.col("id") == profile_id).first()
+    if row is None or row.knowledge_base_id != kb_id:
+        raise ValueError(f"profile {profile_id} doesn't belong to knowledge base {kb_id}")
+    return row
+
+
+def with_places(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """query_id, rank, score, chunk_id, document_id, file_name, file_path, chunk_index, text of ``hits`` (query_id, id, score, rank)."""
+    places = documents.select(F.col("id").alias("document_id"), "file_name", "file_path")
+    found = hits.withColumnRenamed("id", "chunk_id").join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "text"), "chunk_id")
+    return found.join(places, "document_id").select("query_id", "rank", "score", "chunk_id", "document_id", "file_name", "file_path", "chunk_index", "text")
+
+
+def profile_search(queries: DataFrame, profile, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: the best chunks of one ``profile`` (a row with id and dimension) for each of ``queries``
+    (query_id, vector); of all vectors, only its partition is read. ValueError for a query without a vector, with another
+    dimension, or with values that aren't finite; one row at least, also for k = 0."""
+    size = F.coalesce(F.size("vector"), F.lit(-1))
+    bad = queries.where(F.col("vector").isNull() | (size != profile.dimension) | (size < 1) | ~is_finite(F.col("vector"))).select("query_id").first()
+    if bad is not None:
+        raise ValueError(f"query {bad[0]} has no finite vector of dimension {profile.dimension}")
+    own = vectors.where(F.col("embedding_profile_id") == profile.id).select(F.col("chunk_id").alias("id"), "vector")
+    return vector_search(queries, own, max(k, 1))
+
+
 class Catalog:
     """Tables under ``path`` with upserts, deletes with cascade, scans and index states."""
 
@@ -203,6 +245,28 @@ class Catalog:
             "errors": [r.error for r in bad.orderBy("file_path").select("error").collect()],
         }
 
+    def add_document(self, kb_id: str, file_path: str, text: str) -> str:
+        """Stores one text as a document with its chunks, in place of what is stored for that path; returns its id."""
+        if not text.strip():
+            raise ValueError("the text is blank")
+        name = file_path.rsplit("/", 1)[-1]
+        row = self.spark.createDataFrame([(file_path, name, name.rsplit(".", 1)[-1].lower(), text)], "file_path string, file_name string, file_type string, text string")
+        self.sync(kb_id, row.withColumn("file_hash", F.sha2("text", 256)), remove=False)
+        found = self.table("document").where((F.col("knowledge_base_id") == kb_id) & (F.col("file_path") == file_path))
+        return found.first().id
+
+    def delete_chunk(self, chunk_id: str) -> None:
+        """Deletes one chunk with its vectors; the others of its document keep their numbers."""
+        chunks, mine = self.table("chunk"), F.col("id") == chunk_id
+        if chunks.where(mine).isEmpty():
+            raise KeyError(f"no chunk {chunk_id}")
+        self.commit(chunk=chunks.where(~mine), vector_record=self.table("vector_record").where(F.col("chunk_id") != chunk_id))
+
+    def reset(self) -> None:
+        """Deletes all documents with their chunks and vectors; knowledge bases and profiles stay, their states are EMPTY."""
+        state = self.table("index_state").withColumns({"status": F.lit(EMPTY), "detail": F.lit(None).cast("string"), "updated_at": F.current_timestamp()})
+        self._drop_documents(self.table("document").select("id"), index_state=state)
+
     # ---- vectors and index states
 
     def ingest(self, kb_id: str, info: ModelInfo, vectors: DataFrame, mock: bool = False) -> dict:
@@ -261,3 +325,28 @@ class Catalog:
         n = gone.count()
         self.commit(vector_record=records.join(gone.select("chunk_id", "embedding_profile_id"), ["chunk_id", "embedding_profile_id"], "left_anti"))
         return n
+
+    # ---- search
+
+    def search_vectors(self, kb_id: str, profile_id: str, queries: DataFrame, k: int = 5) -> DataFrame:
+        """The best chunks of a knowledge base for ``queries`` (query_id, vector) in one of its profiles, with their places."""
+        profile = checked_profile(self.table("embedding_profile"), kb_id, profile_id)
+        return with_places(profile_search(queries, profile, self.table("vector_record"), k), self.table("chunk"), self.table("document"))
+
+    def search(self, kb_id: str, queries: DataFrame, provider: EmbeddingProvider, k: int = 5) -> DataFrame:
+        """The same for ``queries`` (query_id, text) in the profile of the provider's model. ValueError for a blank text."""
+        profile = profile_of(self.table("embedding_profile"), kb_id, provider.info)
+        blank = queries.where(F.trim(F.coalesce("text", F.lit(""))) == "").first()
+        if blank is not None:
+            raise ValueError(f"query {blank.query_id} has no text")
+        return self.search_vectors(kb_id, profile.id, provider.transform(queries.select("query_id", "text"), input_type=QUERY), k)
+
+    def recall(self, signals: DataFrame, provider: EmbeddingProvider, k: int = 5) -> DataFrame:
+        """The best chunks for ``signals`` (query_id, signal, name, symbol): their template texts, embedded, against the
+        vectors of all profiles, those of another dimension scoring 0; ``recall_reason`` is the signal."""
+        kind = F.coalesce("signal", F.lit("unknown"))
+        texts = signals.select("query_id", recall_query(kind, F.col("name"), F.col("symbol")).alias("text"))
+        corpus = self.table("vector_record").select(F.col("chunk_id").alias("id"), "vector")
+        hits = every_profile_search(provider.transform(texts, input_type=QUERY), corpus, k, self.table("embedding_profile").count())
+        places = with_places(hits, self.table("chunk"), self.table("document"))
+        return places.join(signals.select("query_id", kind.alias("recall_reason"), "symbol"), "query_id")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed texts of the prompt and of answers without a model.
 SOURCE_LINE = "[资料%d | %s | chunk %d]\n%s"
 PROMPT = "问题：%s\n\n本地资料：\n%s\n\n请给出简洁回答并引用资料编号。"
+SYSTEM = "你是证券本地知识库助手。只依据用户提供的本地资料回答；资料不足时明确说明，不得编造。回答应简洁，并引用资料编号。"
 NO_MODEL = "模型接口未配置。检索已经完成并返回下方本地 Context。"
 MOCK_WARNING = "Mock Embedding 仅用于工程链路验证，不代表真实检索质量。"
 EFFORTS = ("low", "high", "max")
@@ -59,9 +62,10 @@ class LlmConfig:
         if not self.api_key.strip() or not self.model.strip():
             raise ValueError("api_key and model are needed")
 
-    def body(self, text: str) -> dict:
-        out = {"model": self.model, "messages": [{"role": "user", "content": text}], "stream": False}
-        return out | ({"thinking": {"type": "enabled"}, "reasoning_effort": self.reasoning_effort} if self.thinking else {})
+    def body(self, text: str, system: str = SYSTEM) -> dict:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": text}]
+        out = {"model": self.model, "messages": messages, "stream": False, "thinking": {"type": "enabled" if self.thinking else "disabled"}}
+        return out | ({"reasoning_effort": self.reasoning_effort} if self.thinking else {})
 
 
 def answer_text(response: dict) -> str:
@@ -73,16 +77,37 @@ def answer_text(response: dict) -> str:
     return content
 
 
-def answers(questions: DataFrame, hits: DataFrame, client: LlmClient | None = None, mock: bool = False) -> DataFrame:
-    """query_id, question, prompt, answer, llm_used, warning for ``questions`` (query_id, text).
+def _replies(client: LlmClient, tries: int, at_once: int):
+    """A column function from prompts to structs of answer and error; a prompt that fails ``tries`` times has an error."""
 
-    With a client, prompts are answered where the rows are, in batches; the client has to be picklable.
+    def ask(text: str) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(tries):
+            try:
+                return client.complete(text), None
+            except Exception as failed:  # whatever a client raises becomes the row's error
+                error = f"{type(failed).__name__}: {failed}"
+        return None, error
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        with ThreadPoolExecutor(at_once) as pool:
+            return pd.DataFrame(list(pool.map(ask, texts)), columns=["answer", "error"])
+
+    return F.pandas_udf(run, "answer string, error string").asNondeterministic()
+
+
+def answers(questions: DataFrame, hits: DataFrame, client: LlmClient | None = None, mock: bool = False, tries: int = 2, at_once: int = 8) -> DataFrame:
+    """query_id, question, prompt, answer, error, llm_used, warning for ``questions`` (query_id, text).
+
+    With a client, which has to be picklable, prompts are answered where the rows are, ``at_once`` in a task at a time. A
+    prompt without an answer after ``tries`` calls has a null answer and the last error.
     """
+    if tries < 1 or at_once < 1:
+        raise ValueError("tries and at_once have to be positive")
     rows = questions.join(contexts(hits), "query_id", "left")
     asked = rows.select("query_id", F.col("text").alias("question"), prompt(F.col("text"), F.coalesce("context", F.lit(""))).alias("prompt"))
     if client is None:
-        replied = asked.withColumn("answer", F.lit(NO_MODEL))
+        replied = asked.withColumns({"answer": F.lit(NO_MODEL), "error": F.lit(None).cast("string")})
     else:
-        complete = client.complete
-        replied = asked.withColumn("answer", F.pandas_udf(lambda texts: texts.map(complete), "string")("prompt"))
+        replied = asked.withColumn("_reply", _replies(client, tries, at_once)("prompt")).select("*", "_reply.answer", "_reply.error").drop("_reply")
     return replied.withColumns({"llm_used": F.lit(client is not None), "warning": F.lit(MOCK_WARNING if mock else None).cast("string")})

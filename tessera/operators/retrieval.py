@@ -142,6 +142,13 @@ def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, keys: list,
     return out_scores, out_ids
 
 
+def every_profile_search(queries: DataFrame, corpus: DataFrame, k: int, profiles: int) -> DataFrame:
+    """query_id, id, score, rank over vectors of all profiles, another dimension scoring 0: an id, which has at most one
+    vector in each of ``profiles``, counts once, with its best score."""
+    hits = vector_search(queries, corpus, k * max(profiles, 1), "cosine", "zero")
+    return _ranked(hits.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+
+
 def store_search(queries: DataFrame, corpus: DataFrame, k: int, profile: str) -> DataFrame:
     """The vector store's search: inside a profile, strict dimensions, one row at least even for k = 0."""
     return vector_search(queries, corpus, max(k, 1), "cosine", "error", profile)

@@ -57,6 +57,18 @@ def service_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def diagnostics(knowledge_bases: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, profiles: DataFrame, states: DataFrame) -> dict[str, DataFrame]:
+    """What a catalog holds, by name: its knowledge bases, documents, counts by document and profile, and profile states."""
+    own = states.select(F.col("embedding_profile_id").alias("id"), "status")
+    return {
+        "knowledge_bases": knowledge_bases.select("id", "name", "root_path"),
+        "documents": documents.select("file_name", "status", "file_hash"),
+        "chunks": chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count")),
+        "vectors": vectors.groupBy("embedding_profile_id").agg(F.count(F.lit(1)).alias("vector_count")),
+        "profiles": profiles.select("id", "model_id", "dimension", "config_hash").join(own, "id", "left").drop("id"),
+    }
+
+
 def register_views(spark: SparkSession, **tables: DataFrame) -> None:
     """Temporary views, for statements in SQL."""
     for name, df in tables.items():

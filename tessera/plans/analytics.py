@@ -276,6 +276,42 @@ def cascade_delete(spark, sf_dir):
     return left.crossJoin(n(chunks.join(gone, "document_id", "left_anti"), "chunks")).crossJoin(n(vectors.join(lost, "chunk_id", "left_anti"), "vectors"))
 
 
+def case_evidence(spark, sf_dir):
+    """Customers as required cases, orders as measured ones; every fifth customer is decided by a check."""
+    customers = _read(spark, sf_dir, "customer")
+    required = customers.select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") * 3).alias("measured_id"), F.col("c_name").alias("description"))
+    status = F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "O", "FAIL")
+    measured = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), status.alias("status"), F.col("o_totalprice").alias("duration_ms"), F.col("o_orderpriority").alias("actual"))
+    checks = customers.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") % 10 == 0).alias("passed"))
+    return benchmarks.case_evidence(required, measured, checks)
+
+
+def historical_comparison(spark, sf_dir):
+    """The mean latency of two chunk configurations, of the first rounds and of the later ones."""
+    own = _samples(spark, sf_dir).where("success").withColumn("top_k", F.lit(3))
+    mean = lambda df: _rounded(df.groupBy("chunk_config", "top_k").agg(F.avg("latency_ms").alias("mean_ms"), F.count(F.lit(1)).alias("n")))
+    rows = benchmarks.historical_comparison(mean(own.where("round < 2")), mean(own.where("round >= 2")), "c0", "c1")
+    return rows.select(*(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ("chunk_config", "top_k", "mean_ms", "n")), "strict_ab")
+
+
+def storage_comparison(spark, sf_dir):
+    """Orders as builds and events as searches of two backends at three scales."""
+    scale = lambda key: [F.concat(F.lit("b"), F.col(key) % 2).alias("backend"), (F.col(key) % 3 * 1000).cast("long").alias("vector_count")]
+    builds = _read(spark, sf_dir, "orders").select(*scale("o_custkey"), F.lit(64).alias("dimension"), F.col("o_totalprice").alias("insert_ms"), F.col("o_orderkey").alias("database_bytes"))
+    searches = _samples(spark, sf_dir).select(*scale("user_id"), F.when(F.col("user_id") % 4 == 0, 3).otherwise(5).alias("top_k"), "latency_ms", "success")
+    rows = benchmarks.storage_comparison(builds, searches)
+    return rows.withColumns({c: F.round(c, 4) for c in ("build_ms_mean", "database_bytes_mean")})
+
+
+def diagnostics(spark, sf_dir):
+    """How many chunks each document and how many vectors each profile has."""
+    docs, none = _documents(spark, sf_dir), spark.range(0)
+    unused = none.select(*(F.lit("").alias(c) for c in ("id", "name", "root_path", "embedding_profile_id", "model_id", "dimension", "config_hash", "status")))
+    found = views.diagnostics(unused, docs.withColumn("file_hash", F.lit("")), _chunk_rows(spark, sf_dir), _vector_rows(spark, sf_dir), unused, unused)
+    parts = [df.select(F.lit(name).alias("what"), df[0].cast("string").alias("key"), df[1].alias("n")) for name, df in found.items() if name in ("chunks", "vectors")]
+    return parts[0].unionByName(parts[1])
+
+
 def stable_ids(spark, sf_dir):
     own = _documents(spark, sf_dir)
     return own.select("id", catalog.stable_id(F.col("knowledge_base_id").cast("string"), F.col("id").cast("string")).alias("stable_id"))
@@ -327,5 +363,9 @@ QUERIES = {
     "insert_missing": (insert_missing, "SELECT s_suppkey, s_nationkey FROM supplier UNION ALL SELECT s_suppkey * 3, -1 FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT s_suppkey FROM supplier)"),
     "removed_paths": (removed_paths, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "cascade_delete": (cascade_delete, f"WITH {_CATALOG}, kept AS (SELECT id FROM documents_ WHERE knowledge_base_id % 5 <> 0) SELECT (SELECT count(*) FROM kept) AS documents, (SELECT count(*) FROM chunks_ WHERE document_id IN (SELECT id FROM kept)) AS chunks, (SELECT count(*) FROM vectors_ WHERE chunk_id // 10 IN (SELECT id FROM kept)) AS vectors"),
+    "case_evidence": (case_evidence, "SELECT c_custkey AS case_id, c_name AS description, CASE WHEN o_orderkey IS NOT NULL AND CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 10 = 0 ELSE o_orderstatus <> 'O' END THEN 'PASS' ELSE 'FAIL' END AS status, o_totalprice AS duration_ms, o_orderpriority AS actual FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 3"),
+    "historical_comparison": (historical_comparison, f"WITH {_SAMPLES}, m AS (SELECT s.round < 2 AS former, chunk_config, 3 AS top_k, round(avg(latency_ms), 6) AS mean_ms, count(*) AS n FROM samples s WHERE success GROUP BY 1, 2) SELECT o.chunk_config AS old_chunk_config, o.top_k AS old_top_k, o.mean_ms AS old_mean_ms, o.n AS old_n, w.chunk_config AS new_chunk_config, w.top_k AS new_top_k, w.mean_ms AS new_mean_ms, w.n AS new_n, false AS strict_ab FROM m o, m w WHERE o.former AND o.chunk_config = 'c0' AND NOT w.former AND w.chunk_config = 'c1'"),
+    "storage_comparison": (storage_comparison, f"WITH b AS (SELECT 'b' || (o_custkey % 2) AS backend, o_custkey % 3 * 1000 AS vector_count, 64 AS dimension, round(avg(o_totalprice), 4) AS build_ms_mean, round(avg(o_orderkey), 4) AS database_bytes_mean FROM orders GROUP BY ALL), {_SAMPLES}, s AS (SELECT 'b' || (user_id % 2) AS backend, CAST(user_id % 3 * 1000 AS BIGINT) AS vector_count, CASE WHEN user_id % 4 = 0 THEN 3 ELSE 5 END AS top_k, {_SUMMARY}, CASE WHEN count_if(success) >= 1000 THEN round(quantile_cont(latency_ms, 0.99) FILTER (success), 6) END AS p99_ms FROM samples GROUP BY 1, 2, 3) SELECT s.*, dimension, build_ms_mean, database_bytes_mean FROM s LEFT JOIN b USING (backend, vector_count)"),
+    "diagnostics": (diagnostics, f"WITH {_CATALOG} SELECT 'chunks' AS what, CAST(document_id AS VARCHAR) AS key, count(*) AS n FROM chunks_ GROUP BY 2 UNION ALL SELECT 'vectors', embedding_profile_id, count(*) FROM vectors_ GROUP BY 2"),
     "stable_ids": (stable_ids, f"WITH {_CATALOG}, h AS (SELECT id, sha256(knowledge_base_id || chr(31) || id) AS h FROM documents_) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS stable_id FROM h"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import STOP_TERMS, STOP_WORDS, TOKENS, TRIM, category, decoded_url, distinct_terms, recall_query, segments
 from tessera.functions.vectors import cosine, from_blob, from_json_text, squared_l2, to_blob, to_json_text
-from tessera.operators import chunking, evaluation, rag, retrieval
+from tessera.operators import catalog, chunking, evaluation, rag, retrieval, views
 from tessera.operators.embedding import DIMENSION, HashedNgramProvider
 from tessera.sources.files import extension, file_name
 
@@ -284,6 +284,64 @@ FROM weights w LEFT JOIN terms t USING (query_id) LEFT JOIN stats USING (term)
 """
 
 
+# ---- search over a catalog's tables
+
+
+def _active(spark, sf_dir):
+    """The chunks that a service ranks: every third document isn't active, every fourth chunk has no vector."""
+    chunks = _chunks(spark, sf_dir).withColumn("document_id", F.col("doc_id"))
+    status = F.when(F.col("doc_id") % 3 == 1, "deleted").otherwise("active")
+    documents = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), status.alias("status"))
+    stored = chunks.where("chunk_index % 4 <> 3").select(F.col("id").alias("chunk_id"))
+    return views.searchable_chunks(chunks, documents, stored).select("id", "doc_id", "chunk_index", "text")
+
+
+_ACTIVE_CTES = _CHUNK_CTES.replace("chunks AS (", "every AS (") + """, chunks AS (SELECT * FROM every WHERE doc_id % 3 <> 1 AND chunk_index % 4 <> 3)"""
+_SERVICE_SQL = _ADAPTIVE_SQL.replace(_CHUNK_CTES, _ACTIVE_CTES)
+
+
+def service_search(spark, sf_dir):
+    """The adaptive hybrid search over active documents' chunks with a vector."""
+    chunks, queries = _active(spark, sf_dir), _vectors(_queries(spark, sf_dir))
+    return retrieval.hybrid_adaptive(queries, _vectors(chunks), K, texts=chunks).select("query_id", "id", "score", "rank")
+
+
+def profile_search(spark, sf_dir):
+    """Sources as knowledge bases, each with a profile: the search of the first one's chunks, with their places."""
+    info, chunks, docs = HashedNgramProvider().info, _chunks(spark, sf_dir), _read(spark, sf_dir, "documents").select("doc_id", "source")
+    kb_id = docs.agg(F.min("source")).first()[0]
+    fields = {k: F.lit(getattr(info, k)) for k in ("model_id", "model_version", "config_hash", "dimension")}
+    name = F.concat(F.lit("profile-"), "source")
+    profiles = docs.select(name.alias("id"), F.col("source").alias("knowledge_base_id")).distinct().withColumns(fields)
+    vectors = _vectors(chunks.join(docs, "doc_id").select(F.col("id").alias("chunk_id"), name.alias("embedding_profile_id"), "text")).drop("text")
+    profile = catalog.checked_profile(profiles, kb_id, catalog.profile_of(profiles, kb_id, info).id)
+    hits = catalog.profile_search(_vectors(_queries(spark, sf_dir)), profile, vectors, K)
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".md"))
+    documents = docs.select(F.col("doc_id").alias("id"), F.concat("doc_id", F.lit(".md")).alias("file_name"), path.alias("file_path"))
+    return catalog.with_places(hits, chunks.withColumnRenamed("doc_id", "document_id"), documents)
+
+
+_PROFILE_SQL = f"""WITH {_VECTOR_CTES.replace(_CHUNK_CTES, _CHUNK_CTES.replace("chunks AS (", "every AS (") + ", chunks AS (SELECT e.*, source FROM every e JOIN documents USING (doc_id) WHERE source = (SELECT min(source) FROM documents))")},
+hits AS ({_top("by_vector")})
+SELECT query_id, rank, score, id AS chunk_id, doc_id AS document_id, doc_id || '.md' AS file_name, source || '/' || doc_id || '.md' AS file_path, chunk_index, text FROM hits JOIN chunks USING (id)
+"""
+
+
+_SIGNALS = {"click": "price_surge", "view": "price_drop", "purchase": "volume_anomaly"}
+
+
+def _signals(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for kv in _SIGNALS.items() for x in kv])
+    own = _read(spark, sf_dir, "events").select("event_id", F.element_at(kinds, F.col("event_type")).alias("signal"), F.concat(F.lit("u"), "user_id").alias("name"))
+    return own.select("event_id", F.coalesce("signal", F.lit("unknown")).alias("signal"), "name", F.lit("S").alias("symbol"))
+
+
+def signal_recall(spark, sf_dir):
+    """The best active chunks for the signals of every event whose id is divisible by 100."""
+    texts = _signals(spark, sf_dir).where("event_id % 100 = 0").select(F.col("event_id").alias("query_id"), recall_query(F.col("signal"), F.col("name"), F.col("symbol")).alias("text"))
+    return retrieval.every_profile_search(_vectors(texts), _vectors(_active(spark, sf_dir)), K, 1).select("query_id", "id", "score", "rank")
+
+
 # ---- quality and context
 
 
@@ -384,9 +442,7 @@ def categories(spark, sf_dir):
 
 
 def recall_queries(spark, sf_dir):
-    kinds = F.create_map(*[F.lit(x) for kv in {"click": "price_surge", "view": "price_drop", "purchase": "volume_anomaly"}.items() for x in kv])
-    own = _read(spark, sf_dir, "events").select("event_id", F.element_at(kinds, F.col("event_type")).alias("signal"), F.concat(F.lit("u"), "user_id").alias("name"))
-    return own.select("event_id", recall_query(F.coalesce("signal", F.lit("unknown")), F.col("name"), F.lit("S")).alias("query"))
+    return _signals(spark, sf_dir).select("event_id", recall_query(F.col("signal"), F.col("name"), F.col("symbol")).alias("query"))
 
 
 def page_paths(spark, sf_dir):
@@ -404,6 +460,9 @@ _RECALL_SQL = """
 SELECT event_id, CASE event_type WHEN 'click' THEN 'u' || user_id || ' 涨幅 原因 分析 利好' WHEN 'view' THEN 'u' || user_id || ' 下跌 风险 利空 跟踪'
                                  WHEN 'purchase' THEN 'u' || user_id || ' 成交量 异动 资金' ELSE 'u' || user_id || ' S 分析' END AS query FROM events
 """
+_SIGNAL_SQL = "WITH " + _VECTOR_CTES.replace(_CHUNK_CTES, _ACTIVE_CTES).replace(
+    "asked AS (SELECT item_id AS id, text FROM benchmark)", f"asked AS (SELECT event_id AS id, query AS text FROM ({_RECALL_SQL}) WHERE event_id % 100 = 0)"
+) + _top("by_vector")
 _PATHS_SQL = r"""
 SELECT page_id, replace(url, '/en/', '/en a/') AS decoded, list_last(string_split(url, '/')) AS file_name, lower(regexp_extract(url, '\.([^./\\]+)$', 1)) AS file_type FROM pages
 """
@@ -427,6 +486,9 @@ QUERIES = {
     "analyze": (analyze, _ANALYZE_SQL),
     "hybrid_static": (hybrid_static, _STATIC_SQL),
     "hybrid_adaptive": (hybrid_adaptive, _ADAPTIVE_SQL),
+    "service_search": (service_search, _SERVICE_SQL),
+    "profile_search": (profile_search, _PROFILE_SQL),
+    "signal_recall": (signal_recall, _SIGNAL_SQL),
     "quality_details": (quality_details, _DETAILS_SQL),
     "quality_summary": (quality_summary, _SUMMARY_SQL),
     "rag_contexts": (rag_contexts, _RAG_SQL),

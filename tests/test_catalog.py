@@ -98,3 +98,45 @@ def test_merge_helpers(spark):
     children = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "p int, c int")
     parents = spark.createDataFrame([(1,), (2,), (3,)], "p int")
     assert [r.p for r in fully_covered(parents, children, spark.createDataFrame([(10,), (20,)], "c int"), "p", "c").collect()] == [2]
+
+
+def test_search(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    one, two = (catalog.create(n, str(tmp_path / n), 40, 0) for n in ("one", "two"))
+    ids = [catalog.add_document(one, f"{tmp_path}/one/{n}.md", text) for n, text in (("a", "red apples and pears"), ("b", "the price of volume is rising " * 3))]
+    catalog.add_document(two, f"{tmp_path}/two/c.md", "red apples and pears elsewhere")
+    assert catalog.add_document(one, f"{tmp_path}/one/a.md", "red apples and green pears") == ids[0] and catalog.table("document").count() == 3
+    with pytest.raises(ValueError):
+        catalog.add_document(one, "x.md", "  ")
+    provider = HashedNgramProvider(32)
+    questions = spark.createDataFrame([(1, "red apples"), (2, "volume price")], "query_id int, text string")
+    with pytest.raises(KeyError, match="index it first"):
+        catalog.search(one, questions, provider)
+    profile, other = catalog.index(one, provider)["profile_id"], catalog.index(two, provider)["profile_id"]
+    hits = catalog.search(one, questions, provider, 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank) for r in hits] == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert hits[0].document_id == ids[0] and hits[2].document_id == ids[1] and {r.file_name for r in hits} <= {"a.md", "b.md"}
+    assert catalog.search(one, questions, provider, 0).count() == 2
+    frame = lambda v: spark.createDataFrame([(1, v)], "query_id int, vector array<float>")
+    with pytest.raises(ValueError, match="belong"):
+        catalog.search_vectors(one, other, frame([1.0] * 32))
+    for bad in ([], [1.0], None, [float("nan")] * 32):
+        with pytest.raises(ValueError, match="no finite vector"):
+            catalog.search_vectors(one, profile, frame(bad))
+    with pytest.raises(ValueError, match="no text"):
+        catalog.search(one, questions.withColumn("text", F.lit(" ")), provider)
+
+    catalog.index(one, HashedNgramProvider(16))
+    signals = spark.createDataFrame([(1, "price_surge", "red apples", ""), (2, None, "volume", "price")], "query_id int, signal string, name string, symbol string")
+    found = catalog.recall(signals, provider, 3).collect()
+    assert len(found) == len({(r.query_id, r.chunk_id) for r in found}) == 6 and {(r.query_id, r.recall_reason) for r in found} == {(1, "price_surge"), (2, "unknown")}
+
+    before, chunk = catalog.table("chunk").count(), hits[0].chunk_id
+    catalog.delete_chunk(chunk)
+    assert catalog.table("chunk").count() == before - 1 and catalog.table("vector_record").where(F.col("chunk_id") == chunk).isEmpty()
+    with pytest.raises(KeyError):
+        catalog.delete_chunk(chunk)
+    catalog.reset()
+    assert [catalog.table(t).count() for t in ("document", "chunk", "vector_record", "knowledge_base")] == [0, 0, 0, 2]
+    assert {r.status for r in catalog.table("index_state").collect()} == {"EMPTY"}
+    assert catalog.search(one, questions, provider).count() == 0

@@ -171,6 +171,14 @@ def test_synthetic_vectors(spark):
 
 
 def test_rag(spark):
+    class Picky:
+        """A client that answers only prompts with a source."""
+
+        def complete(self, prompt):
+            if "[资料1" not in prompt:
+                raise ValueError("no context")
+            return "yes"
+
     hits = spark.createDataFrame([(1, 2, "b.md", 0, "B"), (1, 1, "a.md", 3, "A")], "query_id int, rank int, file_name string, chunk_index int, text string")
     assert rag.contexts(hits).first().context == "[资料1 | a.md | chunk 3]\nA\n\n[资料2 | b.md | chunk 0]\nB"
     questions = spark.createDataFrame([(1, "?"), (2, "!")], "query_id int, text string")
@@ -178,6 +186,11 @@ def test_rag(spark):
     with pytest.raises(ValueError):
         rag.LlmConfig("http://example.com", "k", "m")
     assert rag.LlmConfig("http://localhost:1", "k", "m", thinking=True).body("x")["reasoning_effort"] == "high"
+    body = rag.LlmConfig("https://example.com", "k", "m").body("x")
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and body["thinking"] == {"type": "disabled"} and "reasoning_effort" not in body
+    replied = {r.query_id: r for r in rag.answers(questions, hits, Picky()).collect()}
+    assert (replied[1].answer, replied[1].error, replied[1].llm_used) == ("yes", None, True)
+    assert (replied[2].answer, replied[2].error) == (None, "ValueError: no context")
     assert rag.answer_text({"choices": [{"message": {"content": "a"}}]}) == "a"
 
 
@@ -225,3 +238,21 @@ def test_total_relevant(spark):
     want = {q: sum(t is not None and all(x in t for x in must) and (not other or any(x in t for x in other)) for t in texts) if must is not None else 0 for q, must, other in rules}
     assert dict(map(tuple, evaluation.total_relevant(frame, corpus).collect())) == want
     assert {r.total_relevant for r in evaluation.total_relevant(frame, corpus.limit(0)).collect()} == {0}
+
+
+def test_case_evidence(spark):
+    required = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y"), ("D", "z"), ("E", "none")], "case_id string, measured_id string").withColumn("description", F.col("case_id"))
+    measured = spark.createDataFrame([("x", "PASS", 1.0, "1"), ("y", "FAIL", None, None), ("z", None, 2.0, "2")], "case_id string, status string, duration_ms double, actual string")
+    checks = spark.createDataFrame([("B", False), ("E", True)], "case_id string, passed boolean")
+    got = {r.case_id: r.status for r in benchmarks.case_evidence(required, measured, checks).collect()}
+    assert got == {"A": "PASS", "B": "FAIL", "C": "FAIL", "D": "PASS", "E": "FAIL"}
+    cases = benchmarks.case_evidence(required, measured)
+    assert {r.case_id for r in cases.where("status = 'PASS'").collect()} == {"A", "B", "D"}
+    assert tuple(benchmarks.case_summary(cases, 5).first()) == (3, 5, False) and tuple(benchmarks.case_summary(cases.limit(0), 0).first()) == (0, 0, True)
+
+
+def test_historical_comparison(spark):
+    rows = spark.createDataFrame([("c0", 3, 1.0), ("c0", 5, 2.0), ("c1", 3, 3.0)], "chunk_config string, top_k int, mean_ms double")
+    row = benchmarks.historical_comparison(rows, rows, "c0", "c1").first()
+    assert (row.old.mean_ms, row.new.mean_ms, row.strict_ab) == (1.0, 3.0, False)
+    assert benchmarks.historical_comparison(rows.limit(0), rows, "c0", "c1").count() == 0
