@@ -28,7 +28,7 @@ BEFORE_ALL = -(1 << 62)
 def _keyed(turns: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("turn").cast("long"), F.lit(BEFORE_ALL))
     return turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00null")).alias("_key"),
+        F.coalesce(F.concat(F.lit("id "), F.col("conv_id").cast("string")), F.lit("null")).alias("_key"),
         "conv_id",
         at.alias("_turn"),
         F.floor(at / PART_TURNS).cast("long").alias("_part"),
@@ -39,8 +39,7 @@ def _keyed(turns: DataFrame) -> DataFrame:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """One row per conversation and turn: h1, h2 (of all turns up to it), n (rows so far), last (is it the last turn)."""
-    null = F.lit("\x00null")
-    parts = ["_turn", F.coalesce("role", null), F.coalesce("text", null)]
+    parts = ["_turn", F.isnull("role"), F.coalesce("role", F.lit("")), F.isnull("text"), F.coalesce("text", F.lit(""))]
     hashed = _keyed(turns).select("_key", "conv_id", "_turn", "_part", F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("b"))
     per_turn = written(
         hashed.distinct().groupBy("_key", "conv_id", "_part", "_turn").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count(F.lit(1)).alias("m")),

@@ -34,3 +34,9 @@ def test_edges(spark):
     assert set(got) == {1, 2, None, 3, 4}
     assert got[1].n_turns == 2 and len(got[1].rendered) > 200000 and got[3].rendered == "<|unknown|>\n\n<|end|>\n"
     assert got[4].rendered.startswith("<|a|>")
+
+
+def test_no_name_stands_for_null(spark):
+    rows = [("null", 0, "a", "b"), ("\x00null", 0, "a", "c"), (None, 0, "a", "d"), ("", 0, None, "\x00null"), ("x", 0, "\x00null", None), ("y", 0, None, None), ("z", 0, "", "")]
+    got = m.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id is None, r.conv_id or "", r.n_logged) for r in got) == sorted((c is None, c or "", 1) for c, *_ in rows)
