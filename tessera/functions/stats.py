@@ -87,9 +87,19 @@ def entropy_scores(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quality_score(points: DataFrame, fields: tuple[str, ...] = ("recall", "mrr", "ndcg"), by: list[str] | None = None) -> DataFrame:
-    group = W.partitionBy(*(by or [F.lit(1)]))
-    total = sum((min_max(F.col(f), group) for f in fields[1:]), min_max(F.col(fields[0]), group))
-    return points.withColumn("quality_score", total * 100.0 / len(fields))
+    """``points`` with the mean of its fields' positions between least and greatest, times 100, in each group or over all.
+
+    The bounds come from one aggregate, a row a group, so no group is sorted in one task.
+    """
+    bounds = points.groupBy(*(by or [])).agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in fields for f in (F.min, F.max)))
+    low, high = (lambda c: F.col(f"_min_{c}")), (lambda c: F.col(f"_max_{c}"))
+    place = [F.when(high(c) > low(c), (F.col(c) - low(c)) / (high(c) - low(c))).otherwise(0.0) for c in fields]
+    if by:
+        same = [F.col(f"_by{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+        rows = points.join(bounds.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)}), same)
+    else:
+        rows = points.crossJoin(F.broadcast(bounds))  # one row
+    return rows.select(*points.columns, (sum(place[1:], place[0]) * 100.0 / len(fields)).alias("quality_score"))
 
 
 def memory_needed_gib(peak_bytes: Column) -> Column:

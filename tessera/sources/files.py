@@ -139,5 +139,5 @@ def import_summary(parsed: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "ordinal", by: list[str] | None = None) -> DataFrame:
-    """Numbers from 1 inside each group of ``by``."""
+    """Numbers from 1 inside each group of ``by``; one task orders a group, or without ``by`` the table, so that should be small."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*(by or [F.lit(1)])).orderBy(*order)))

@@ -256,3 +256,12 @@ def test_historical_comparison(spark):
     row = benchmarks.historical_comparison(rows, rows, "c0", "c1").first()
     assert (row.old.mean_ms, row.new.mean_ms, row.strict_ab) == (1.0, 3.0, False)
     assert benchmarks.historical_comparison(rows.limit(0), rows, "c0", "c1").count() == 0
+
+
+def test_quality_score(spark):
+    rows = spark.createDataFrame([("a", 0.0, 1.0, 5.0), ("a", 1.0, 1.0, 3.0), (None, 0.5, 0.0, 4.0)], "g string, recall double, mrr double, ndcg double")
+    over_all = {r.recall: r.quality_score for r in stats.quality_score(rows).collect()}
+    assert over_all == {0.0: pytest.approx(200 / 3), 1.0: pytest.approx(200 / 3), 0.5: pytest.approx(100 / 3)}
+    grouped = stats.quality_score(rows, by=["g"])
+    assert grouped.columns == [*rows.columns, "quality_score"] and {r.recall: r.quality_score for r in grouped.collect()} == {0.0: pytest.approx(100 / 3), 1.0: pytest.approx(100 / 3), 0.5: 0.0}
+    assert stats.quality_score(rows.limit(0)).count() == 0
