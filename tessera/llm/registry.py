@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_secrets, op2_warc, op3_jaccard, op4_tokens, op5_chat, op6_substrings, op7_media, op8_mixing, op9_decontamination, op10_language, op12_repair, op13_byte_bpe
+from tessera.llm import op1_secrets, op2_warc, op3_jaccard, op4_tokens, op5_chat, op6_substrings, op7_media, op8_mixing, op9_decontamination, op10_language, op11_negatives, op12_repair, op13_byte_bpe
 
 _MODULES = {
     "op1_secrets": op1_secrets,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op11_negatives": op11_negatives,
     "op12_repair": op12_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
