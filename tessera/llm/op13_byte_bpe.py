@@ -14,8 +14,7 @@ empty tables give no rows. A text is encoded whole, whatever its length, in piec
 from __future__ import annotations
 
 import base64
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import types as T
 from tessera.llm._words import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Texts with more characters are cut into parts of about so many.
 LONG = 1 << 15
 #: No match of the pattern crosses these places: a blank after another character, the last of several blanks before
@@ -78,27 +78,21 @@ def encoded(encoder: tiktoken.Encoding, text: str, long: int = LONG) -> list[int
     return ids
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with ``into``, an array of token ids. ``path``: the same on all workers."""
-    plain = docs.drop(into) if into != column else docs
-    names = [c for c in plain.columns if c != into]
-
+def _encoder(path: str, pattern: str, column: str, into: str, packed: bool) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(path, pattern)
         for batch in slices(batches, column):
-            ids = [encoded(encoder, t) if t else [] for t in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, into])
-
-    schema = T.StructType([*(plain.schema[c] for c in names), T.StructField(into, T.ArrayType(T.IntegerType()))])
-    return plain.mapInArrow(run, schema)
+            ids = [np.array(encoded(encoder, t) if t else [], "<u4") for t in batch.column(column).to_pylist()]
+            kind = pa.binary() if packed else pa.list_(pa.int32())
+            yield _with(batch, into, pa.array([x.tobytes() for x in ids] if packed else [x.astype(np.int32) for x in ids], kind))
 
+    return run
 
-def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids", into: str = "bytes") -> DataFrame:
-    """``rows`` with ``into``, the bytes that the ids in ``column`` stand for."""
-    plain = rows.drop(into) if into != column else rows
-    names = [c for c in plain.columns if c != into]
 
-    def raw(encoder: tiktoken.Encoding, ids: list[int | None] | None) -> bytes | None:
+def _decoder(path: str, pattern: str, column: str, into: str) -> Batches:
+    def raw(encoder: tiktoken.Encoding, ids: bytes | list[int | None] | None) -> bytes | None:
+        if isinstance(ids, bytes):
+            ids = np.frombuffer(ids, "<u4").tolist() if len(ids) % 4 == 0 else None
         try:
             return None if ids is None or None in ids else encoder.decode_bytes(ids)
         except (KeyError, OverflowError):
@@ -107,28 +101,48 @@ def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(path, pattern)
         for batch in batches:
-            found = [raw(encoder, ids) for ids in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], [*names, into])
+            yield _with(batch, into, pa.array([raw(encoder, ids) for ids in batch.column(column).to_pylist()], pa.binary()))
+
+    return run
+
+
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], [*names, name])
+
+
+def _schema(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, kind)])
 
-    schema = T.StructType([*(plain.schema[c] for c in names), T.StructField(into, T.BinaryType())])
-    return plain.mapInArrow(run, schema)
 
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", into: str = "ids", packed: bool = False) -> DataFrame:
+    """``docs`` with ``into``, an array of token ids, or ``packed`` as little-endian unsigned 32-bit integers.
+
+    ``path`` is the same on all workers.
+    """
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    return docs.mapInArrow(_encoder(path, pattern, column, into, packed), _schema(docs, into, kind))
+
+
+def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids", into: str = "bytes") -> DataFrame:
+    """``rows`` with ``into``, the bytes that the ids in ``column``, an array or packed, stand for."""
+    return rows.mapInArrow(_decoder(path, pattern, column, into), _schema(rows, into, T.BinaryType()))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` (text, more columns) with the packed ``ids`` and the ``bytes`` that they decode to instead of the text, in one pass."""
+    to, back = _encoder(path, pattern, "text", "ids", True), _decoder(path, pattern, "ids", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from back(b.drop_columns(["text"]) for b in to(batches))
 
-def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids as little-endian unsigned 32-bit integers, hashed."""
-    for batch in batches:
-        ids, at = batch.column("ids"), batch.schema.get_field_index("ids")
-        values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), np.asarray(ids.offsets)
-        digests = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
-        yield batch.set_column(at, "ids_sha256", pa.array(digests, pa.string()))
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("text", "ids", "bytes")), T.StructField("ids", T.BinaryType()), T.StructField("bytes", T.BinaryType())])
+    return docs.mapInArrow(run, schema)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, path, pattern).drop("text"), path, pattern)
-    known = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
-    schema = T.StructType([T.StructField("ids_sha256", T.StringType()) if f.name == "ids" else f for f in known.schema.fields])
-    return known.mapInArrow(_id_digests, schema).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    both = round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

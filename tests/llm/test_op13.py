@@ -73,4 +73,6 @@ def test_edges(spark):
     assert got[2][1] == plain("a b") and got[4][1] == plain("é<|endoftext|>")
     odd = spark.createDataFrame([(1, None), (2, [None]), (3, [50256]), (4, [-1]), (5, [128])], "k long, ids array<int>")
     assert {r.k: r.bytes and bytes(r.bytes) for r in m.decode(odd, PATH, PATTERN).collect()} == {1: None, 2: None, 3: None, 4: None, 5: m.encoding(PATH, PATTERN).decode_bytes([128])}
+    packed = m.decode(m.encode(spark.createDataFrame(rows, schema), PATH, PATTERN, packed=True), PATH, PATTERN)
+    assert sorted((r.doc_id or 0, struct.unpack(f"<{len(r.ids) // 4}I", r.ids), bytes(r.bytes)) for r in packed.collect()) == [(k, tuple(ids), b) for k, ids, b in got]
     assert isinstance(m.encoding(PATH, PATTERN), tiktoken.Encoding)
