@@ -8,8 +8,8 @@ long, and so on; what then still can be among the best is scored exactly. The k-
 to reach, so no row that counts is lost.
 
 First each anchor's positives are found, then, with their scores as limits, its negatives. All anchors meet all rows, in
-pairs of blocks of bounded size: every block of rows is sent once to each block of anchors under a key of its own, so no
-key has more than one block on a side. A task returns its best few rows for each anchor, and a window over these few
+pairs of blocks of bounded size: the blocks of anchors go to every block of rows, which has a key of its own and is sent
+once. A task returns its best few rows for each anchor, and a window over these few
 picks the best of all. Scores are exact integers as long as dimension times the largest squared component stays below
 2^53, beyond that 64-bit integers.
 
@@ -35,6 +35,8 @@ from tessera.llm._shared import written
 ROW_BLOCK, ANCHOR_BLOCK = 4096, 1024
 #: Segments are halved from this length down to SHORTEST.
 LONGEST, SHORTEST = 16, 4
+#: Pairs are taken one by one where no more than this share of them is open.
+SPARSE = 0.02
 #: So many anchors of a block are compared with the other block at a time.
 STRIP = 128
 POSITIVES = NEGATIVES = 5
@@ -84,7 +86,7 @@ def packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
             vectors = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             levels = [x for n in lengths() for x in summaries(vectors.astype(np.float64), n)]
             out = {"block": [TaskContext.get().partitionId()], "dim": [dim]} | {c: [part.column(c).to_pylist()] for c in ("row", "id", "label", "limits")}
-            out |= {"vector": [vectors.astype(np.int64).tobytes()], "segments": [np.concatenate(levels, axis=1).tobytes()]}
+            out |= {"vector": [vectors.astype(np.int64).tobytes()], "segments": [np.concatenate(levels, axis=1).astype(np.float32).tobytes()]}
             kinds = pa.schema([("block", pa.int32()), ("dim", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("row", "id", "label")), ("vector", pa.binary()), ("segments", pa.binary()), ("limits", pa.list_(pa.list_(pa.int64())))])
             yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in kinds}, kinds)
 
@@ -100,7 +102,7 @@ class Block:
         self.order = np.array([np.iinfo(np.int64).max if i is None else i for i in id], np.int64)
         self.vector = np.frombuffer(vector, np.int64).reshape(len(row), dim)
         self.limits = limits
-        all_levels, at, self.levels = np.frombuffer(segments, np.float64).reshape(len(row), -1), 0, []
+        all_levels, at, self.levels = np.frombuffer(segments, np.float32).reshape(len(row), -1), 0, []
         for n in lengths():
             size = -(-dim // n)
             self.levels.append((all_levels[:, at : at + size], all_levels[:, at + size : at + 2 * size]))
@@ -115,32 +117,30 @@ class Block:
         return out
 
 
-def _scores(anchors: Block, rows: Block, a: np.ndarray, r: np.ndarray) -> np.ndarray:
-    if anchors.dim * anchors.largest * rows.largest < _EXACT:
-        return np.einsum("ij,ij->i", anchors.vector[a].astype(np.float64), rows.vector[r].astype(np.float64)).astype(np.int64)
-    return (anchors.vector[a] * rows.vector[r]).sum(1)
+def _whole(anchors: Block, rows: Block) -> type:
+    """The kind of number that holds every score of the two blocks exactly."""
+    return np.float64 if anchors.dim * anchors.largest * rows.largest < _EXACT else np.int64
 
 
 def _bounds(anchors: Block, rows: Block, level: int, a: np.ndarray | None = None, r: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of all pairs, or of the pairs (a, r), with room for rounding."""
     (ma, da), (mr, dr) = anchors.levels[level], rows.levels[level]
+    size = lambda m, d: np.sqrt((m * m).sum(1) + (d * d).sum(1))
+    room = 1e-5 * float(size(ma, da).max(initial=0)) * float(size(mr, dr).max(initial=0)) + 1e-3
     if a is None:
         middle, spread = ma @ mr.T, da @ dr.T
-        room = 1e-9 * (np.linalg.norm(ma, axis=1) + np.linalg.norm(da, axis=1))[:, None] * (np.linalg.norm(mr, axis=1) + np.linalg.norm(dr, axis=1))[None, :] + 1e-6
     else:
         middle, spread = np.einsum("ij,ij->i", ma[a], mr[r]), np.einsum("ij,ij->i", da[a], dr[r])
-        room = 1e-9 * (np.linalg.norm(ma[a], axis=1) + np.linalg.norm(da[a], axis=1)) * (np.linalg.norm(mr[r], axis=1) + np.linalg.norm(dr[r], axis=1)) + 1e-6
-    return middle - spread - room, middle + spread + room
+    spread += room
+    return middle - spread, middle + spread
 
 
-def _kth(groups: int, a: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest value of each group, or minus infinity."""
-    order = np.lexsort((-values, a))
-    sizes = np.bincount(a, minlength=groups)
-    out = np.full(groups, -np.inf)
-    full = sizes >= k
-    out[full] = values[order[(np.cumsum(sizes) - sizes)[full] + k - 1]]
-    return out
+def _kth(values: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest value that fits of each row, or less than any where there are fewer."""
+    least = -np.inf if values.dtype.kind == "f" else np.iinfo(values.dtype).min
+    if values.shape[1] < k:
+        return np.full(len(values), least)
+    return np.partition(np.where(fits, values, least), -k, axis=1)[:, -k]
 
 
 def _best(a: np.ndarray, r: np.ndarray, scores: np.ndarray, rows: Block, k: int) -> np.ndarray:
@@ -152,22 +152,43 @@ def _best(a: np.ndarray, r: np.ndarray, scores: np.ndarray, rows: Block, k: int)
     return order[rank < k]
 
 
-def _above(anchors: Block, rows: Block, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k allowed rows of each anchor with a score in [low, high]: anchors, rows and scores."""
-    lower, upper = _bounds(anchors, rows, 0)
-    a, r = np.nonzero(allowed & (upper >= low[:, None]) & (lower <= high[:, None]))
-    lower, upper = lower[a, r], upper[a, r]
-    for level in range(len(anchors.levels)):
-        if level:
-            finer = _bounds(anchors, rows, level, a, r)
-            lower, upper = np.maximum(lower, finer[0]), np.minimum(upper, finer[1])
-        sure = (lower >= low[a]) & (upper <= high[a])  # k pairs that surely count are as good as their lower bounds
-        reach = np.maximum(low, _kth(len(low), a[sure], lower[sure], k))
-        left = (upper >= reach[a]) & (lower <= high[a])
-        a, r, lower, upper = a[left], r[left], lower[left], upper[left]
-    scores = _scores(anchors, rows, a, r)
-    fits = (scores >= low[a]) & (scores <= high[a])
-    a, r, scores = a[fits], r[fits], scores[fits]
+def _above(anchors: Block, rows: Block, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each line of ``low`` and ``high`` the first k allowed rows of each anchor with a score in [low, high]: anchors, rows, scores.
+
+    The bounds of all pairs are matrix products, and so are the scores if many pairs stay open; few are taken one by one.
+    """
+    lower = upper = None
+    left, last = allowed, len(anchors.levels) - 1
+    for level in range(last + 1):
+        now = _bounds(anchors, rows, level)
+        lower, upper = now if lower is None else (np.maximum(lower, now[0]), np.minimum(upper, now[1]))
+        reach = low.min(0).astype(np.float64)
+        if len(low) == 1 or level == last:  # k pairs that surely count are as good as their lower bounds
+            sure = [_kth(lower, allowed & (lower >= lo[:, None]) & (upper <= hi[:, None]), k) for lo, hi in zip(low, high, strict=True)]
+            reach = np.minimum.reduce([np.maximum(lo, x) for lo, x in zip(low, sure, strict=True)])
+        left = allowed & (upper >= reach[:, None]) & (lower <= high.max(0)[:, None])
+        if left.mean() <= SPARSE:
+            break
+    kind = _whole(anchors, rows)
+    if left.mean() > SPARSE:
+        scores = anchors.vector.astype(kind) @ rows.vector.astype(kind).T
+        for lo, hi in zip(low, high, strict=True):
+            fits = left & (scores >= lo[:, None]) & (scores <= hi[:, None])
+            a, r = np.nonzero(fits & (scores >= _kth(scores, fits, k)[:, None]))
+            yield _picked(a, r, scores[a, r].astype(np.int64), rows, k)
+        return
+    a, r = np.nonzero(left)
+    for finer in range(level + 1, last + 1):
+        lower, upper = _bounds(anchors, rows, finer, a, r)
+        keep = (upper >= low.min(0)[a]) & (lower <= high.max(0)[a])
+        a, r = a[keep], r[keep]
+    scores = np.einsum("ij,ij->i", anchors.vector[a].astype(kind), rows.vector[r].astype(kind)).astype(np.int64)
+    for lo, hi in zip(low, high, strict=True):
+        fits = (scores >= lo[a]) & (scores <= hi[a])
+        yield _picked(a[fits], r[fits], scores[fits], rows, k)
+
+
+def _picked(a: np.ndarray, r: np.ndarray, scores: np.ndarray, rows: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pick = _best(a, r, scores, rows, k)
     return a[pick], r[pick], scores[pick]
 
@@ -180,7 +201,8 @@ def _compared(rows: tuple[DataFrame, int], anchors: tuple[DataFrame, int], compa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair in batch.to_pylist():
+            for i in range(batch.num_rows):
+                pair = batch.slice(i, 1).to_pylist()[0]
                 own, other = Block(pair["dim"], **pair["a"]), Block(pair["dim"], **pair["r"])
                 for start in range(0, len(own.row), STRIP):
                     strip = own.strip(start, start + STRIP)
@@ -188,19 +210,19 @@ def _compared(rows: tuple[DataFrame, int], anchors: tuple[DataFrame, int], compa
                         columns = [strip.row[a], [own.id[start + i] for i in a], np.full(len(a), place, np.int32), other.row[r], [other.id[i] for i in r], scores]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["anchor", "anchor_id", "place", "row", "id", "score"])
 
-    (r, n), (a, m) = rows, anchors
+    (r, n), a = rows, anchors[0]
     content = ["row", "id", "label", "vector", "segments"]
-    left = r.select(F.col("block").alias("rb"), "dim", F.struct(*content).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("ab"))
-    right = a.select(F.col("block").alias("ab"), "dim", F.struct(*content, "limits").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rb"))
-    key, tasks = ["rb", "ab", "dim"], min(n * m, MOST_TASKS)
+    left = r.select("block", "dim", F.struct(*content).alias("r"))
+    right = a.select("dim", F.struct(*content, "limits").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    key, tasks = ["block", "dim"], min(n, MOST_TASKS)
     return left.repartition(tasks, *key).join(right.repartition(tasks, *key), key).select("dim", "a", "r").mapInArrow(run, _FOUND)
 
 
 def _positives(k: int):
     def compare(anchors: Block, rows: Block):
         allowed = (anchors.label[:, None] == rows.label[None, :]) & (anchors.row[:, None] != rows.row[None, :])
-        none, every = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-        yield 0, *_above(anchors, rows, allowed, np.full(len(anchors.row), none), np.full(len(anchors.row), every), k)
+        none, every = (np.full((1, len(anchors.row)), x, np.int64) for x in (np.iinfo(np.int64).min, np.iinfo(np.int64).max))
+        yield from ((0, *found) for found in _above(anchors, rows, allowed, none, every, k))
 
     return compare
 
@@ -208,10 +230,10 @@ def _positives(k: int):
 def _negatives(k: int, low: int, high: int):
     def compare(anchors: Block, rows: Block):
         allowed = anchors.label[:, None] != rows.label[None, :]
-        for place in range(max(map(len, anchors.limits))):
-            limits = [x[place] if len(x) > place else -1 for x in anchors.limits]  # below 0: no negatives
-            least, top = np.array([(-(-low * x // 100), high * x // 100) for x in limits], np.int64).T
-            yield place + 1, *_above(anchors, rows, allowed, least, top, k)
+        # A limit below 0 has no negatives, as the range between its hundredths is empty.
+        limits = [[x[place] if len(x) > place else -1 for x in anchors.limits] for place in range(max(map(len, anchors.limits)))]
+        least, top = (np.array([[f(x) for x in line] for line in limits], np.int64) for f in (lambda x: -(-low * x // 100), lambda x: high * x // 100))
+        yield from ((place, *found) for place, found in enumerate(_above(anchors, rows, allowed, least, top, k), 1))
 
     return compare
 
