@@ -11,7 +11,8 @@ P99_LEAST = 1000
 
 
 def linear_percentile(value: Column, fraction: float) -> Column:
-    """Percentile with linear interpolation; null for no values."""
+    """Percentile with linear interpolation; null for no values. A group's distinct values meet in one task, so it is for
+    groups of bounded size; ``operators.latency`` has the others."""
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be between 0 and 1")
     return F.percentile(value, F.lit(fraction))
@@ -20,7 +21,7 @@ def linear_percentile(value: Column, fraction: float) -> Column:
 def latency_summary(latency: str = "latency_ms", success: str = "success", always_p99: bool = False) -> list[Column]:
     """Aggregates over samples: counts, and of the successful ones mean, min, max, p50, p95 and p99, to 6 digits.
 
-    p99 needs P99_LEAST successes unless ``always_p99``.
+    p99 needs P99_LEAST successes unless ``always_p99``. For groups of bounded size, see ``linear_percentile``.
     """
     good = F.coalesce(F.col(success), F.lit(False)) & F.col(latency).isNotNull()
     value, n = F.when(good, F.col(latency)), F.count_if(good)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 #: Unicode white space, written so that Java and RE2 both read it.
 BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TRIM = rf"^{BLANKS}+|{BLANKS}+$"
-#: Latin words with hyphens, and numbers with an optional percent sign.
-TOKENS = r"[A-Za-z]+(?:-[A-Za-z0-9]+)*|\d+(?:\.\d+)?%?"
+#: The same, character by character.
+BLANK_CHARS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-# Fixed values that results depend on: words that carry no meaning in a query, and the words that decide its category.
+# Fixed values that results depend on: the pattern of a query's tokens (Latin words with hyphens, numbers with an optional
+# percent sign), words that carry no meaning in a query, and the words that decide its category.
+TOKENS = r"[A-Za-z]+(?:-[A-Za-z0-9]+)*|\d+(?:\.\d+)?%?"
 STOP_WORDS = ["的", "了", "是", "在", "有", "和", "与", "及", "或", "什么", "怎么", "如何", "多少", "请问", "请", "方面", "情况", "一个", "这个", "那个"]
 STOP_TERMS = ["什么", "多少", "如何", "哪些"]
 CATEGORIES = {
@@ -23,7 +25,7 @@ RECALL_TEMPLATES = {"price_surge": "%s 涨幅 原因 分析 利好", "price_drop
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, TRIM, "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def distinct_terms(query: Column) -> Column:

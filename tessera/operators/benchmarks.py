@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import latency_summary
+from tessera.operators.latency import latency_table
 
 REQUIRED_SECTIONS = (
     "run_info test_config dataset environment latency_samples resource_samples quality_details case_results summary artifacts errors notes"
@@ -146,7 +146,7 @@ def storage_comparison(builds: DataFrame, searches: DataFrame) -> DataFrame:
     (backend, vector_count, top_k, latency_ms, success), a row a query. Scales without a build keep nulls.
     """
     built = builds.groupBy("backend", "vector_count", "dimension").agg(F.avg("insert_ms").alias("build_ms_mean"), F.avg("database_bytes").alias("database_bytes_mean"))
-    measured = searches.groupBy("backend", "vector_count", "top_k").agg(*latency_summary())
+    measured = latency_table(searches, ["backend", "vector_count", "top_k"])
     return measured.join(built, ["backend", "vector_count"], "left")
 
 

@@ -31,12 +31,20 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     Blank windows are dropped before they are numbered; empty text or size 0 gives none.
     """
     step = max(size - overlap, 1)
-    n = F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: trimmed(F.substr(text, i * step + 1, F.lit(size))))
+    rest = size - step
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
+
+    def window(own: Column, i: Column) -> Column:
+        """A piece of ``step`` characters with the ``rest`` of the window from those after it."""
+        more = F.concat_ws("", F.slice(own, i + 2, F.lit(-(-rest // step)))) if rest > step else F.coalesce(F.get(own, i + 1), F.lit(""))
+        return trimmed(F.concat(F.get(own, i), F.left(more, F.lit(rest))) if rest else F.get(own, i))
+
+    # The text is cut once, by the pattern; a lambda's variable holds the pieces, so no window cuts or counts again.
+    cut = F.flatten(F.transform(F.array(pieces), lambda own: F.transform(F.sequence(F.lit(0), last), lambda i: window(own, i))))
     kept = F.filter(cut, lambda c: c != "")
     none = F.array().cast("array<string>")
-    return F.when((n > 0) & F.lit(size > 0), kept).otherwise(none)
+    return F.when((F.length(text) > 0) & F.lit(size > 0), kept).otherwise(none)
 
 
 def chunk_fixed(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", strict: bool = True) -> DataFrame:

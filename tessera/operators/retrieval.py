@@ -4,7 +4,7 @@ Queries and corpus are DataFrames. Vector search compares blocks: a block of que
 of the corpus scan, each task keeps its own best k per query, and one window over these few rows gives the ranks. More
 queries than a block holds are searched block by block. Lexical search works alike: an automaton finds all terms of a
 block in one pass over each text, and a matrix product scores the texts inside the task. BM25 reads the corpus twice,
-for the document frequencies, summed up in the tasks, and for the scores.
+for its counts (document frequencies, number and length of the texts), summed up in the tasks, and for the scores.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import distinct_terms, segments
+from tessera.sources.tables import written
 
 QUERY_BLOCK_BYTES = 32 << 20
 TERM_BLOCK_CHARS = 8 << 20
@@ -224,23 +225,40 @@ def term_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     return _united([search(words) for words in _term_blocks(terms)], corpus, schema)
 
 
-def document_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
-    """term, df: in how many texts each distinct term occurs, if in any; each task sums up what it finds."""
+def corpus_counts(terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    """term, df, texts, chars, as a table: in how many texts each distinct term occurs, if in any.
 
-    def search(words: list[str]) -> DataFrame:
+    The row without a term has the number of all rows in df, and of the texts that aren't null and of their characters.
+    Each task sums up what it finds, so one pass over the corpus gives all that BM25 has to know of it.
+    """
+    schema = "term string, df long, texts long, chars long"
+
+    def search(words: list[str], totals: bool) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(words)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder, total = automaton(shared.value), np.zeros(len(shared.value), np.int64)
+            finder, total = automaton(shared.value) if shared.value else None, np.zeros(len(shared.value), np.int64)
+            n = texts = chars = 0
             for batch in batches:
-                _, spots, _ = counted(finder, batch.column("text").to_pylist())
-                total += np.bincount(spots, minlength=len(total))
+                column = batch.column("text")
+                n, texts = n + len(column), texts + len(column) - column.null_count
+                if totals:
+                    chars += pc.sum(pc.utf8_length(column)).as_py() or 0
+                if finder is not None:
+                    _, spots, _ = counted(finder, column.to_pylist())
+                    total += np.bincount(spots, minlength=len(total))
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()).take(pa.array(some)), pa.array(total[some])], ["term", "df"])
+            zero = np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()).take(pa.array(some)), pa.array(total[some]), pa.array(zero), pa.array(zero)], ["term", "df", "texts", "chars"])
+            if totals:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *(pa.array([x], pa.int64()) for x in (n, texts, chars))], ["term", "df", "texts", "chars"])
 
-        return corpus.select("text").mapInArrow(run, "term string, df long")
+        return corpus.select("text").mapInArrow(run, schema)
 
-    return _united([search(words) for words in _term_blocks(terms)], corpus, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    blocks = iter(_term_blocks(terms))
+    first = next(blocks, [])
+    every = _united([search(first, True), *(search(words, False) for words in blocks)], corpus, schema)
+    return written(every.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "texts", "chars"))), "corpus-counts")
 
 
 def _by_terms(wanted: DataFrame, corpus: DataFrame, k: int, mean: float | None = None) -> DataFrame:
@@ -297,21 +315,23 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_statistics(terms: DataFrame, counts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """term, doc_freq, idf of all distinct terms with the document frequencies ``counts``, those that don't occur included."""
-    n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    known = terms.select("term").distinct().join(counts, "term", "left").crossJoin(F.broadcast(n))  # n is one row
+def term_statistics(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """term, doc_freq, idf of all distinct terms with the ``counts`` of a corpus, those that don't occur included."""
+    n = counts.where("term IS NULL").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"))
+    known = terms.select("term").distinct().join(counts.select("term", "df"), "term", "left").crossJoin(F.broadcast(n))  # n is one row
     df = F.coalesce("df", F.lit(0))
     return known.select("term", df.alias("doc_freq"), idf(F.col("n"), df).alias("idf"))
 
 
-def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments, stats: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, rank by BM25 with lengths in characters; a term that a query repeats counts again."""
+def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = segments, counts: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank by BM25 with lengths in characters; a term that a query repeats counts again.
+
+    ``counts`` are those of the corpus for the queries' terms, if they are known already.
+    """
     wanted = query_term_rows(queries, terms)
-    if stats is None:
-        stats = term_statistics(wanted, document_frequencies(wanted, corpus), corpus)
-    mean = corpus.agg(F.avg(F.length("text"))).first()[0]
-    return _ranked(_by_terms(wanted.join(stats, "term"), corpus, k, mean or 1.0), k)
+    counts = corpus_counts(wanted, corpus) if counts is None else counts
+    size = counts.where("term IS NULL").agg((F.sum("chars") / F.nullif(F.sum("texts"), F.lit(0))).alias("mean")).first()
+    return _ranked(_by_terms(wanted.join(term_statistics(wanted, counts), "term"), corpus, k, size.mean or 1.0), k)
 
 
 def lexical_search(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmenter = distinct_terms) -> DataFrame:
@@ -331,7 +351,7 @@ def specificity(queries: DataFrame, stats: DataFrame, wanted: DataFrame) -> Data
 def analyze_queries(queries: DataFrame, corpus: DataFrame, terms: Segmenter = segments) -> DataFrame:
     """Per query and term: doc_freq and idf; per query: specificity and weights; formatted to three decimals."""
     wanted = query_term_rows(queries, terms)
-    stats = term_statistics(wanted, document_frequencies(wanted, corpus), corpus)
+    stats = term_statistics(wanted, corpus_counts(wanted, corpus))
     own = specificity(queries, stats, wanted)
     three = lambda c: F.format_string("%.3f", F.round(c, 3)).alias(c)
     rows = own.join(wanted, "query_id", "left").join(stats, "term", "left")
@@ -361,10 +381,10 @@ def hybrid_adaptive(queries: DataFrame, corpus: DataFrame, k: int, terms: Segmen
     """Fusion of vector and BM25 ranks with weights by the query's specificity, 3k candidates of each; ``texts`` as above."""
     texts = corpus if texts is None else texts
     wanted = query_term_rows(queries, terms)
-    stats = term_statistics(wanted, document_frequencies(wanted, texts), texts).persist()  # a row for each term of the queries
-    weights = specificity(queries, stats, wanted)
+    counts = corpus_counts(wanted, texts)
+    weights = specificity(queries, term_statistics(wanted, counts), wanted)
     by_vector = vector_search(queries, corpus, 3 * k, "cosine", "zero").join(weights, "query_id")
-    by_terms = bm25_search(queries, texts, 3 * k, terms, stats).join(weights, "query_id")
+    by_terms = bm25_search(queries, texts, 3 * k, terms, counts).join(weights, "query_id")
     return fuse([(by_vector, F.col("vector_weight")), (by_terms, F.col("bm25_weight"))], k)
 
 

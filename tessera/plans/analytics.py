@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import cpu_percent, entropy_scores, latency_summary, memory_needed_gib, quality_score
+from tessera.functions.stats import cpu_percent, entropy_scores, memory_needed_gib, quality_score
 from tessera.functions.stats import resource_summary as resources
 from tessera.operators import benchmarks, catalog, evaluation, views
+from tessera.operators.latency import latency_table
 from tessera.streaming.watch import latency_windows as windows
 
 
@@ -41,14 +42,12 @@ _SUMMARY = """count(*) AS total_samples, count_if(success AND latency_ms IS NOT
 
 
 def latency_by_model(spark, sf_dir):
-    return _samples(spark, sf_dir).groupBy("model", "chunk_config").agg(*latency_summary())
+    return latency_table(_samples(spark, sf_dir), ["model", "chunk_config"])
 
 
 def latency_grouping_sets(spark, sf_dir):
-    """The complete summary by model, by round and over all, in one pass."""
-    own = _samples(spark, sf_dir)
-    sets = own.groupingSets([["model"], ["round"], []], "model", "round")
-    return sets.agg(*latency_summary(always_p99=True))
+    """The complete summary by model, by round and over all, in the same passes."""
+    return latency_table(_samples(spark, sf_dir), ["model", "round"], always_p99=True, sets=[["model"], ["round"], []])
 
 
 def throughput(spark, sf_dir):
@@ -88,7 +87,7 @@ once AS (
 
 
 def _points(spark, sf_dir):
-    own = _samples(spark, sf_dir).groupBy(F.col("model").alias("profile"), "chunk_config").agg(*latency_summary())
+    own = latency_table(_samples(spark, sf_dir).withColumnRenamed("model", "profile"), ["profile", "chunk_config"])
     return own.select("profile", "chunk_config", "p50_ms", "p95_ms", (1000.0 / F.col("mean_ms")).alias("qps_sequential"))
 
 
@@ -117,12 +116,12 @@ def recommended_chunking(spark, sf_dir):
 
 
 def model_ratios(spark, sf_dir):
-    own = _samples(spark, sf_dir).groupBy("chunk_config", "model").agg(*latency_summary())
+    own = latency_table(_samples(spark, sf_dir), ["chunk_config", "model"])
     return _rounded(benchmarks.ratios(own.select("chunk_config", "model", "mean_ms"), ["chunk_config"], "mean_ms", "model", "m0"))
 
 
 def model_comparison(spark, sf_dir):
-    own = _samples(spark, sf_dir).groupBy("chunk_config", "model").agg(*latency_summary())
+    own = latency_table(_samples(spark, sf_dir), ["chunk_config", "model"])
     return evaluation.compared(own, "chunk_config", "model", ["m0", "m1", "m2"], "p50_ms")
 
 
