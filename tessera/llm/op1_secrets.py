@@ -3,7 +3,9 @@
 Candidates are all runs of at least LEAST_LENGTH token characters, and those of at least LEAST_NAMED that mix letters and
 digits or are assigned to a secret's name, in their own word or in the words before; runs that dots join are one. Each
 carries its length, character transitions, dictionary coverage, path features, its neighbouring words and the text beside
-it in its word. A random forest trained on labelled findings gives the probability that it is a secret; those below the
+it in its word, NEAR characters of each. The dictionary is the DICTIONARY most frequent words, the transitions the TRANSITIONS most
+frequent pairs of letters. Up to 65 runs that dots join are one candidate, and so is a run with equals signs in which no long value begins
+within REACH characters. The time that a text takes grows with its length alone. A random forest trained on labelled findings gives the probability that it is a secret; those below the
 threshold are false positives.
 
 The forest is fitted on at most about SAMPLE findings of each label (drawn by a hash); everything else covers all words
@@ -44,10 +46,12 @@ NAMES = rf"(?i)^[\"']?(?:.*[_.\-])?{NAME}[\"']?[:=]*$"
 #: One match for each candidate of a word: long values, dotted ones as a whole; shorter ones of a secret's name; other runs.
 _RUN, _VALUE = r"[A-Za-z0-9+/=_\-]", r"[A-Za-z0-9+/_\-]"
 _LONG = rf"{_VALUE}{{{LEAST_LENGTH},}}"
+#: A run with equals signs is one candidate if no value of its own begins within so many characters.
+REACH = 256
 FOUND = (
     rf"{_LONG}={{0,2}}(?:(?:\.{_VALUE}{{1,{LEAST_LENGTH - 1}}}){{0,3}}\.{_LONG}={{0,2}}){{0,64}}"
     rf"|(?<=(?i:{NAME})[\"']?(?::=|=>|[:=])[\"']?){_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
-    rf"|(?!{_RUN}*{_LONG})(?!{_RUN}*(?i:{NAME})={_VALUE}{{{LEAST_NAMED}}}){TOKEN}"
+    rf"|(?!{_RUN}{{0,{REACH}}}{_LONG})(?!{_RUN}{{0,{REACH}}}(?i:{NAME})={_VALUE}{{{LEAST_NAMED}}}){TOKEN}"
     rf"|{_VALUE}{{{LEAST_NAMED},}}={{0,2}}"
 )
 #: Keys that their issuers give a fixed form, and numbers or identifiers made of words (fixed values).
@@ -57,6 +61,8 @@ KEY_FORMAT = (
 )
 _PART = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+)"
 PLAIN = rf"^[+/=_\-]*{_PART}(?:[.+/=_\-]+{_PART})*[+/=_\-]*$"
+#: Longer candidates aren't told to be plain; the pattern's groups would need a stack as deep as they are long.
+PLAIN_LENGTH = 1024
 #: So many characters of a neighbour are kept.
 NEAR = 100
 EXAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
@@ -99,7 +105,8 @@ def labelled(found: DataFrame) -> DataFrame:
     c = F.col("candidate")
     named, _ = _named()
     secret = c.rlike(KEY_FORMAT) | named & c.rlike("[0-9]") & c.rlike("[A-Za-z]")
-    return found.withColumn("label", F.when(secret, 1.0).when(~named & c.rlike(PLAIN), 0.0))
+    plain = F.when(F.length(c) <= PLAIN_LENGTH, c.rlike(PLAIN))
+    return found.withColumn("label", F.when(secret, 1.0).when(~named & plain, 0.0))
 
 
 def _share(column: str, pattern: str) -> Column:
@@ -112,7 +119,8 @@ def featured(found: DataFrame, dictionary: list[str], transitions: list[str]) ->
     parts = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) >= 2)
     known = F.filter(parts, lambda x: x.isin(dictionary)) if dictionary else F.filter(parts, lambda x: F.lit(False))
     covered = F.aggregate(known, F.lit(0), lambda acc, x: acc + F.length(x))
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.lower(F.substr(c, i, F.lit(2))))
+    marks = F.split(F.lower(c), "")  # the same array for all pairs: none counts from the candidate's start
+    pairs = F.zip_with(F.slice(marks, F.lit(1), size - 1), F.slice(marks, F.lit(2), size - 1), lambda a, b: F.concat(a, b))
     common = F.size(F.filter(pairs, lambda x: x.isin(transitions) if transitions else F.lit(False)))
     _, assigned = _named()
     beside = F.concat_ws(" ", "before2", "before1", "left")
@@ -201,7 +209,7 @@ def redact(docs: DataFrame, model: SecretModel | None = None, path: str = "sourc
     secrets = scan(docs.select(key.alias("doc_id"), "text", *([path] if path in docs.columns else [])), model, path, threshold)
     per_doc = written(secrets.where("is_secret").groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_set("candidate").alias("secrets")), "secrets")
     # Only texts with anything like a candidate are joined; the secrets' side is broadcast where Spark finds it small.
-    may = F.coalesce(F.col("text").rlike(rf"[0-9]|(?i:{NAME})|{_LONG}"), F.lit(False))
+    may = F.coalesce(F.col("text").rlike(rf"[0-9]|(?i:{NAME})|{TOKEN}"), F.lit(False))
     rows = docs.where(may).select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).join(per_doc, "row_key", "left")
     longest_first = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
     masked = F.aggregate(longest_first, F.col("row.text"), lambda acc, s: F.replace(acc, s, F.lit(MASK)))

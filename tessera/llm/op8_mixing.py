@@ -10,8 +10,8 @@ that holds most rows is spread over as many tasks as there are ranges. Sources t
 
 Defined results: a null text has size 0; null sources form one source, ordered last; a source without words has target
 0 and takes nothing; null and repeated ids are kept, rows with equal id, source and size are interchangeable; an
-empty table gives no rows; other columns pass through ``mix`` untouched, but ``size``, ``source_size``, ``target``,
-``copies`` and ``taken`` are overwritten, ``rank`` is dropped.
+empty table gives no rows; other columns pass through ``mix`` untouched, whatever their names, but ``size``,
+``source_size``, ``target``, ``copies`` and ``taken`` are overwritten; ``mixed_rows`` keeps these, too.
 """
 
 from __future__ import annotations
@@ -82,19 +82,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` (doc_id, source, text or size) with size, source_size, target, copies and taken."""
-    sized = docs if "size" in docs.columns and "text" not in docs.columns else docs.withColumn("size", word_count())
+COMPUTED = ("size", "source_size", "target", "copies", "taken")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """row, a struct of the columns of ``docs`` (doc_id, source, text or size), with what is worked out for it: COMPUTED."""
+    size = F.col("size") if "size" in docs.columns and "text" not in docs.columns else word_count()
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"))
     spots = written(sized.select("doc_id", "source", "size"), "mix-sizes")
     targets = written(source_targets(spots, weights, most), "mix-targets").select(*_no_source(), "source_size", "target", "offset")
-    whole = (spots if set(sized.columns) == {"doc_id", "source", "size"} else sized).drop("source_size", "target", "copies", "taken", "rank")
+    if set(docs.columns) == {"doc_id", "source", "size"}:
+        sized = spots.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "size")
     order = [F.col("_none").asc(), F.col("_source").asc(), F.col("size").asc(), F.col("doc_id").asc_nulls_last()]
-    ranked = prefix_sums(whole.select("*", *_no_source()), order, {"rank": None}, ("_none", "_source"))
+    ranked = prefix_sums(sized.select("row", "doc_id", "size", *_no_source()), order, {"rank": None}, ("_none", "_source"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     mixed = ranked.join(targets, ["_none", "_source"]).withColumn("_ratio", ratio)
     crossed = F.floor((F.col("rank") + 1) * F.col("_ratio") + F.col("offset")) - F.floor(F.col("rank") * F.col("_ratio") + F.col("offset"))
     mixed = mixed.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return mixed.drop("_none", "_source", "rank", "_ratio", "offset")
+    return mixed.select("row", *COMPUTED)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """``docs`` (doc_id, source, text or size) with size, source_size, target, copies and taken."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in COMPUTED]
+    return mixed_rows(docs, weights, most).select(*kept, *COMPUTED)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import regex
@@ -138,3 +139,20 @@ def test_common_forms_are_masked(spark):
     got = {r.doc_id: r.text for r in m.redact(docs).collect()}
     assert all(got[i] == t.replace(sha(i), m.MASK) for i, t in rows)
     assert m.vocabulary_of(docs).where("x = 'there'").first().n == 140
+
+
+def test_long_runs_take_linear_time(spark):
+    """A run of base64 of 1 MB, assignments without end, and words that a pattern's groups would recurse into."""
+    rng = random.Random(9)
+    texts = ["data " + "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000)), "a=" * 500_000, "a=" * 500_000 + "b1" * 8, "aB/" * 300_000, "Ab" * 400_000, "token=" * 100_000 + "x1" * 8]
+    model = m.SecretModel([], [], None, 1.0)
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string").cache()
+    small = spark.createDataFrame([(0, "token = a1b2c3d4e5", "src")], docs.schema)
+    m.featured(m.labelled(m.findings(small)), ["ab"], ["ab"]).collect()
+    docs.count()
+    for i in range(len(texts)):
+        start = time.time()
+        rows = m.featured(m.labelled(m.findings(docs.where(F.col("doc_id") == i))), ["ab"], ["ab"]).select("candidate", "common", "coverage", "changes", "label").collect()
+        assert rows and sum(len(r.candidate) for r in rows) > 90_000
+        assert time.time() - start < 20, (i, time.time() - start)  # about 1 s alone
+    assert m.redact(docs, model).where("text LIKE '%[SECRET]%'").count() == len(texts)

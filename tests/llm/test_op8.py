@@ -61,3 +61,15 @@ def test_a_hot_source_is_ranked_by_ranges(spark):
         for i, r in enumerate(own):
             assert (r["rank"], r.words) == (i, total)
             total += r["size"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """One column of every name that the code makes, and a few in other cases."""
+    names = ["row", "_none", "_source", "rank", "_rank", "_at", "_range", "_first", "_ratio", "offset", "Offset_", "number", "weight", "level", "own_level", "full_before", "weight_before", "all_sizes", "all_weights"]
+    schema = "doc_id long, source string, text string, " + ", ".join(f"`{n}` string" for n in names) + ", Target string, copies string"
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * i, *(f"{n}{i}" for n in names), "t", "c") for i in range(9)], schema)
+    got = m.mix(docs).collect()
+    assert sorted(r.doc_id for r in got) == list(range(9)) and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert all(isinstance(r.target, float) and isinstance(r.copies, int) for r in got)
+    rows = m.mixed_rows(docs).collect()
+    assert all(r["row"]["copies"] == "c" and r["row"]["Target"] == "t" for r in rows)
