@@ -3,13 +3,15 @@
 Rejected by language ID: documents without a letter, and those whose best language holds fewer than LEAST_SCORE of
 their n-grams; nothing, where no labels let it learn an n-gram. Of near duplicates (five-word shingles, similarity 0.8)
 the smallest id stays; documents without words have no near duplicates. Documents that share a template window with a benchmark item go. Secrets are masked in place.
-The mix puts out each document once per copy, numbered in ``copy``.
+The mix puts out each document once per copy, numbered in ``copy``, which replaces a column of that name.
 
 Nulls, repeated rows and empty tables are as defined in the operators; of repeated rows one stays.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op10_language.fit(docs)
     if not model.knows():
         return docs
-    known = op10_language.predict(docs, model)
-    return known.where((F.col("lang_pred") != op10_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own = {c: f"{c}-{uuid.uuid4().hex}" for c in docs.columns if c.lower() in ("lang_pred", "score")}  # the document's own columns of these names
+    known = op10_language.predict(docs.withColumnsRenamed(own), model)
+    kept = known.where((F.col("lang_pred") != op10_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = op8_mixing.mix(docs).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    mixed = op8_mixing.mixed_rows(docs).where("copies > 0")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copy"]
+    return mixed.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
 
 STAGES = [
