@@ -5,12 +5,14 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as p
 from oracle import duck_rows
+from pyspark.sql import functions as F
 
 from tessera.llm import op9_decontamination as op9
 
 from test_op3 import brute as near_brute
 from test_op9 import brute as leak_brute
 
+CLASHING = ["offset", "_rank", "rank", "target", "size", "source_size", "row", "row_key", "key", "keep", "n", "candidate", "path", "pos", "score", "lang_pred", "component_id", "secrets", "copy"]
 SECRET = re.compile(r'token = "([0-9a-f]{40})"')
 
 
@@ -73,6 +75,11 @@ def test_stages_keep_the_columns_and_survive_edges(spark):
     for name, stage in p.STAGES:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns[:5] == docs.columns and (len(out.columns) == 5) == (name != p.STAGES[-1][0])
+    clashing = docs.select("*", *(F.lit(c).alias(c) for c in CLASHING))
+    for name, stage in p.STAGES:
+        out = stage(spark, clashing, "/root/testdata/sf0.001")
+        assert out.count() > 0 and out.columns[: len(clashing.columns) - 1] == clashing.columns[:-1]
+        assert all(r[c] == c for r in out.collect() for c in CLASHING[:-1])
     kept = p.near_duplicates(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted([*map(str, range(8)), "None", "30", "31"])
     assert op9.WINDOW == 10
