@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import segment
 from tessera.functions.text import STOP_TERMS, STOP_WORDS, TOKENS, TRIM, category, decoded_url, distinct_terms, recall_query, segments
 from tessera.functions.vectors import cosine, from_blob, from_json_text, squared_l2, to_blob, to_json_text
 from tessera.operators import catalog, chunking, evaluation, rag, retrieval, views
@@ -12,6 +13,7 @@ from tessera.operators.embedding import DIMENSION, HashedNgramProvider
 from tessera.sources.files import extension, file_name
 
 SIZE, OVERLAP, K = 500, 80, 5
+DICTIONARY_WORDS = 200_000
 STEP = SIZE - OVERLAP
 
 
@@ -200,6 +202,13 @@ def query_segments(spark, sf_dir):
     return retrieval.query_term_rows(_queries(spark, sf_dir), segments)
 
 
+def dictionary_segments(spark, sf_dir):
+    """The benchmark's texts, written without blanks and marks, cut by a dictionary of the documents' words."""
+    known = segment.dictionary(segment.frequent_words(_read(spark, sf_dir, "documents"), DICTIONARY_WORDS))
+    joined = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    return _queries(spark, sf_dir).select("query_id", segment.segmenter(known, ())(joined).alias("terms"))
+
+
 def bm25(spark, sf_dir):
     return retrieval.bm25_search(_queries(spark, sf_dir), _chunks(spark, sf_dir), K).select("query_id", "id", "score", "rank")
 
@@ -481,6 +490,7 @@ QUERIES = {
     "vector_functions": (vector_functions, _FUNCTIONS_SQL),
     "query_terms": (query_terms, f"WITH {_TERMS_CTE} SELECT * FROM terms"),
     "query_segments": (query_segments, f"WITH {_SEGMENTS_CTE} SELECT * FROM terms"),
+    "dictionary_segments": (dictionary_segments, None),
     "bm25": (bm25, f"WITH {_CHUNK_CTES}, {_SEGMENTS_CTE}, {_TF_CTES}, {_BM25_CTE} {_top('(SELECT * FROM by_terms WHERE score > 0)')}"),
     "lexical": (lexical, f"WITH {_CHUNK_CTES}, {_TERMS_CTE}, {_TF_CTES}, {_LEXICAL_CTE} {_top('by_terms')}"),
     "analyze": (analyze, _ANALYZE_SQL),
