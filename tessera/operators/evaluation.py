@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import is_relevant
+from tessera.operators.blocks import against
 from tessera.operators.retrieval import FACTOR_CELLS, TEXT_CELLS, automaton, counted
 
 METRICS = {"hit_rate": "hit", "mrr": "reciprocal_rank", "recall": "recall", "precision": "precision", "ndcg": "ndcg", "map": "average_precision"}
@@ -20,52 +21,41 @@ METRICS = {"hit_rate": "hit", "mrr": "reciprocal_rank", "recall": "recall", "pre
 def total_relevant(rules: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, total_relevant: how many of ``corpus`` (id, text) each rule (query_id, must_contain, any_of) accepts.
 
-    Rules go to the tasks in blocks of bounded size. An automaton finds the terms of a block in one pass over a text, the
+    Rules of bounded size go to the tasks, more of them in blocks. An automaton finds the terms of a block in one pass over a text, the
     rules are counted inside the task, and a task returns a sum a rule. A rule with a null term or list, or a null text,
     accepts nothing.
     """
     query_kind = to_arrow_type(rules.schema["query_id"].dataType)
     schema = f"query_id {rules.schema['query_id'].dataType.simpleString()}, n long"
 
-    def count(block: list[tuple]) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places: dict[str, int] = {}
-            for _, must, other in shared.value:
-                for t in must + other:
-                    if t:
-                        places.setdefault(t, len(places))
-            free = np.array([not other or "" in other for _, _, other in shared.value])
-            need, one = (np.zeros((len(places), len(free)), np.float32) for _ in range(2))
-            for r, (_, must, other) in enumerate(shared.value):
-                need[[places[t] for t in must if t], r] = 1
-                one[[places[t] for t in other if t], r] = 1
-            finder, total = automaton(list(places)) if places else None, np.zeros(len(free), np.int64)
-            step = max(1, TEXT_CELLS // max(len(places), len(free)))
-            for whole in batches:
-                texts = whole.column(0).drop_null().to_pylist()
-                for start in range(0, len(texts), step):
-                    part = texts[start : start + step]
-                    found = np.zeros((len(part), len(places)), np.float32)
-                    if finder is not None:
-                        rows, spots, _ = counted(finder, part)
-                        found[rows, spots] = 1
-                    total += ((found @ need == need.sum(0)) & (free | (found @ one > 0))).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in shared.value], query_kind), pa.array(total)], ["query_id", "n"])
-
-        return corpus.select("text").mapInArrow(run, schema)
-
-    counts, block, terms = corpus.sparkSession.createDataFrame([], schema), [], 0
+    def count(block: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, int] = {}
+        for _, must, other in block:
+            for t in [*must, *other]:
+                if t:
+                    places.setdefault(t, len(places))
+        free = np.array([not other or "" in other for _, _, other in block])
+        need, one = (np.zeros((len(places), len(free)), np.float32) for _ in range(2))
+        for r, (_, must, other) in enumerate(block):
+            need[[places[t] for t in must if t], r] = 1
+            one[[places[t] for t in other if t], r] = 1
+        finder, total = automaton(list(places)) if places else None, np.zeros(len(free), np.int64)
+        step = max(1, TEXT_CELLS // max(len(places), len(free)))
+        for whole in batches:
+            texts = whole.column(0).drop_null().to_pylist()
+            for start in range(0, len(texts), step):
+                part = texts[start : start + step]
+                found = np.zeros((len(part), len(places)), np.float32)
+                if finder is not None:
+                    rows, spots, _ = counted(finder, part)
+                    found[rows, spots] = 1
+                total += ((found @ need == need.sum(0)) & (free | (found @ one > 0))).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in block], query_kind), pa.array(total)], ["query_id", "n"])
+
     whole = F.col("must_contain").isNotNull() & F.col("any_of").isNotNull()
-    for r in rules.where(whole & ~F.exists(F.concat("must_contain", "any_of"), F.isnull)).select("query_id", "must_contain", "any_of").toLocalIterator():
-        terms += len(r.must_contain) + len(r.any_of)
-        if block and (len(block) + 1) * terms > FACTOR_CELLS:
-            counts = counts.unionByName(count(block))
-            block, terms = [], len(r.must_contain) + len(r.any_of)
-        block.append((r.query_id, list(r.must_contain), list(r.any_of)))
-    if block:
-        counts = counts.unionByName(count(block))
+    own = rules.where(whole & ~F.exists(F.concat("must_contain", "any_of"), F.isnull)).select("query_id", "must_contain", "any_of")
+    fits = lambda n, terms: n * terms <= FACTOR_CELLS or n == 1
+    counts = against(corpus.select("text"), own, count, schema, fits, lambda r: len(r[1]) + len(r[2]))
     sums = counts.groupBy("query_id").agg(F.sum("n").alias("n"))
     return rules.select("query_id").distinct().join(sums, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("total_relevant"))
 

@@ -1,9 +1,9 @@
 """Retrieval: exact vector search, BM25 and raw lexical ranking, and their rank fusion, for any number of queries.
 
-Queries and corpus are DataFrames. Vector search compares blocks: a block of queries of bounded size goes to every task
-of the corpus scan, each task keeps its own best k per query, and one window over these few rows gives the ranks. More
-queries than a block holds are searched block by block. Lexical search works alike: an automaton finds all terms of a
-block in one pass over each text, and a matrix product scores the texts inside the task. BM25 reads the corpus twice,
+Queries and corpus are DataFrames. Vector search compares blocks: queries of bounded size go to every task of the corpus
+scan, more of them meet it in a join of blocks (``operators.blocks``). Each task keeps its own best k per query, and one
+window over these few rows gives the ranks. Lexical search works alike: an automaton finds all terms of a block in one
+pass over each text, and a matrix product scores the texts inside the task. BM25 reads the corpus twice,
 for its counts (document frequencies, number and length of the texts), summed up in the tasks, and for the scores.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import distinct_terms, segments
+from tessera.operators.blocks import against
 from tessera.sources.tables import written
 
 QUERY_BLOCK_BYTES = 32 << 20
@@ -40,20 +41,6 @@ def _ranked(scored: DataFrame, k: int, ascending: bool = False, by: str = "query
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, profile: str | None) -> Iterator[list[tuple]]:
-    """Queries (id, vector, profile or null) in blocks of bounded size. They pass the driver a block at a time."""
-    block, size = [], 0
-    own = queries.select("query_id", "vector", (F.lit(None) if profile is None else F.col(profile)).alias("profile"))
-    for r in own.toLocalIterator():
-        block.append((r.query_id, np.asarray(r.vector, np.float64), r.profile))
-        size += block[-1][1].nbytes
-        if size >= QUERY_BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", mismatch: str = "error", profile: str | None = None) -> DataFrame:
     """query_id, id, score, rank: the exact k best of ``corpus`` (id, vector) for each query (query_id, vector).
 
@@ -69,51 +56,48 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "
     id_kind, query_kind = to_arrow_type(corpus.schema["id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
     columns = ["id", "vector"] + ([] if profile is None else [profile])
 
-    def search(block: list[tuple]) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            members: dict[tuple, list[int]] = {}
-            for i, (_, vector, own) in enumerate(shared.value):
-                members.setdefault((own, len(vector)), []).append(i)
-            factors = {g: np.array([shared.value[i][1] for i in at]).reshape(len(at), g[1]) for g, at in members.items()}
-            if not all(np.isfinite(q).all() for q in factors.values()):
-                raise ValueError("a vector has a value that isn't finite")
-            best = {g: (np.zeros((len(at), 0)), np.zeros((len(at), 0), object)) for g, at in members.items()}
-            by_profile: dict[object, list[tuple]] = {}
-            for g in members:
-                by_profile.setdefault(g[0], []).append(g)
-            step = max(1, SCORE_CELLS // max(map(len, members.values())))
-            for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    names = [None] * batch.num_rows if profile is None else batch.column(2).to_pylist()
-                    rows: dict[object, list[int]] = {}
-                    for i, name in enumerate(names):
-                        if name in by_profile:
-                            rows.setdefault(name, []).append(i)
-                    for name, at in rows.items():
-                        part = batch.take(pa.array(at))
-                        column, keys = part.column(1), part.column(0).to_pylist()
-                        sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-                        for g in by_profile[name]:
-                            same = sizes == g[1]
-                            if mismatch == "error" and not same.all():
-                                raise ValueError("query and stored vectors differ in dimension")
-                            v = column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, g[1])
-                            if not np.isfinite(v).all():
-                                raise ValueError("a vector has a value that isn't finite")
-                            scores = np.zeros((len(factors[g]), len(keys)))
-                            scores[:, same] = _scores(factors[g], v, metric)
-                            best[g] = _merged(best[g], scores, keys, k, metric == "l2")
-            for g, (scores, ids) in best.items():
-                if scores.size:
-                    own = [shared.value[i][0] for i in members[g] for _ in range(scores.shape[1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(own, query_kind), pa.array(ids.ravel().tolist(), id_kind), pa.array(scores.ravel())], ["query_id", "id", "score"])
-
-        return corpus.select(*columns).mapInArrow(run, schema)
-
-    return _ranked(_united([search(block) for block in _query_blocks(queries, profile)], corpus, schema), k, metric == "l2")
+    def search(block: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: dict[tuple, list[int]] = {}
+        for i, (_, vector, own) in enumerate(block):
+            members.setdefault((own, len(vector)), []).append(i)
+        factors = {g: np.array([block[i][1] for i in at], np.float64).reshape(len(at), g[1]) for g, at in members.items()}
+        if not all(np.isfinite(q).all() for q in factors.values()):
+            raise ValueError("a vector has a value that isn't finite")
+        best = {g: (np.zeros((len(at), 0)), np.zeros((len(at), 0), object)) for g, at in members.items()}
+        by_profile: dict[object, list[tuple]] = {}
+        for g in members:
+            by_profile.setdefault(g[0], []).append(g)
+        step = max(1, SCORE_CELLS // max(map(len, members.values())))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                names = [None] * batch.num_rows if profile is None else batch.column(2).to_pylist()
+                rows: dict[object, list[int]] = {}
+                for i, name in enumerate(names):
+                    if name in by_profile:
+                        rows.setdefault(name, []).append(i)
+                for name, at in rows.items():
+                    part = batch.take(pa.array(at))
+                    column, keys = part.column(1), part.column(0).to_pylist()
+                    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+                    for g in by_profile[name]:
+                        same = sizes == g[1]
+                        if mismatch == "error" and not same.all():
+                            raise ValueError("query and stored vectors differ in dimension")
+                        v = column.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, g[1])
+                        if not np.isfinite(v).all():
+                            raise ValueError("a vector has a value that isn't finite")
+                        scores = np.zeros((len(factors[g]), len(keys)))
+                        scores[:, same] = _scores(factors[g], v, metric)
+                        best[g] = _merged(best[g], scores, keys, k, metric == "l2")
+        for g, (scores, ids) in best.items():
+            if scores.size:
+                own = [block[i][0] for i in members[g] for _ in range(scores.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(own, query_kind), pa.array(ids.ravel().tolist(), id_kind), pa.array(scores.ravel())], ["query_id", "id", "score"])
+
+    own = queries.select("query_id", "vector", (F.lit(None).cast("string") if profile is None else F.col(profile)).alias("profile"))
+    fits = lambda n, size: size <= QUERY_BLOCK_BYTES
+    return _ranked(against(corpus.select(*columns), own, search, schema, fits, lambda q: 8 * len(q[1])), k, metric == "l2")
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -187,42 +171,22 @@ def counted(finder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
     return np.array(rows, np.int64), np.array(spots, np.int64), np.array(counts, np.int64)
 
 
-def _term_blocks(terms: DataFrame) -> Iterator[list[str]]:
-    """Distinct terms in blocks of bounded size."""
-    block, size = [], 0
-    for r in terms.where("term <> ''").select("term").distinct().toLocalIterator():
-        block.append(r.term)
-        size += len(r.term)
-        if size >= TERM_BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _united(parts: list[DataFrame], corpus: DataFrame, schema: str) -> DataFrame:
-    out = corpus.sparkSession.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+def _few_terms(n: int, chars: int) -> bool:
+    return chars <= TERM_BLOCK_CHARS
 
 
 def term_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, id, tf: non-overlapping occurrences of each distinct ``term`` in ``corpus`` (id, text), where there are any."""
     schema = f"term string, id {corpus.schema['id'].dataType.simpleString()}, tf long"
 
-    def search(words: list[str]) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast(words)
+    def search(words: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, names = automaton([w for (w,) in words]), pa.array([w for (w,) in words])
+        for batch in batches:
+            rows, spots, counts = counted(finder, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(spots)), batch.column("id").take(pa.array(rows)), pa.array(counts)], ["term", "id", "tf"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder, names = automaton(shared.value), pa.array(shared.value)
-            for batch in batches:
-                rows, spots, counts = counted(finder, batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(spots)), batch.column("id").take(pa.array(rows)), pa.array(counts)], ["term", "id", "tf"])
-
-        return corpus.select("id", "text").mapInArrow(run, schema)
-
-    return _united([search(words) for words in _term_blocks(terms)], corpus, schema)
+    wanted = terms.where("term <> ''").select("term").distinct()
+    return against(corpus.select("id", "text"), wanted, search, schema, _few_terms, lambda t: len(t[0]))
 
 
 def corpus_counts(terms: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -233,31 +197,26 @@ def corpus_counts(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     schema = "term string, df long, texts long, chars long"
 
-    def search(words: list[str], totals: bool) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast(words)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder, total = automaton(shared.value) if shared.value else None, np.zeros(len(shared.value), np.int64)
-            n = texts = chars = 0
-            for batch in batches:
-                column = batch.column("text")
-                n, texts = n + len(column), texts + len(column) - column.null_count
-                if totals:
-                    chars += pc.sum(pc.utf8_length(column)).as_py() or 0
-                if finder is not None:
-                    _, spots, _ = counted(finder, column.to_pylist())
-                    total += np.bincount(spots, minlength=len(total))
-            some = np.flatnonzero(total)
-            zero = np.zeros(len(some), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()).take(pa.array(some)), pa.array(total[some]), pa.array(zero), pa.array(zero)], ["term", "df", "texts", "chars"])
+    def search(words: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [w for (w,) in words if w is not None]
+        finder, total, totals = automaton(own) if own else None, np.zeros(len(own), np.int64), len(own) < len(words)
+        n = texts = chars = 0
+        for batch in batches:
+            column = batch.column("text")
             if totals:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *(pa.array([x], pa.int64()) for x in (n, texts, chars))], ["term", "df", "texts", "chars"])
-
-        return corpus.select("text").mapInArrow(run, schema)
-
-    blocks = iter(_term_blocks(terms))
-    first = next(blocks, [])
-    every = _united([search(first, True), *(search(words, False) for words in blocks)], corpus, schema)
+                n, texts, chars = n + len(column), texts + len(column) - column.null_count, chars + (pc.sum(pc.utf8_length(column)).as_py() or 0)
+            if finder is not None:
+                _, spots, _ = counted(finder, column.to_pylist())
+                total += np.bincount(spots, minlength=len(total))
+        some = np.flatnonzero(total)
+        zero = np.zeros(len(some), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()).take(pa.array(some)), pa.array(total[some]), pa.array(zero), pa.array(zero)], ["term", "df", "texts", "chars"])
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *(pa.array([x], pa.int64()) for x in (n, texts, chars))], ["term", "df", "texts", "chars"])
+
+    # The null among the terms asks for the totals, wherever it comes to stand.
+    wanted = terms.where("term <> ''").select("term").distinct().unionByName(terms.sparkSession.createDataFrame([(None,)], "term string"))
+    every = against(corpus.select("text"), wanted, search, schema, _few_terms, lambda t: len(t[0] or ""))
     return written(every.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "texts", "chars"))), "corpus-counts")
 
 
@@ -265,50 +224,40 @@ def _by_terms(wanted: DataFrame, corpus: DataFrame, k: int, mean: float | None =
     """query_id, id, score: each task's k best texts for each query (query_id, term, weight, idf) among those that hold a
     term: the sum of weight * idf * BM25's share of the occurrences with a ``mean`` length, or without of weight * occurrences.
 
-    Queries go to the tasks in blocks of bounded size, as a matrix of queries and terms; its product with the counts of a
-    few texts gives their scores, so neither counts nor scores of single texts leave the task.
+    Queries are a matrix of queries and terms of bounded size; its product with the counts of a few texts gives their
+    scores, so neither counts nor scores of single texts leave the task.
     """
     id_kind, query_kind = (to_arrow_type(df.schema[c].dataType) for df, c in ((corpus, "id"), (wanted, "query_id")))
     schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
 
-    def search(ids: list, words: dict[str, int], cells: list[tuple[int, int, float]]) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, list(words), cells))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, words, cells = shared.value
-            finder, factors = automaton(words), np.zeros((len(words), len(ids)))
-            for q, t, x in cells:
-                factors[t, q] = x
-            best = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
-            step = max(1, TEXT_CELLS // max(len(words), len(ids)))
-            for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    texts, keys = batch.column("text").to_pylist(), batch.column("id").to_pylist()
-                    rows, spots, counts = counted(finder, texts)
-                    values = counts.astype(np.float64)
-                    if mean is not None:
-                        size = np.array([len(t or "") for t in texts])[rows]
-                        values = values * (K1 + 1) / (values + K1 * (1 - B + B * size / mean))
-                    found = np.zeros((len(texts), len(words)))
-                    found[rows, spots] = values
-                    best = _merged(best, (found @ factors).T, keys, k)
-            best_score, best_id = best
-            q, j = np.nonzero(best_score > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_kind), pa.array(best_id[q, j].tolist(), id_kind), pa.array(best_score[q, j])], ["query_id", "id", "score"])
-
-        return corpus.select("id", "text").mapInArrow(run, schema)
-
-    parts, ids, words, cells = [], [], {}, []
-    for r in wanted.where("term <> ''").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("x"))).alias("terms")).toLocalIterator():
-        if ids and len(ids) * (len(words) + len(r.terms)) > FACTOR_CELLS:
-            parts.append(search(ids, words, cells))
-            ids, words, cells = [], {}, []
-        cells += [(len(ids), words.setdefault(t.term, len(words)), t.x) for t in r.terms]
-        ids.append(r.query_id)
-    if ids:
-        parts.append(search(ids, words, cells))
-    return _united(parts, corpus, schema)
+    def search(queries: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
+        cells = [(words.setdefault(t, len(words)), q, x) for q, (_, terms, values) in enumerate(queries) for t, x in zip(terms, values, strict=True)]
+        finder, factors = automaton(list(words)), np.zeros((len(words), len(queries)))
+        for t, q, x in cells:
+            factors[t, q] = x
+        best = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), object)
+        step = max(1, TEXT_CELLS // max(len(words), len(queries)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                texts, keys = batch.column("text").to_pylist(), batch.column("id").to_pylist()
+                rows, spots, counts = counted(finder, texts)
+                values = counts.astype(np.float64)
+                if mean is not None:
+                    size = np.array([len(t or "") for t in texts])[rows]
+                    values = values * (K1 + 1) / (values + K1 * (1 - B + B * size / mean))
+                found = np.zeros((len(texts), len(words)))
+                found[rows, spots] = values
+                best = _merged(best, (found @ factors).T, keys, k)
+        best_score, best_id = best
+        q, j = np.nonzero(best_score > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([queries[i][0] for i in q], query_kind), pa.array(best_id[q, j].tolist(), id_kind), pa.array(best_score[q, j])], ["query_id", "id", "score"])
+
+    each = F.sort_array(F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("x"))))  # a query's own terms
+    rows = wanted.where("term <> ''").groupBy("query_id").agg(each.alias("t")).select("query_id", "t.term", "t.x")
+    fits = lambda n, terms: n * terms <= FACTOR_CELLS or n == 1
+    return against(corpus.select("id", "text"), rows, search, schema, fits, lambda q: len(q[1]))
 
 
 def idf(n: Column, df: Column) -> Column:
