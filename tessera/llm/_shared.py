@@ -101,10 +101,19 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
 
 
 def _apart(docs: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (row, row_key, key) in two parts: rows whose ``key``, a struct, can't be in ``listed`` (row_key), the rest."""
+    """``docs`` as (row, row_key) in two parts: rows whose ``key``, a struct, can't be in ``listed`` (row_key), the rest.
+
+    Only the key's hash goes to Python; the rows stay in the JVM.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(listed.select(F.xxhash64("row_key").alias("key")), "key"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key")).withColumn("key", F.xxhash64("row_key"))
-    return only(keyed, sketch, False), only(keyed, sketch, True)
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(in_sketch(sketch.value, keys.to_numpy(zero_copy_only=False)))
+
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key"))
+    inside = may(F.xxhash64("row_key"))
+    return keyed.where(~inside), keyed.where(inside)
 
 
 def drop_rows(docs: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
