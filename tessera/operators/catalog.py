@@ -1,15 +1,21 @@
-"""A versioned catalog of knowledge bases, documents, chunks, embedding profiles, vectors and index states.
+"""A catalog of knowledge bases, documents, chunks, embedding profiles, vectors and index states.
 
-Tables are Parquet. A change writes new versions of the tables that it touches and then moves one pointer, a manifest
-of table versions, so readers see all of a change or nothing. Merges are joins: kept rows by anti-join, changed ones by
-union; cascades are chains of semi- and anti-joins. The manifest is written and read through Spark, so any file system
-that Spark knows will do; one writer at a time is assumed.
+Tables are Parquet. Documents, chunks and vectors are partitioned by a bucket of the document's id, vectors by their
+profile too, so a change reads and replaces the buckets of the documents that it touches and nothing else: Spark's dynamic
+partition overwrite. Merges are joins: kept rows by anti-join, changed ones by union; cascades are semi- and anti-joins
+inside the touched buckets. All new rows of a change are written to the shared folder before the first table is replaced,
+so a change that fails while it is worked out changes nothing; one writer at a time is assumed, and readers may see a
+change's tables one after the other: states first, then documents, chunks and vectors.
+
+A partition that becomes empty keeps one row without an id, which readers don't see. The number of buckets is fixed for
+the life of a catalog: choose it so that a bucket is a few files.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +26,9 @@ from tessera.functions.vectors import is_finite
 from tessera.operators.chunking import check_chunking, chunk_fixed
 from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, checked_batch
 from tessera.operators.retrieval import every_profile_search, vector_search
+from tessera.sources.tables import written
 
-VERSION = 1
+BUCKETS = 64
 SCHEMAS = {
     "knowledge_base": "id string, name string, root_path string, chunk_size int, chunk_overlap int, created_at timestamp, updated_at timestamp",
     "document": "id string, knowledge_base_id string, file_path string, file_name string, file_hash string, file_type string, status string, created_at timestamp, updated_at timestamp",
@@ -33,6 +40,9 @@ SCHEMAS = {
     "vector_record": "chunk_id string, embedding_profile_id string, dimension int, vector array<float>, created_at timestamp",
     "index_state": "knowledge_base_id string, embedding_profile_id string, status string, detail string, updated_at timestamp",
 }
+#: The partitions of the large tables, and the column that tells their rows from the one that holds a partition open.
+PARTITIONS = {"document": ["bucket"], "chunk": ["bucket"], "vector_record": ["embedding_profile_id", "bucket"]}
+KEYS = {"document": "id", "chunk": "id", "vector_record": "chunk_id"}
 WAITING, STALE, INDEXED, MOCK_INDEXED, EMPTY = "WAITING_EMBEDDING", "STALE", "INDEXED", "MOCK_INDEXED", "EMPTY"
 
 
@@ -111,38 +121,52 @@ def profile_search(queries: DataFrame, profile, vectors: DataFrame, k: int) -> D
 class Catalog:
     """Tables under ``path`` with upserts, deletes with cascade, scans and index states."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    # ---- versions
+    # ---- tables
 
-    def _versions(self) -> dict[str, str]:
+    def _stored(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        """The rows of a table, of the ``touched`` buckets only if given, with their bucket."""
+        more = ", bucket int" if name in PARTITIONS else ""
         try:
-            rows = self.spark.read.schema("number long, name string, version string").json(f"{self.path}/manifest")
-            last = rows.agg(F.max("number")).first()[0]
+            rows = self.spark.read.schema(SCHEMAS[name] + more).parquet(f"{self.path}/{name}")
         except AnalysisException:
-            return {}
-        return {r.name: r.version for r in rows.where(F.col("number") == last).collect()} | {"_number": last} if last is not None else {}
+            rows = self.spark.createDataFrame([], SCHEMAS[name] + more)
+        return rows if touched is None else rows.where(F.col("bucket").isin(touched))
 
     def table(self, name: str) -> DataFrame:
-        version = self._versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{version}")
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Writes new versions of tables and makes them current together."""
-        versions = self._versions()
-        number = versions.pop("_number", 0) + 1
+        rows = self._stored(name)
+        return rows.where(F.col(KEYS[name]).isNotNull()).drop("bucket") if name in PARTITIONS else rows
+
+    def _bucket(self, document_id: str) -> Column:
+        return F.pmod(F.xxhash64(document_id), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, ids: DataFrame) -> list[int]:
+        """The buckets of documents (id), no more than there are buckets."""
+        return sorted(r.b for r in ids.select(self._bucket("id").alias("b")).distinct().collect())
+
+    def _rows(self, name: str, touched: list[int]) -> DataFrame:
+        return self._stored(name, touched).where(F.col(KEYS[name]).isNotNull())
+
+    def _replace(self, old: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """Replaces small tables whole, and of the others the partitions that ``old`` (what they hold so far) and the new rows have."""
+        staged = {}
         for name, df in tables.items():
-            version = uuid.uuid4().hex
-            want = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            own = df.select(*(F.col(f.name).cast(f.dataType) for f in want))
-            writer = own.write.partitionBy("embedding_profile_id") if name == "vector_record" else own.write
-            writer.parquet(f"{self.path}/{name}/{version}")
-            versions[name] = version
-        rows = [(number, k, v) for k, v in versions.items()]
-        self.spark.createDataFrame(rows, "number long, name string, version string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+            parts = PARTITIONS.get(name, [])
+            kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
+            own = df.select(*(F.col(f.name).cast(f.dataType) for f in kinds), *(["bucket"] if parts else []))
+            if parts:
+                # A row without an id in each partition keeps one from staying as it was when nothing is left of it.
+                open_ones = [x.select(*parts) for x in ((old or {}).get(name), own) if x is not None]
+                held = reduce(DataFrame.unionByName, open_ones).distinct()
+                own = own.unionByName(held, allowMissingColumns=True).repartition(*parts)
+            staged[name] = written(own, f"catalog-{name}")
+        order = ["knowledge_base", "embedding_profile", "index_state", "document", "chunk", "vector_record"]
+        for name in sorted(staged, key=order.index):
+            writer = staged[name].repartition(*PARTITIONS[name]) if name in PARTITIONS else staged[name].coalesce(1)
+            writer = writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if name in PARTITIONS else "static")
+            (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.path}/{name}")
 
     # ---- knowledge bases
 
@@ -157,7 +181,7 @@ class Catalog:
         kb_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"kb:{root}"))
         row = self.spark.createDataFrame([(kb_id, name.strip(), root, chunk_size, chunk_overlap)], "id string, name string, root_path string, chunk_size int, chunk_overlap int")
         now = F.current_timestamp()
-        self.commit(knowledge_base=own.unionByName(row.withColumns({"created_at": now, "updated_at": now})))
+        self._replace(knowledge_base=own.unionByName(row.withColumns({"created_at": now, "updated_at": now})))
         return kb_id
 
     def knowledge_bases(self) -> DataFrame:
@@ -182,13 +206,15 @@ class Catalog:
     # ---- documents and chunks
 
     def _drop_documents(self, ids: DataFrame, **others: DataFrame) -> None:
+        touched = self._touched(ids)
         gone = ids.select(F.col("id").alias("document_id"))
-        chunks = self.table("chunk")
+        documents, chunks, vectors = (self._rows(t, touched) for t in ("document", "chunk", "vector_record"))
         lost = chunks.join(gone, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-        self.commit(
-            document=self.table("document").join(ids, "id", "left_anti"),
+        self._replace(
+            {"document": documents, "chunk": chunks, "vector_record": vectors},
+            document=documents.join(ids, "id", "left_anti"),
             chunk=chunks.join(gone, "document_id", "left_anti"),
-            vector_record=self.table("vector_record").join(lost, "chunk_id", "left_anti"),
+            vector_record=vectors.join(lost, "chunk_id", "left_anti"),
             **others,
         )
 
@@ -208,7 +234,7 @@ class Catalog:
         kb = self.knowledge_base(kb_id)
         stored = self.table("document").where(F.col("knowledge_base_id") == kb_id)
         bad = errors if errors is not None else self.spark.createDataFrame([], "file_path string, error string")
-        changes = classify(stored.join(bad.select("file_path"), "file_path", "left_anti"), files, ["file_path"], force=force).cache()
+        changes = written(classify(stored.join(bad.select("file_path"), "file_path", "left_anti"), files, ["file_path"], force=force), "changes")
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         dirty = files.join(changes.where("change IN ('added', 'updated')"), "file_path", "left_semi")
         now = F.current_timestamp()
@@ -225,21 +251,22 @@ class Catalog:
         n_dirty = counts.get("added", 0) + counts.get("updated", 0)
         if n_dirty or (remove and counts.get("removed", 0)):
             replaced = fresh.select(F.col("id").alias("document_id")).unionByName(removed.select(F.col("id").alias("document_id")))
-            old = self.table("chunk")
-            lost = old.join(replaced, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-            documents = upsert(self.table("document").join(removed, "id", "left_anti"), fresh.drop("text"), ["knowledge_base_id", "file_path"], ["id", "created_at"])
+            touched = self._touched(replaced.withColumnRenamed("document_id", "id"))
+            old, held, vectors = (self._rows(t, touched) for t in ("document", "chunk", "vector_record"))
+            lost = held.join(replaced, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+            documents = upsert(old.join(removed, "id", "left_anti"), fresh.drop("text").withColumn("bucket", self._bucket("id")), ["knowledge_base_id", "file_path"], ["id", "created_at"])
             state = self.table("index_state")
             mine = (F.col("knowledge_base_id") == kb_id) & F.lit(n_dirty > 0)
             stale = state.withColumns({"status": F.when(mine, STALE).otherwise(F.col("status")), "detail": F.when(mine, "document content changed").otherwise(F.col("detail")), "updated_at": F.when(mine, now).otherwise(F.col("updated_at"))})
-            self.commit(
+            self._replace(
+                {"document": old, "chunk": held, "vector_record": vectors},
                 document=documents,
-                chunk=old.join(replaced, "document_id", "left_anti").unionByName(chunks),
-                vector_record=self.table("vector_record").join(lost, "chunk_id", "left_anti"),
+                chunk=held.join(replaced, "document_id", "left_anti").unionByName(chunks.withColumn("bucket", self._bucket("document_id"))),
+                vector_record=vectors.join(lost, "chunk_id", "left_anti"),
                 index_state=stale,
             )
         new_ids = fresh.select(F.col("id").alias("document_id"))
         made = self.table("chunk").join(new_ids, "document_id", "left_semi").count() if n_dirty else 0
-        changes.unpersist()
         return {c: counts.get(c, 0) for c in ("added", "updated", "unchanged", "removed")} | {
             "chunks_created": made,
             "errors": [r.error for r in bad.orderBy("file_path").select("error").collect()],
@@ -257,10 +284,13 @@ class Catalog:
 
     def delete_chunk(self, chunk_id: str) -> None:
         """Deletes one chunk with its vectors; the others of its document keep their numbers."""
-        chunks, mine = self.table("chunk"), F.col("id") == chunk_id
-        if chunks.where(mine).isEmpty():
+        row = self.table("chunk").where(F.col("id") == chunk_id).first()
+        if row is None:
             raise KeyError(f"no chunk {chunk_id}")
-        self.commit(chunk=chunks.where(~mine), vector_record=self.table("vector_record").where(F.col("chunk_id") != chunk_id))
+        touched = self._touched(self.spark.createDataFrame([(row.document_id,)], "id string"))
+        chunks, vectors = (self._rows(t, touched) for t in ("chunk", "vector_record"))
+        vectors = vectors.where(F.col("embedding_profile_id").isin([r[0] for r in vectors.where(F.col("chunk_id") == chunk_id).select("embedding_profile_id").collect()]))  # one chunk's
+        self._replace({"chunk": chunks, "vector_record": vectors}, chunk=chunks.where(F.col("id") != chunk_id), vector_record=vectors.where(F.col("chunk_id") != chunk_id))
 
     def reset(self) -> None:
         """Deletes all documents with their chunks and vectors; knowledge bases and profiles stay, their states are EMPTY."""
@@ -269,8 +299,11 @@ class Catalog:
 
     # ---- vectors and index states
 
-    def ingest(self, kb_id: str, info: ModelInfo, vectors: DataFrame, mock: bool = False) -> dict:
-        """Stores ``vectors`` (chunk_id, vector) of one embedding space, all or none, and activates that space."""
+    def ingest(self, kb_id: str, info: ModelInfo, vectors: DataFrame, mock: bool = False, every_document: bool = False) -> dict:
+        """Stores ``vectors`` (chunk_id, vector) of one embedding space, all or none, and activates that space.
+
+        Documents all of whose chunks have a vector get the new status, or ``every_document`` of the knowledge base.
+        """
         self.knowledge_base(kb_id)
         documents = self.table("document").where(F.col("knowledge_base_id") == kb_id)
         chunks = self.table("chunk").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
@@ -284,19 +317,27 @@ class Catalog:
         stored = profiles.where((F.col("id") == profile_id) & (F.col("dimension") != info.dimension))
         if not stored.isEmpty():
             raise ValueError("the stored profile has another dimension")
-        records = vectors.select("chunk_id", F.lit(profile_id).alias("embedding_profile_id"), F.lit(info.dimension).alias("dimension"), "vector", now.alias("created_at"))
-        every = upsert(self.table("vector_record"), records.dropDuplicates(["chunk_id"]), ["chunk_id", "embedding_profile_id"])
+        touched = self._touched(documents.select("id"))
+        owners = chunks.select(F.col("id").alias("chunk_id"), self._bucket("document_id").alias("bucket"))
+        records = vectors.dropDuplicates(["chunk_id"]).join(owners, "chunk_id").select("chunk_id", F.lit(profile_id).alias("embedding_profile_id"), F.lit(info.dimension).alias("dimension"), "vector", now.alias("created_at"), "bucket")
+        held = self._rows("vector_record", touched).where(F.col("embedding_profile_id") == profile_id)
+        every = upsert(held, records, ["chunk_id", "embedding_profile_id"])
         status = MOCK_INDEXED if mock else INDEXED
         state = self.table("index_state")
         other = (F.col("knowledge_base_id") == kb_id) & (F.col("embedding_profile_id") != profile_id)
         staled = state.withColumns({"status": F.when(other, STALE).otherwise(F.col("status")), "detail": F.when(other, "another embedding space was activated").otherwise(F.col("detail")), "updated_at": F.when(other, now).otherwise(F.col("updated_at"))})
         active = self.spark.range(1).select(F.lit(kb_id).alias("knowledge_base_id"), F.lit(profile_id).alias("embedding_profile_id"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("detail"), now.alias("updated_at"))
-        own = every.where(F.col("embedding_profile_id") == profile_id).select("chunk_id")
-        done = fully_covered(documents.select(F.col("id").alias("document_id")), chunks.select("document_id", F.col("id").alias("chunk_id")), own, "document_id", "chunk_id")
-        all_documents = self.table("document").join(done.select(F.col("document_id").alias("id"), F.lit(True).alias("_done")), "id", "left")
-        documents = all_documents.withColumns({"status": F.when(F.col("_done"), status).otherwise(F.col("status")), "updated_at": F.when(F.col("_done"), now).otherwise(F.col("updated_at"))}).drop("_done")
+        done = fully_covered(documents.select(F.col("id").alias("document_id")), chunks.select("document_id", F.col("id").alias("chunk_id")), every.select("chunk_id"), "document_id", "chunk_id")
+        if every_document:
+            done = documents.select(F.col("id").alias("document_id"))
+        old = self._rows("document", touched)
+        marked = old.join(done.select(F.col("document_id").alias("id"), F.lit(True).alias("_done")), "id", "left")
+        documents = marked.withColumns({"status": F.when(F.col("_done"), status).otherwise(F.col("status")), "updated_at": F.when(F.col("_done"), now).otherwise(F.col("updated_at"))}).drop("_done")
         inserted = vectors.count()
-        self.commit(embedding_profile=profiles, vector_record=every, index_state=upsert(staled, active, ["knowledge_base_id", "embedding_profile_id"]), document=documents)
+        self._replace(
+            {"document": old, "vector_record": held},
+            embedding_profile=profiles, vector_record=every, index_state=upsert(staled, active, ["knowledge_base_id", "embedding_profile_id"]), document=documents,
+        )
         return {"profile_id": profile_id, "inserted": inserted, "status": status}
 
     def index(self, kb_id: str, provider: EmbeddingProvider, mock: bool = False) -> dict:
@@ -304,26 +345,25 @@ class Catalog:
         documents = self.table("document").where(F.col("knowledge_base_id") == kb_id)
         chunks = self.table("chunk").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
         vectors = provider.transform(chunks.select(F.col("id").alias("chunk_id"), "text")).select("chunk_id", "vector")
-        result = self.ingest(kb_id, provider.info, vectors, mock)
-        if mock:
-            mine = F.col("knowledge_base_id") == kb_id
-            self.commit(document=self.table("document").withColumn("status", F.when(mine, MOCK_INDEXED).otherwise(F.col("status"))))
-        return result
+        return self.ingest(kb_id, provider.info, vectors, mock, every_document=mock)
 
     def delete_vectors(self, document_id: str | None = None, chunk_id: str | None = None, profile_id: str | None = None) -> int:
         """Deletes the vectors of a document, a chunk or a profile, or all; returns how many."""
-        records = self.table("vector_record")
+        records, gone = self._stored("vector_record").where(F.col("chunk_id").isNotNull()), F.lit(True)
         if document_id is not None:
-            ids = self.table("chunk").where(F.col("document_id") == document_id).select(F.col("id").alias("chunk_id"))
-            gone = records.join(ids, "chunk_id", "left_semi")
+            touched = self._touched(self.spark.createDataFrame([(document_id,)], "id string"))
+            ids = self._rows("chunk", touched).where(F.col("document_id") == document_id).select(F.col("id").alias("chunk_id"), F.lit(True).alias("_gone"))
+            records = self._rows("vector_record", touched).join(ids, "chunk_id", "left")
+            gone = F.coalesce("_gone", F.lit(False))
         elif chunk_id is not None:
-            gone = records.where(F.col("chunk_id") == chunk_id)
+            row = self.table("chunk").where(F.col("id") == chunk_id).first()
+            touched = [] if row is None else self._touched(self.spark.createDataFrame([(row.document_id,)], "id string"))
+            records, gone = self._rows("vector_record", touched), F.col("chunk_id") == chunk_id
         elif profile_id is not None:
-            gone = records.where(F.col("embedding_profile_id") == profile_id)
-        else:
-            gone = records
-        n = gone.count()
-        self.commit(vector_record=records.join(gone.select("chunk_id", "embedding_profile_id"), ["chunk_id", "embedding_profile_id"], "left_anti"))
+            records = records.where(F.col("embedding_profile_id") == profile_id)
+        n = records.where(gone).count()
+        if n:
+            self._replace({"vector_record": records}, vector_record=records.where(~gone))
         return n
 
     # ---- search

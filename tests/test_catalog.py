@@ -140,3 +140,36 @@ def test_search(spark, tmp_path):
     assert [catalog.table(t).count() for t in ("document", "chunk", "vector_record", "knowledge_base")] == [0, 0, 0, 2]
     assert {r.status for r in catalog.table("index_state").collect()} == {"EMPTY"}
     assert catalog.search(one, questions, provider).count() == 0
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_change_replaces_the_buckets_that_it_touches(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=8)
+    kb = catalog.create("n", str(tmp_path), 40, 0)
+    files = spark.range(60).select(F.format_string("/r/%d.md", "id").alias("file_path"), F.format_string("%d.md", "id").alias("file_name"), F.sha2(F.col("id").cast("string"), 256).alias("file_hash"), F.lit("md").alias("file_type"), F.repeat(F.concat(F.lit("some words "), F.col("id")), 9).alias("text"))
+    assert catalog.sync(kb, files)["added"] == 60
+    catalog.index(kb, HashedNgramProvider(8))
+    catalog.index(kb, HashedNgramProvider(16))
+    before, counts = files_of(tmp_path / "catalog"), {t: catalog.table(t).count() for t in ("document", "chunk", "vector_record")}
+    assert counts["vector_record"] == 2 * counts["chunk"]
+    row = catalog.table("document").where(F.col("file_name") == "7.md").first()
+    catalog.delete_document(row.id)
+    after = files_of(tmp_path / "catalog")
+    gone = {f for f in before if f not in after}
+    bucket = f"bucket={spark.range(1).select(catalog._bucket(F.lit(row.id))).first()[0]}/"
+    assert gone and all(bucket in f for f in gone if f.split("/")[0] in counts) and len([f for f in gone if f.startswith("vector_record")]) == 2
+    assert sum(f in after and after[f] == t for f, t in before.items()) > 0.8 * len(before)
+    assert catalog.table("document").count() == 59 and catalog.table("chunk").where(F.col("document_id") == row.id).isEmpty()
+    assert catalog.table("vector_record").count() == 2 * catalog.table("chunk").count()
+    changed = files.withColumn("file_hash", F.when(F.col("file_name") == "9.md", "new").otherwise(F.col("file_hash"))).where("file_name <> '7.md'")
+    then = files_of(tmp_path / "catalog")
+    assert catalog.sync(kb, changed)["updated"] == 1
+    now = files_of(tmp_path / "catalog")
+    assert len({f.split("bucket=")[1].split("/")[0] for f in then if f not in now and "bucket=" in f}) == 1
+    chunk = catalog.table("chunk").first().id
+    assert catalog.delete_vectors(chunk_id=chunk) == 2 or catalog.table("vector_record").where(F.col("chunk_id") == chunk).isEmpty()
+    catalog.delete_knowledge_base(kb)
+    assert all(catalog.table(t).count() == 0 for t in counts)
