@@ -105,6 +105,20 @@ def quality_details(hits: DataFrame, totals: DataFrame, by: tuple[str, ...] = ()
     )
 
 
+def with_results(details: DataFrame, hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``details`` with ``results``: the hits of a query in the order of their ranks, k of them at most, as an array of
+    (rank, chunk_id, document, content_sha256, relevant, score).
+
+    ``hits`` has query_id, rank, id, document, text, relevant, score and ``by``; a query without hits has an empty array.
+    """
+    keys = ["query_id", *by]
+    hit = F.struct("rank", F.col("id").alias("chunk_id"), "document", F.sha2("text", 256).alias("content_sha256"), "relevant", "score")
+    found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(hit)).alias("results"))
+    rows = details.join(found, keys, "left")
+    kind = found.schema["results"].dataType
+    return rows.withColumn("results", F.coalesce("results", F.array().cast(kind)))
+
+
 def quality_summary(details: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """query_count and the mean of each metric; without ``by`` and rows, query_count 0 and nulls."""
     means = [F.avg(c).alias(name) for name, c in METRICS.items()]

@@ -11,6 +11,7 @@ from tessera.functions.vectors import cosine, from_blob, from_json_text, squared
 from tessera.operators import catalog, chunking, evaluation, rag, retrieval, views
 from tessera.operators.embedding import DIMENSION, HashedNgramProvider
 from tessera.sources.files import extension, file_name
+from tessera.sources.tables import written
 
 SIZE, OVERLAP, K = 500, 80, 5
 DICTIONARY_WORDS = 200_000
@@ -81,6 +82,59 @@ WITH bodies AS (
 )
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, content FROM cuts WHERE content <> ''
 """
+def _structure_sql(source: str, most: int, least: int) -> str:
+    """Sections by header lines, long ones cut at sentence ends or packed by paragraphs, short pieces joined on."""
+    strip = lambda x: f"regexp_replace({x}, '{TRIM}', '', 'g')"
+    return rf"""
+WITH RECURSIVE source AS ({source}),
+lines AS (
+  SELECT doc_id, unnest(l[:-2]) AS line, unnest(range(0, len(l) - 1)) AS i FROM (
+    SELECT doc_id, string_split(t || CASE WHEN t LIKE '%' || chr(10) THEN '' ELSE chr(10) END, chr(10)) AS l FROM (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM source))
+), flagged AS (
+  SELECT *, regexp_matches(line, '^[ 	]*#') AS opens, count_if(regexp_matches(line, '^[ 	]*#')) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM lines
+), sections AS (
+  SELECT doc_id, section, ltrim(coalesce(max(line) FILTER (opens), ''), ' ' || chr(9)) AS header, coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (NOT opens), '') AS body FROM flagged GROUP BY 1, 2
+), wholes AS (
+  SELECT doc_id, section, {strip("ltrim(header, '#')")} AS name, CASE WHEN section > 0 THEN header || chr(10) || body ELSE body END AS text FROM sections
+  WHERE section > 0 OR {strip("body")} <> ''
+), paragraphs AS (
+  SELECT doc_id, section, p, row_number() OVER (PARTITION BY doc_id, section ORDER BY i) AS n, count(*) OVER (PARTITION BY doc_id, section) AS many FROM (
+    SELECT doc_id, section, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM (SELECT doc_id, section, string_split(text, chr(10) || chr(10)) AS ps FROM wholes WHERE length({strip("text")}) > {most}))
+  WHERE {strip("p")} <> ''
+), cuts AS (
+  SELECT doc_id, section, text, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM wholes
+  WHERE length({strip("text")}) > {most} AND (doc_id, section) NOT IN (SELECT doc_id, section FROM paragraphs WHERE many > 1)
+  UNION ALL
+  SELECT doc_id, section, text, b, CASE WHEN length(text) - b <= {most} THEN length(text)
+    WHEN length(regexp_extract(substr(text, b + {most // 2} + 1, {most - most // 2}), '^(?s:.*)[。
+；]')) > 0
+    THEN b + {most // 2} + length(regexp_extract(substr(text, b + {most // 2} + 1, {most - most // 2}), '^(?s:.*)[。
+；]')) ELSE b + {most} END
+  FROM cuts WHERE b < length(text)
+), packed AS (
+  SELECT doc_id, section, p, n, CAST(1 AS BIGINT) AS pack, CAST(length(p) AS BIGINT) AS filled FROM paragraphs WHERE n = 1 AND many > 1
+  UNION ALL
+  SELECT x.doc_id, x.section, x.p, x.n, CASE WHEN k.filled + 2 + length(x.p) <= {most} THEN k.pack ELSE k.pack + 1 END, CASE WHEN k.filled + 2 + length(x.p) <= {most} THEN k.filled + 2 + length(x.p) ELSE length(x.p) END
+  FROM packed k JOIN paragraphs x ON x.doc_id = k.doc_id AND x.section = k.section AND x.n = k.n + 1
+), packs AS (
+  SELECT doc_id, section, pack, {strip("string_agg(p, chr(10) || chr(10) ORDER BY n)")} AS p, max(pack) OVER (PARTITION BY doc_id, section) AS last FROM packed GROUP BY 1, 2, 3
+), joined AS (
+  SELECT doc_id, section, CASE WHEN pack = last AND last > 1 AND length(p) < {least} THEN pack - 1 ELSE pack END AS pack, pack AS n, p FROM packs
+), pieces AS (
+  SELECT doc_id, section, 0 AS n, {strip("text")} AS piece FROM wholes WHERE length({strip("text")}) <= {most}
+  UNION ALL SELECT doc_id, section, b, {strip("substr(text, a + 1, b - a)")} FROM cuts WHERE b > a
+  UNION ALL SELECT doc_id, section, pack, string_agg(p, chr(10) || chr(10) ORDER BY n) FROM joined GROUP BY 1, 2, 3
+), placed AS (
+  SELECT doc_id, name, piece, row_number() OVER (PARTITION BY doc_id ORDER BY section, n) AS i FROM pieces JOIN wholes USING (doc_id, section) WHERE piece <> ''
+), grouped AS (
+  SELECT *, count_if(i = 1 OR length(piece) >= {least}) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM placed
+)
+SELECT doc_id, CAST(g - 1 AS INTEGER) AS position, arg_min(name, i) AS section, string_agg(piece, chr(10) || chr(10) ORDER BY i) AS content FROM grouped GROUP BY doc_id, g
+"""
+
+
+_PAGES_SOURCE = r"""SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(10) || '# ', 'g'), '</h1>|</p>|<br>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+  FROM (SELECT page_id, regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g') AS h FROM pages)"""
 _REPRESENTATIVE_SQL = rf"""
 WITH parts AS (
   SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS pos
@@ -360,14 +414,28 @@ def _rules(spark, sf_dir):
     return own.select("query_id", F.slice("s", 1, 1).alias("must_contain"), F.slice("s", 2, 2).alias("any_of"))
 
 
-def _details(spark, sf_dir):
+def _labelled(spark, sf_dir):
+    """The rules, and the ten best chunks of each query with what they say of them, at three k."""
     rules, chunks = _rules(spark, sf_dir), _chunks(spark, sf_dir)
     hits = retrieval.bm25_search(_queries(spark, sf_dir), chunks, 10)
-    labelled = evaluation.labelled_hits(hits.join(chunks.select("id", "text"), "id"), rules).select("query_id", "rank", "relevant")
+    places = chunks.select("id", "text", F.col("doc_id").alias("document"))
+    ks = F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("top_k")
+    return rules, chunks, evaluation.labelled_hits(hits.join(places, "id"), rules).select("*", ks).where("rank <= top_k")
+
+
+def _details(spark, sf_dir):
+    rules, chunks, at_k = _labelled(spark, sf_dir)
     ks = F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("top_k")
     totals = evaluation.total_relevant(rules, chunks).select("query_id", "total_relevant", ks)
-    at_k = labelled.select("*", ks).where("rank <= top_k")
-    return evaluation.quality_details(at_k, totals, ("top_k",))
+    return evaluation.quality_details(at_k.select("query_id", "rank", "relevant", "top_k"), totals, ("top_k",))
+
+
+def quality_results(spark, sf_dir):
+    """The ranked results that a query's details carry, a row for each."""
+    hits = written(_labelled(spark, sf_dir)[2], "labelled-hits")
+    details = evaluation.with_results(hits.select("query_id", "top_k").distinct(), hits, ("top_k",))
+    rows = details.select("query_id", "top_k", F.posexplode("results").alias("place", "hit"))
+    return rows.select("query_id", "top_k", F.col("place").cast("int").alias("place"), "hit.*")
 
 
 def quality_details(spark, sf_dir):
@@ -407,6 +475,10 @@ SELECT query_id, top_k, hit, CAST(first_relevant_rank AS INTEGER) AS first_relev
        round(precision, 6) AS precision, round(ndcg, 6) AS ndcg, round(average_precision, 6) AS average_precision, CAST(got AS INTEGER) AS retrieved_relevant, CAST(total AS INTEGER) AS total_relevant
 FROM details
 """
+_RESULTS_SQL = f"""WITH {_DETAILS_CTES}
+SELECT h.query_id, k.top_k, CAST(h.rank - 1 AS INTEGER) AS place, h.rank, h.id AS chunk_id, c.doc_id AS document, sha256(c.text) AS content_sha256, (r.id IS NOT NULL) AS relevant, h.score
+FROM hits h JOIN (SELECT unnest([3, 5, 10]) AS top_k) k ON h.rank <= k.top_k JOIN chunks c ON c.id = h.id LEFT JOIN relevant r ON r.query_id = h.query_id AND r.id = h.id
+"""
 _SUMMARY_SQL = f"""WITH {_DETAILS_CTES}
 SELECT top_k, count(*) AS query_count, round(avg(hit), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(recall), 6) AS recall,
        round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(average_precision), 6) AS map FROM details GROUP BY top_k
@@ -479,8 +551,8 @@ SELECT page_id, replace(url, '/en/', '/en a/') AS decoded, list_last(string_spli
 QUERIES = {
     "chunk_fixed": (chunk_fixed, f"WITH {_CHUNK_CTES} SELECT id, doc_id, chunk_index, text FROM chunks"),
     "chunk_sections": (chunk_sections, _SECTIONS_SQL),
-    "chunk_structure": (chunk_structure, None),
-    "chunk_pages_structure": (chunk_pages_structure, None),
+    "chunk_structure": (chunk_structure, _structure_sql("SELECT doc_id, text FROM documents", chunking.MAX_SIZE, chunking.MIN_SIZE)),
+    "chunk_pages_structure": (chunk_pages_structure, _structure_sql(_PAGES_SOURCE, 400, 60)),
     "representative_texts": (representative_texts, _REPRESENTATIVE_SQL),
     "embed_chunks": (embed_chunks, f"WITH {_CHUNK_CTES}, {_embedding_ctes('cv', 'chunks')} SELECT id, CAST(idx AS INTEGER) AS idx, round(x, 6) AS x FROM cv WHERE x <> 0"),
     "search_text": (search_text, f"WITH {_VECTOR_CTES} {_top('by_vector')}"),
@@ -500,6 +572,7 @@ QUERIES = {
     "profile_search": (profile_search, _PROFILE_SQL),
     "signal_recall": (signal_recall, _SIGNAL_SQL),
     "quality_details": (quality_details, _DETAILS_SQL),
+    "quality_results": (quality_results, _RESULTS_SQL),
     "quality_summary": (quality_summary, _SUMMARY_SQL),
     "rag_contexts": (rag_contexts, _RAG_SQL),
     "context_evidence": (context_evidence, _EVIDENCE_SQL),
