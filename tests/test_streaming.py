@@ -1,6 +1,6 @@
 import time
 
-from tessera.streaming.watch import latency_windows, snapshot, watch
+from tessera.streaming.watch import LISTING, FolderReader, Looks, differences, latency_windows, listed, snapshot, watch
 
 
 def test_watch_sees_new_changed_and_removed_files(spark, tmp_path):
@@ -35,6 +35,31 @@ def test_watch_sees_new_changed_and_removed_files(spark, tmp_path):
     assert snapshot(str(root)).keys() == {str(root / "a.md")}
 
 
+def test_offsets_stay_small_and_parts_share_the_files(tmp_path):
+    for i in range(50):
+        (tmp_path / f"{i}.md").write_text("x")
+    reader = FolderReader(str(tmp_path), 3)
+    assert len(str(reader.latestOffset())) < 40 and len(reader.partitions({}, {})) == 3
+    parts = [dict(reader.read(p)) for p in reader.partitions({}, {})]
+    assert all(parts) and sum(map(len, parts)) == 50 and {k: v for p in parts for k, v in p.items()} == snapshot(str(tmp_path)) == dict(listed(str(tmp_path)))
+
+
+def test_two_looks_and_what_was_handled(spark, tmp_path):
+    looks, frame = Looks(spark, str(tmp_path)), lambda **files: spark.createDataFrame(list(files.items()), LISTING)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(differences(frame(a="1", b="1"), frame(b="2", c="1"))) == [("a", "removed"), ("b", "updated"), ("c", "added")]
+    assert looks.changes(frame(a="1"), 0) is None and looks.changes(frame(a="2"), 1) is None  # not quiet yet
+    changes, now = looks.changes(frame(a="2"), 2)
+    assert rows(changes) == [("a", "added")]
+    looks.handle(now, 2)
+    assert looks.changes(frame(a="2"), 3)[0].isEmpty() and looks.changes(frame(), 4) is None
+    changes, now = looks.changes(frame(), 5)
+    assert rows(changes) == [("a", "removed")]
+    looks.handle(now, 5)
+    again = Looks(spark, str(tmp_path))
+    assert again.handled().isEmpty() and again.changes(frame(), 6)[0].isEmpty()
+
+
 def test_latency_windows_of_a_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
