@@ -127,6 +127,11 @@ def case_summary(cases: DataFrame, required_count: int) -> DataFrame:
     return rows.select("pass_count", F.lit(required_count).alias("required_count"), (F.col("pass_count") == required_count).alias("all_passed"))
 
 
+def passes_by_prefix(cases: DataFrame) -> DataFrame:
+    """prefix, passed, cases: the cases (case_id, status) by the first character of their ids."""
+    return cases.groupBy(F.substring("case_id", 1, 1).alias("prefix")).agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count(F.lit(1)).alias("cases"))
+
+
 def historical_comparison(former: DataFrame, current: DataFrame, former_config: str, current_config: str, top_k: int = 3) -> DataFrame:
     """old, new (structs of the rows' columns) and strict_ab, which is false as the runs weren't made side by side.
 

@@ -21,14 +21,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import recall_query
+from tessera.functions.text import recall_query, trimmed
 from tessera.functions.vectors import is_finite
 from tessera.operators.chunking import check_chunking, chunk_fixed
-from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, checked_batch
+from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, ProviderRegistry, checked_batch
 from tessera.operators.retrieval import every_profile_search, vector_search
+from tessera.sources.files import extension, file_name, parse_documents
 from tessera.sources.tables import written
 
 BUCKETS = 64
+DEFAULT_MODEL = "bge-small"
 SCHEMAS = {
     "knowledge_base": "id string, name string, root_path string, chunk_size int, chunk_overlap int, created_at timestamp, updated_at timestamp",
     "document": "id string, knowledge_base_id string, file_path string, file_name string, file_hash string, file_type string, status string, created_at timestamp, updated_at timestamp",
@@ -282,6 +284,33 @@ class Catalog:
         found = self.table("document").where((F.col("knowledge_base_id") == kb_id) & (F.col("file_path") == file_path))
         return found.first().id
 
+    def add_files(self, kb_id: str, files: DataFrame, provider: EmbeddingProvider | None = None, pdf_text=None) -> DataFrame:
+        """Stores ``files`` (path, content) in one change, and the vectors of their chunks if there is a ``provider``.
+
+        A row for each file: file_path, document_id, title, chunk_count, vector_count, error. What can't be parsed, or is
+        blank, is an error and isn't stored; chunks without a vector (``provider`` with an error column) make one, too.
+        """
+        blank = trimmed(F.coalesce("text", F.lit(""))) == ""
+        parsed = written(parse_documents(files, pdf_text).withColumn("error", F.coalesce("error", F.when(blank, "the text is blank"))), "parsed-files")
+        name, kind = file_name(F.col("path")), extension(F.col("path"))
+        good = parsed.where("error IS NULL").dropDuplicates(["path"]).select(F.col("path").alias("file_path"), name.alias("file_name"), F.sha2("text", 256).alias("file_hash"), kind.alias("file_type"), "text")
+        self.sync(kb_id, good, remove=False)
+        documents = self.table("document").where(F.col("knowledge_base_id") == kb_id).join(good.select("file_path"), "file_path", "left_semi").select("file_path", F.col("id").alias("document_id"))
+        documents = written(documents, "added-documents")  # indexing replaces what the tables are read from
+        chunks = self.table("chunk").join(documents, "document_id", "left_semi").select(F.col("id").alias("chunk_id"), "document_id", "text")
+        own = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.lit(0).cast("long").alias("vector_count"))
+        if provider is not None:
+            vectors = written(provider.transform(chunks).select("chunk_id", "document_id", "vector"), "file-vectors")
+            known = vectors.where("vector IS NOT NULL").select("chunk_id", "vector")
+            if not known.isEmpty():
+                self.ingest(kb_id, provider.info, known)
+            own = vectors.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.count("vector").alias("vector_count"))
+        rows = parsed.join(documents, parsed["path"] == documents["file_path"], "left").drop("file_path").join(own, "document_id", "left")
+        missing = F.when(F.lit(provider is not None) & (F.col("vector_count") < F.col("chunk_count")), F.concat(F.col("chunk_count") - F.col("vector_count"), F.lit(" chunks have no vector")))
+        stored = F.col("error").isNull()
+        zero = lambda c: F.when(stored, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+        return written(rows.select(F.col("path").alias("file_path"), F.when(stored, F.col("document_id")).alias("document_id"), "title", zero("chunk_count"), zero("vector_count"), F.coalesce("error", missing).alias("error")), "added-files")
+
     def delete_chunk(self, chunk_id: str) -> None:
         """Deletes one chunk with its vectors; the others of its document keep their numbers."""
         row = self.table("chunk").where(F.col("id") == chunk_id).first()
@@ -381,6 +410,44 @@ class Catalog:
             raise ValueError(f"query {blank.query_id} has no text")
         return self.search_vectors(kb_id, profile.id, provider.transform(queries.select("query_id", "text"), input_type=QUERY), k)
 
+    def answer(self, kb_id: str, requests: DataFrame, providers: ProviderRegistry, default_model: str = DEFAULT_MODEL, default_k: int = 5) -> DataFrame:
+        """A row for each of ``requests`` (query_id, text, model, top_k; the last two null or left out for the defaults):
+        query_id, model, count, error, and results, the places found in the order of their ranks.
+
+        A request without text, for a model that isn't there or that the knowledge base has no vectors of, or whose text
+        can't be embedded, has its error and no results; the others aren't touched by it.
+        """
+        column = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in requests.columns else F.lit(default)
+        asked = written(requests.select("query_id", "text", column("model", default_model).alias("model"), column("top_k", default_k).cast("int").alias("top_k")), "requests")
+        blank = trimmed(F.coalesce("text", F.lit(""))) == ""
+        error = F.when(blank, "query is required").when(~F.col("model").isin(providers.ids()), F.concat(F.lit("no embedding provider "), "model"))
+        judged, found, told = asked.withColumn("error", error), None, []
+        for model in providers.ids():
+            own = judged.where(F.col("error").isNull() & (F.col("model") == model))
+            most = own.agg(F.max("top_k")).first()[0]
+            if most is None:
+                continue
+            try:
+                profile = profile_of(self.table("embedding_profile"), kb_id, providers.get(model).info)
+            except KeyError as missing:
+                told.append((model, missing.args[0]))
+                continue
+            vectors = written(providers.get(model).transform(own, input_type=QUERY), "request-vectors")
+            fine = F.col("vector").isNotNull() & (F.size("vector") == profile.dimension) & is_finite(F.col("vector"))
+            told_rows = vectors.where(~F.coalesce(fine, F.lit(False))).select("query_id", F.lit("the text can't be embedded").alias("why"))
+            hits = self.search_vectors(kb_id, profile.id, vectors.where(fine).select("query_id", "vector"), max(most, 1))
+            part = hits.select("query_id", F.struct("rank", "score", "chunk_id", "document_id", "file_name", "file_path", "chunk_index", "text").alias("hit"), F.lit(None).cast("string").alias("why"))
+            part = part.unionByName(told_rows, allowMissingColumns=True)
+            found = part if found is None else found.unionByName(part)
+        gone = self.spark.createDataFrame(told, "model string, why_model string")
+        if found is None:
+            hit = "struct<rank:int,score:double,chunk_id:string,document_id:string,file_name:string,file_path:string,chunk_index:int,text:string>"
+            found = asked.limit(0).select("query_id", F.lit(None).cast(hit).alias("hit"), F.lit(None).cast("string").alias("why"))
+        lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"), F.max("why").alias("why"))  # the largest top_k at most
+        rows = judged.join(F.broadcast(gone), "model", "left").join(lists, "query_id", "left")
+        results = F.when(F.col("hits").isNotNull(), F.filter("hits", lambda h: h["rank"] <= F.greatest(F.col("top_k"), F.lit(0)))).otherwise(F.array().cast(lists.schema["hits"].dataType))
+        return rows.select("query_id", "model", F.size(results).alias("count"), F.coalesce("error", "why_model", "why").alias("error"), results.alias("results"))
+
     def recall(self, signals: DataFrame, provider: EmbeddingProvider, k: int = 5) -> DataFrame:
         """The best chunks for ``signals`` (query_id, signal, name, symbol): their template texts, embedded, against the
         vectors of all profiles, those of another dimension scoring 0; ``recall_reason`` is the signal."""

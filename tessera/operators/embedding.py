@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from typing import Protocol
@@ -142,33 +146,87 @@ class ProviderRegistry:
         return [self._providers[i].info for i in self.ids()]
 
 
+#: What a request to an embedding service may hold at most.
+MAX_BATCH, MAX_BYTES = 128, 10 << 20
+
+
 class HttpProvider:
     """Batches of texts to an embedding service: POST ``{model_id, inputs}``, answer ``{model_info, outputs}``.
 
-    Each answer is checked: same model, as many vectors in the same order, the right dimension, finite values.
+    A request has ``batch`` texts (MAX_BATCH at most) and ``max_bytes`` at most. A service that fails or can't be reached
+    is asked again after a pause that doubles, ``retries`` times. A request that it refuses, or whose answer doesn't fit
+    (other model, number, order or dimension, values that aren't finite), is halved until the texts at fault stand alone.
+    With ``errors``, the name of a column, these rows get no vector and what went wrong there; without, they raise.
+    ``normalize=False`` asks for vectors as the model gives them; ``tokens`` names a column for the answer's token counts.
     """
 
-    def __init__(self, url: str, info: ModelInfo, batch: int = BATCH, timeout: float = 60.0):
-        self.url, self.info, self.batch, self.timeout = url, info, max(1, batch), timeout
+    def __init__(self, url: str, info: ModelInfo, batch: int = BATCH, timeout: float = 60.0, max_bytes: int = MAX_BYTES, retries: int = 3, pause: float = 0.5, errors: str | None = None, tokens: str | None = None, normalize: bool = True):
+        self.url, self.info, self.batch, self.timeout = url, info, min(max(1, batch), MAX_BATCH), timeout
+        self.max_bytes, self.retries, self.pause, self.errors, self.tokens, self.normalize = max_bytes, retries, pause, errors, tokens, normalize
+
+    def _body(self, texts: list[str], input_type: str) -> bytes:
+        inputs = [{"request_id": str(i), "input_type": input_type, "text": t} for i, t in enumerate(texts)]
+        return json.dumps({"model_id": self.info.model_id, "inputs": inputs} | ({} if self.normalize else {"normalize": False}), ensure_ascii=False).encode()
+
+    def _ask(self, texts: list[str], input_type: str) -> list[tuple[list[float] | None, int | None, str | None]]:
+        """Vector, token count and error of each text."""
+        request = urllib.request.Request(self.url, self._body(texts, input_type), {"Content-Type": "application/json"})
+        for n in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as got:
+                    answer = json.load(got)
+                vectors = checked_response(answer, self.info, [str(i) for i in range(len(texts))])
+                return [(v, o.get("token_count"), None) for v, o in zip(vectors, answer["outputs"], strict=True)]
+            except urllib.error.HTTPError as refused:
+                why = f"{refused.code} {refused.reason}"
+                if refused.code < 500 and refused.code != 429:
+                    break  # asking again won't help
+            except ValueError as wrong:
+                why = str(wrong)
+                break
+            except OSError as failed:
+                why = str(failed)
+            if n < self.retries:
+                time.sleep(self.pause * 2**n)
+        else:
+            return [(None, None, why)] * len(texts)
+        if len(texts) == 1:
+            return [(None, None, why)]
+        half = len(texts) // 2
+        return self._ask(texts[:half], input_type) + self._ask(texts[half:], input_type)
+
+    def _parts(self, texts: list[str], input_type: str) -> Iterator[tuple[int, int]]:
+        """Bounds of the requests: ``batch`` texts and ``max_bytes`` at most, or one text that is too large alone."""
+        sizes = [len(self._body([t], input_type)) for t in texts]  # a little more than their share of a request
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and (i - start == self.batch or total + size > self.max_bytes):
+                yield start, i
+                start, total = i, 0
+            total += size
+        if start < len(texts):
+            yield start, len(texts)
 
     def transform(self, df: DataFrame, text: str = "text", output: str = "vector", input_type: str = DOCUMENT) -> DataFrame:
-        plain, url, info, size, timeout = df.drop(output), self.url, self.info, self.batch, self.timeout
+        plain = df.drop(output, *(c for c in (self.errors, self.tokens) if c))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import json
-            import urllib.request
-
             for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    inputs = [{"request_id": str(i), "input_type": input_type, "text": t or ""} for i, t in enumerate(part.column(text).to_pylist())]
-                    body = json.dumps({"model_id": info.model_id, "inputs": inputs}).encode()
-                    request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
-                    with urllib.request.urlopen(request, timeout=timeout) as answer:
-                        vectors = checked_response(json.load(answer), info, [x["request_id"] for x in inputs])
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, output])
-
-        return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))]))
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                for a, b in self._parts(texts, input_type):
+                    large = b - a == 1 and len(self._body(texts[a:b], input_type)) > self.max_bytes
+                    found = [(None, None, "the text is larger than a request may be")] if large else self._ask(texts[a:b], input_type)
+                    bad = next((e for *_, e in found if e), None)
+                    if bad and self.errors is None:
+                        raise ValueError(bad)
+                    part = batch.slice(a, b - a)
+                    columns = [pa.array([v for v, _, _ in found], pa.list_(pa.float32()))]
+                    columns += [pa.array([e for *_, e in found], pa.string())] if self.errors else []
+                    columns += [pa.array([n for _, n, _ in found], pa.int64())] if self.tokens else []
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, output, *(c for c in (self.errors, self.tokens) if c)])
+
+        more = [T.StructField(c, k) for c, k in ((self.errors, T.StringType()), (self.tokens, T.LongType())) if c]
+        return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(output, T.ArrayType(T.FloatType())), *more]))
 
 
 def checked_response(answer: dict, info: ModelInfo, request_ids: list[str]) -> list[list[float]]:

@@ -50,6 +50,13 @@ def dashboard(knowledge_bases: DataFrame, documents: DataFrame, chunks: DataFram
     return out
 
 
+def service_documents(documents: DataFrame) -> DataFrame:
+    """The active documents, latest first, each with the total of them."""
+    own = documents.where(F.col("status") == "active")
+    total = own.agg(F.count(F.lit(1)).alias("total"))
+    return own.crossJoin(F.broadcast(total)).orderBy(F.desc("created_at"), "id")  # one row
+
+
 def service_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: active documents, all chunks (those without a document too), chunks with a vector."""
     a = documents.agg(F.count_if(F.col("status") == "active").alias("active_documents"))

@@ -311,6 +311,18 @@ def diagnostics(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def service_documents(spark, sf_dir):
+    """Orders as a service's documents, the fulfilled ones active."""
+    own = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("deleted").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return views.service_documents(own).select("id", "created_at", "total")
+
+
+def case_passes(spark, sf_dir):
+    """Orders as cases, by the first character of their priority."""
+    own = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("case_id"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL").alias("status"))
+    return benchmarks.passes_by_prefix(own)
+
+
 def stable_ids(spark, sf_dir):
     own = _documents(spark, sf_dir)
     return own.select("id", catalog.stable_id(F.col("knowledge_base_id").cast("string"), F.col("id").cast("string")).alias("stable_id"))
@@ -366,5 +378,7 @@ QUERIES = {
     "historical_comparison": (historical_comparison, f"WITH {_SAMPLES}, m AS (SELECT s.round < 2 AS former, chunk_config, 3 AS top_k, round(avg(latency_ms), 6) AS mean_ms, count(*) AS n FROM samples s WHERE success GROUP BY 1, 2) SELECT o.chunk_config AS old_chunk_config, o.top_k AS old_top_k, o.mean_ms AS old_mean_ms, o.n AS old_n, w.chunk_config AS new_chunk_config, w.top_k AS new_top_k, w.mean_ms AS new_mean_ms, w.n AS new_n, false AS strict_ab FROM m o, m w WHERE o.former AND o.chunk_config = 'c0' AND NOT w.former AND w.chunk_config = 'c1'"),
     "storage_comparison": (storage_comparison, f"WITH b AS (SELECT 'b' || (o_custkey % 2) AS backend, o_custkey % 3 * 1000 AS vector_count, 64 AS dimension, round(avg(o_totalprice), 4) AS build_ms_mean, round(avg(o_orderkey), 4) AS database_bytes_mean FROM orders GROUP BY ALL), {_SAMPLES}, s AS (SELECT 'b' || (user_id % 2) AS backend, CAST(user_id % 3 * 1000 AS BIGINT) AS vector_count, CASE WHEN user_id % 4 = 0 THEN 3 ELSE 5 END AS top_k, {_SUMMARY}, CASE WHEN count_if(success) >= 1000 THEN round(quantile_cont(latency_ms, 0.99) FILTER (success), 6) END AS p99_ms FROM samples GROUP BY 1, 2, 3) SELECT s.*, dimension, build_ms_mean, database_bytes_mean FROM s LEFT JOIN b USING (backend, vector_count)"),
     "diagnostics": (diagnostics, f"WITH {_CATALOG} SELECT 'chunks' AS what, CAST(document_id AS VARCHAR) AS key, count(*) AS n FROM chunks_ GROUP BY 2 UNION ALL SELECT 'vectors', embedding_profile_id, count(*) FROM vectors_ GROUP BY 2"),
+    "service_documents": (service_documents, "SELECT o_orderkey AS id, o_orderdate AS created_at, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'F'"),
+    "case_passes": (case_passes, "SELECT substr(o_orderpriority, 1, 1) AS prefix, count_if(o_orderstatus = 'F') AS passed, count(*) AS cases FROM orders GROUP BY 1"),
     "stable_ids": (stable_ids, f"WITH {_CATALOG}, h AS (SELECT id, sha256(knowledge_base_id || chr(31) || id) AS h FROM documents_) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS stable_id FROM h"),
 }
