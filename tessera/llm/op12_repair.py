@@ -345,3 +345,57 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_reports(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), F.col("absent"))
+
+
+#: The automaton's states: 0 at the start, 1 after a system turn, 2 a user turn or the end wanted, 3 an assistant turn wanted.
+SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+      list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS code FROM keyed
+), after AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM after
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS unended, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), turns AS (
+  SELECT *, NOT blank AND seen AS repeated, NOT blank AND NOT seen AND unended AS truncated FROM judged
+), inserted(q, q2, n) AS (VALUES (0, 0, 0), (0, 3, 1), (0, 2, 2), (1, 1, 0), (1, 3, 1), (1, 2, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+moves(q, q2, initial) AS (VALUES (0, 0, 'D'), (1, 1, 'D'), (2, 2, 'D'), (3, 3, 'D'), (0, 3, 'u'), (1, 3, 'u'), (2, 3, 'u'), (3, 2, 'a'), (0, 1, 's')),
+paths AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': ''} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, min(best) AS best FROM (
+    SELECT p.conv_id, t.i, m.q2 AS q, {
+      'cost': p.best.cost + 3 * s.n + CASE WHEN m.initial = 'D' THEN 4 ELSE CASE WHEN m.initial = t.initial THEN 0 ELSE 3 END + CASE WHEN t.truncated THEN 3 ELSE 0 END END,
+      'audit': p.best.audit || repeat('I', s.n) || CASE WHEN m.initial = 'D' THEN 'D' WHEN m.initial = t.initial THEN 'K' ELSE 'R' END} AS best
+    FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1 JOIN inserted s ON s.q = p.q JOIN moves m ON m.q = s.q2
+    WHERE m.initial = 'D' OR NOT (t.blank OR t.repeated) AND (m.initial <> 's' OR t.initial = 's')
+  ) GROUP BY conv_id, i, q
+), sizes AS (
+  SELECT conv_id, count(i) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id AS own, i FROM turns) t ON t.own IS NOT DISTINCT FROM c.conv_id GROUP BY conv_id
+), ended AS (
+  SELECT p.conv_id, min({'cost': best.cost + CASE q WHEN 3 THEN 3 WHEN 1 THEN 6 ELSE 0 END, 'audit': best.audit || CASE q WHEN 3 THEN 'I' WHEN 1 THEN 'II' ELSE '' END}) AS best
+  FROM paths p JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.i GROUP BY p.conv_id
+), edits AS (
+  SELECT conv_id, op, count_if(op <> 'I') OVER w AS i, count_if(op <> 'D') OVER w AS pos
+  FROM (SELECT conv_id, unnest(string_split(best.audit, '')) AS op, unnest(range(len(best.audit))) AS spot FROM ended WHERE best.audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY spot)
+), parts AS (
+  SELECT e.conv_id, e.op, e.pos, t.role, CASE WHEN e.op = 'I' THEN '' ELSE t.text END AS text,
+    max(CASE WHEN e.pos = 1 AND e.op = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+  FROM edits e LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (pos - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS body FROM parts WHERE op <> 'D' GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(repeated) AS duplicate, count_if(truncated) AS truncated,
+    count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  e.best.cost AS cost, e.best.audit AS audit, sha256(coalesce(r.body, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

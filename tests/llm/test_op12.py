@@ -5,6 +5,7 @@ import zlib
 from itertools import product
 
 import pytest
+from oracle import TABLES, assert_same
 
 from tessera.llm import op12_repair as m
 
@@ -112,6 +113,22 @@ def test_query_equals_contract(spark, folder):
     same_as_by_hand(m.op12_repair(spark, f"/root/testdata/{folder}"), rows)
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_query_equals_sql(spark, folder):
+    assert_same(m.op12_repair(spark, f"/root/testdata/{folder}"), m.SQL, f"/root/testdata/{folder}")
+
+
+def test_sql_on_nulls_ties_and_system_turns(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(6)]), rng.choice([None, "user", "assistant", "system", "tool"]), rng.choice([None, " ", "Yes.", "No", "Why?", "é!\n"])) for _ in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for t in TABLES:
+        if t != "conversations":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    assert_same(m.op12_repair(spark, str(tmp_path)), m.SQL, str(tmp_path))
+
+
 def test_nulls_ties_repeats_long_texts_and_other_columns(spark):
     rng = random.Random(2)
     schema = "conv_id long, turn long, role string, text string, absent string, audit string"
