@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MEMORY_SIZES = (8, 16, 32, 64, 128)
+DISK_SIZES = (1, 2, 4, 8, 16)
 P99_LEAST = 1000
 
 
@@ -103,8 +104,17 @@ def quality_score(points: DataFrame, fields: tuple[str, ...] = ("recall", "mrr",
     return rows.select(*points.columns, (sum(place[1:], place[0]) * 100.0 / len(fields)).alias("quality_score"))
 
 
-def memory_needed_gib(peak_bytes: Column) -> Column:
-    """The least usual memory size of 4 GiB plus one and a half times the peak; beyond these the next power of two."""
-    need = 4 + 1.5 * peak_bytes / 1024.0**3
-    fits = F.filter(F.array(*map(F.lit, MEMORY_SIZES)), lambda x: x >= need)
+def next_capacity(need: Column, sizes: tuple[int, ...]) -> Column:
+    """The least of the usual sizes that is enough; beyond these the next power of two."""
+    fits = F.filter(F.array(*map(F.lit, sizes)), lambda x: x >= need)
     return F.coalesce(F.get(fits, F.lit(0)).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(need))).cast("long"))
+
+
+def memory_needed_gib(peak_bytes: Column) -> Column:
+    """The least usual memory size of 4 GiB plus one and a half times the peak."""
+    return next_capacity(4 + 1.5 * peak_bytes / 1024.0**3, MEMORY_SIZES)
+
+
+def disk_needed_gib(stored_bytes: Column) -> Column:
+    """The least usual disk size of one and a half times what is stored, and of 1 GiB."""
+    return next_capacity(F.greatest(F.lit(1.0), 1.5 * stored_bytes / 1024.0**3), DISK_SIZES)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import disk_needed_gib, memory_needed_gib
 from tessera.operators.latency import latency_table
 
 REQUIRED_SECTIONS = (
@@ -155,6 +156,26 @@ def storage_comparison(builds: DataFrame, searches: DataFrame) -> DataFrame:
     return measured.join(built, ["backend", "vector_count"], "left")
 
 
+def report_table(runs: DataFrame, latency: DataFrame, quality: DataFrame, key: str, modes: tuple[str, ...] = ("vector", "hybrid")) -> DataFrame:
+    """A row per run and top_k: the columns of ``runs`` (key, ...), its latency and, under each mode's name, its quality.
+
+    ``latency`` is (key, top_k, ...), ``quality`` (key, mode, top_k, ...); a run without either keeps nulls.
+    """
+    metrics = [c for c in quality.columns if c not in (key, "mode", "top_k")]
+    per_mode = quality.groupBy(key, "top_k").agg(*(F.max(F.when(F.col("mode") == m, F.struct(*metrics))).alias(f"{m}_quality") for m in modes))
+    measured = latency.join(per_mode, [key, "top_k"], "full")
+    return runs.join(measured, key, "left")
+
+
+def hardware_estimates(models: DataFrame) -> DataFrame:
+    """What ``models`` (model, cache_bytes, private_bytes, database_bytes) need: memory for cache and process, disk for cache and database."""
+    basis = F.col("cache_bytes") + F.coalesce("private_bytes", F.lit(0))
+    return models.select(
+        "model", basis.alias("memory_basis_bytes"), (4 + 1.5 * basis / 1024.0**3).alias("formula_required_gib"),
+        memory_needed_gib(basis).alias("minimum_standard_ram_gib"), disk_needed_gib(F.col("cache_bytes") + F.col("database_bytes")).alias("minimum_free_disk_gib"),
+    )
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """One retrieval run, checked."""

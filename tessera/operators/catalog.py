@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import recall_query, trimmed
 from tessera.functions.vectors import is_finite
+from tessera.operators.benchmarks import synthetic_vectors
 from tessera.operators.chunking import check_chunking, chunk_fixed
 from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, ProviderRegistry, checked_batch
 from tessera.operators.retrieval import every_profile_search, vector_search
@@ -141,7 +142,7 @@ class Catalog:
         rows = self._stored(name)
         return rows.where(F.col(KEYS[name]).isNotNull()).drop("bucket") if name in PARTITIONS else rows
 
-    def _bucket(self, document_id: str) -> Column:
+    def _bucket(self, document_id: Column | str) -> Column:
         return F.pmod(F.xxhash64(document_id), F.lit(self.buckets)).cast("int")
 
     def _touched(self, ids: DataFrame) -> list[int]:
@@ -376,6 +377,26 @@ class Catalog:
         vectors = provider.transform(chunks.select(F.col("id").alias("chunk_id"), "text")).select("chunk_id", "vector")
         return self.ingest(kb_id, provider.info, vectors, mock, every_document=mock)
 
+    def load_fixture(self, count: int, dimension: int) -> str:
+        """Fills an empty catalog with one document of ``count`` chunks and their synthetic vectors, in one change; returns the profile's id."""
+        if not self.table("document").isEmpty():
+            raise ValueError("the catalog holds documents")
+        now, name = F.current_timestamp(), "bench"
+        vectors = synthetic_vectors(self.spark, count, dimension).withColumn("bucket", self._bucket(F.lit("doc")))
+        size = vectors.select(F.size("vector").alias("n")).first().n
+        number = F.substring("id", 2, 10).cast("int")
+        one = self.spark.range(1)
+        own = lambda **fields: one.select(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()))
+        self._replace(
+            knowledge_base=own(id="kb", name=name, root_path=name, chunk_size=500, chunk_overlap=80, created_at=now, updated_at=now),
+            document=own(id="doc", knowledge_base_id="kb", file_path="bench.md", file_name="bench.md", file_hash="hash", file_type="md", status=WAITING, created_at=now, updated_at=now, bucket=self._bucket(F.lit("doc"))),
+            embedding_profile=own(id="profile", knowledge_base_id="kb", model_id=name, model_name=name, model_version="1", dimension=size, config_hash=name, runtime="mock", precision="f32", normalize=True, pooling="none", max_length=None, query_prefix=None, document_prefix=None, created_at=now),
+            index_state=own(knowledge_base_id="kb", embedding_profile_id="profile", status=INDEXED, detail=None, updated_at=now),
+            chunk=vectors.select("id", F.lit("doc").alias("document_id"), number.alias("chunk_index"), F.concat(F.lit("benchmark chunk "), number).alias("text"), F.lit("{}").alias("metadata_json"), now.alias("created_at"), "bucket"),
+            vector_record=vectors.select(F.col("id").alias("chunk_id"), F.lit("profile").alias("embedding_profile_id"), F.size("vector").alias("dimension"), "vector", now.alias("created_at"), "bucket"),
+        )
+        return "profile"
+
     def delete_vectors(self, document_id: str | None = None, chunk_id: str | None = None, profile_id: str | None = None) -> int:
         """Deletes the vectors of a document, a chunk or a profile, or all; returns how many."""
         records, gone = self._stored("vector_record").where(F.col("chunk_id").isNotNull()), F.lit(True)

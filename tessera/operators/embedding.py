@@ -121,8 +121,23 @@ class HashedNgramProvider:
         return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))]))
 
 
-#: Identities of the neural models that a provider may run (fixed values); their runtimes aren't part of this library.
-NEURAL_MODELS = {"bge-small": 512, "m3e-base": 768, "bge-m3": 1024}
+# The neural models that a provider may run, whose runtimes aren't part of this library, with name,
+# version, dimension and configuration hash.
+NEURAL = {
+    "bge-small": ("BAAI/bge-small-zh-v1.5", "v1.5", 512, "st-bge-small-zh-v1.5-f32-normalized-model-pooling-v1"),
+    "m3e-base": ("moka-ai/m3e-base", "configured", 768, "st-m3e-base-f32-normalized-model-pooling-v1"),
+    "bge-m3": ("BAAI/bge-m3", "configured", 1024, "st-bge-m3-f32-normalized-model-pooling-v1"),
+}
+NEURAL_MODELS = {model_id: dimension for model_id, (_, _, dimension, _) in NEURAL.items()}
+
+
+def neural_model(model_id: str) -> ModelInfo:
+    """The identity of a neural model's vectors; KeyError for an unknown one."""
+    name, version, dimension, config_hash = NEURAL[model_id]
+    return ModelInfo(
+        model_id=model_id, model_name=name, model_version=version, dimension=dimension, config_hash=config_hash, runtime="python-sentence-transformers",
+        precision="f32", normalize=True, pooling="model-defined", max_length=None, query_prefix=None, document_prefix=None,
+    )
 
 
 class ProviderRegistry:

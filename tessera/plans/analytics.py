@@ -323,6 +323,22 @@ def case_passes(spark, sf_dir):
     return benchmarks.passes_by_prefix(own)
 
 
+def chunk_report(spark, sf_dir):
+    """Chunk configurations with their latency at each k, and the share of clicks and purchases as two modes' quality."""
+    own = _samples(spark, sf_dir).withColumn("top_k", F.col("user_id") % 2 * 2 + 3)
+    runs = own.groupBy("chunk_config").agg(F.count(F.lit(1)).alias("chunk_count"), F.max("event_id").alias("database_bytes_mean"))
+    share = lambda mode, kind: own.groupBy("chunk_config", "top_k").agg(F.round(F.avg((F.col("event_type") == kind).cast("int")), 6).alias("recall")).withColumn("mode", F.lit(mode))
+    rows = benchmarks.report_table(runs, latency_table(own, ["chunk_config", "top_k"]), share("vector", "click").unionByName(share("hybrid", "purchase")), "chunk_config")
+    quality = [F.col(f"{m}_quality.recall").alias(f"{m}_recall") for m in ("vector", "hybrid")]
+    return rows.select("chunk_config", "top_k", "chunk_count", "database_bytes_mean", "total_samples", "p50_ms", "p95_ms", *quality)
+
+
+def hardware_estimates(spark, sf_dir):
+    """Languages as models, their texts as cache, process and database."""
+    own = _read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("model")).agg((F.sum("n_chars") * 20000).alias("cache_bytes"), (F.sum("n_chars") * 5000).alias("private_bytes"), (F.max("n_chars") * 100000).alias("database_bytes"))
+    return _rounded(benchmarks.hardware_estimates(own))
+
+
 def stable_ids(spark, sf_dir):
     own = _documents(spark, sf_dir)
     return own.select("id", catalog.stable_id(F.col("knowledge_base_id").cast("string"), F.col("id").cast("string")).alias("stable_id"))
@@ -380,5 +396,7 @@ QUERIES = {
     "diagnostics": (diagnostics, f"WITH {_CATALOG} SELECT 'chunks' AS what, CAST(document_id AS VARCHAR) AS key, count(*) AS n FROM chunks_ GROUP BY 2 UNION ALL SELECT 'vectors', embedding_profile_id, count(*) FROM vectors_ GROUP BY 2"),
     "service_documents": (service_documents, "SELECT o_orderkey AS id, o_orderdate AS created_at, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'F'"),
     "case_passes": (case_passes, "SELECT substr(o_orderpriority, 1, 1) AS prefix, count_if(o_orderstatus = 'F') AS passed, count(*) AS cases FROM orders GROUP BY 1"),
+    "chunk_report": (chunk_report, f"WITH {_SAMPLES}, own AS (SELECT *, user_id % 2 * 2 + 3 AS top_k FROM samples), runs AS (SELECT chunk_config, count(*) AS chunk_count, max(event_id) AS database_bytes_mean FROM own GROUP BY 1), each AS (SELECT chunk_config, top_k, count(*) AS total_samples, round(quantile_cont(latency_ms, 0.5) FILTER (success), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95) FILTER (success), 6) AS p95_ms, round(avg(CAST(event_type = 'click' AS INTEGER)), 6) AS vector_recall, round(avg(CAST(event_type = 'purchase' AS INTEGER)), 6) AS hybrid_recall FROM own GROUP BY 1, 2) SELECT chunk_config, top_k, chunk_count, database_bytes_mean, total_samples, p50_ms, p95_ms, vector_recall, hybrid_recall FROM runs LEFT JOIN each USING (chunk_config)"),
+    "hardware_estimates": (hardware_estimates, "WITH m AS (SELECT lang AS model, CAST(sum(n_chars) * 25000 AS BIGINT) AS basis, 4 + 1.5 * (sum(n_chars) * 25000) / 1073741824.0 AS ram, greatest(1.0, 1.5 * (sum(n_chars) * 20000 + max(n_chars) * 100000) / 1073741824.0) AS disk FROM documents GROUP BY 1) SELECT model, basis AS memory_basis_bytes, round(ram, 6) AS formula_required_gib, CAST(coalesce(list_filter([8, 16, 32, 64, 128], lambda x: x >= ram)[1], pow(2, ceil(log2(ram)))) AS BIGINT) AS minimum_standard_ram_gib, CAST(coalesce(list_filter([1, 2, 4, 8, 16], lambda x: x >= disk)[1], pow(2, ceil(log2(disk)))) AS BIGINT) AS minimum_free_disk_gib FROM m"),
     "stable_ids": (stable_ids, f"WITH {_CATALOG}, h AS (SELECT id, sha256(knowledge_base_id || chr(31) || id) AS h FROM documents_) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS stable_id FROM h"),
 }

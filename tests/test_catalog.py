@@ -173,3 +173,22 @@ def test_a_change_replaces_the_buckets_that_it_touches(spark, tmp_path):
     assert catalog.delete_vectors(chunk_id=chunk) == 2 or catalog.table("vector_record").where(F.col("chunk_id") == chunk).isEmpty()
     catalog.delete_knowledge_base(kb)
     assert all(catalog.table(t).count() == 0 for t in counts)
+
+
+def test_fixture(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    profile = catalog.load_fixture(25, 3)
+    rows = sorted(((int(r.chunk_id[1:]), r.vector) for r in catalog.table("vector_record").collect()))
+    assert [i for i, _ in rows] == list(range(25)) and all(abs(x - (i + 1) * (j + 3) % 97 / 97) < 1e-6 for i, v in rows for j, x in enumerate(v))
+    assert catalog.table("chunk").where("chunk_index = 24 AND text = 'benchmark chunk 24'").count() == 1
+    query = spark.createDataFrame([(1, [0.5] * 3)], "query_id int, vector array<float>")
+    assert catalog.search_vectors("kb", profile, query, 4).count() == 4
+    with pytest.raises(ValueError):
+        catalog.load_fixture(1, 1)
+
+
+def test_neural_models():
+    from tessera.operators.embedding import NEURAL_MODELS, neural_model
+
+    assert {m: neural_model(m).dimension for m in NEURAL_MODELS} == {"bge-small": 512, "m3e-base": 768, "bge-m3": 1024}
+    assert neural_model("bge-small").config_hash.startswith("st-bge-small") and neural_model("bge-m3").normalize
