@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
@@ -77,12 +78,14 @@ def answer_text(response: dict) -> str:
     return content
 
 
-def _replies(client: LlmClient, tries: int, at_once: int):
+def _replies(client: LlmClient, tries: int, at_once: int, pause: float):
     """A column function from prompts to structs of answer and error; a prompt that fails ``tries`` times has an error."""
 
     def ask(text: str) -> tuple[str | None, str | None]:
         error = None
-        for _ in range(tries):
+        for n in range(tries):
+            if n:
+                time.sleep(pause * 2 ** (n - 1))
             try:
                 return client.complete(text), None
             except Exception as failed:  # whatever a client raises becomes the row's error
@@ -96,18 +99,20 @@ def _replies(client: LlmClient, tries: int, at_once: int):
     return F.pandas_udf(run, "answer string, error string").asNondeterministic()
 
 
-def answers(questions: DataFrame, hits: DataFrame, client: LlmClient | None = None, mock: bool = False, tries: int = 2, at_once: int = 8) -> DataFrame:
+def answers(questions: DataFrame, hits: DataFrame, client: LlmClient | None = None, mock: bool = False, tries: int = 2, at_once: int = 8, calls: int = 64, pause: float = 0.5) -> DataFrame:
     """query_id, question, prompt, answer, error, llm_used, warning for ``questions`` (query_id, text).
 
-    With a client, which has to be picklable, prompts are answered where the rows are, ``at_once`` in a task at a time. A
-    prompt without an answer after ``tries`` calls has a null answer and the last error.
+    With a client, which has to be picklable, prompts are answered in tasks, ``at_once`` in each and ``calls`` in all at a
+    time, however many cores there are. A prompt without an answer after ``tries`` calls, with a pause that doubles between
+    them, has a null answer and the last error.
     """
-    if tries < 1 or at_once < 1:
-        raise ValueError("tries and at_once have to be positive")
+    if tries < 1 or at_once < 1 or calls < 1:
+        raise ValueError("tries, at_once and calls have to be positive")
     rows = questions.join(contexts(hits), "query_id", "left")
     asked = rows.select("query_id", F.col("text").alias("question"), prompt(F.col("text"), F.coalesce("context", F.lit(""))).alias("prompt"))
     if client is None:
         replied = asked.withColumns({"answer": F.lit(NO_MODEL), "error": F.lit(None).cast("string")})
     else:
-        replied = asked.withColumn("_reply", _replies(client, tries, at_once)("prompt")).select("*", "_reply.answer", "_reply.error").drop("_reply")
+        at_once = min(at_once, calls)
+        replied = asked.repartition(calls // at_once).withColumn("_reply", _replies(client, tries, at_once, pause)("prompt")).select("*", "_reply.answer", "_reply.error").drop("_reply")
     return replied.withColumns({"llm_used": F.lit(client is not None), "warning": F.lit(MOCK_WARNING if mock else None).cast("string")})

@@ -97,6 +97,8 @@ def entropy_weights(spark, sf_dir):
 
 
 def _quality_rows(spark, sf_dir):
+    """Three columns of numbers by source, where a report has its quality measures: labels and lengths stand in for them, as
+    these tables hold no measured quality. Only the arithmetic of the scores is tested with them."""
     labels = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
     return labels.groupBy("source").agg(F.avg("quality").alias("recall"), F.avg("toxic").alias("mrr"), F.avg(F.col("n_chars") % 10).alias("ndcg"))
 

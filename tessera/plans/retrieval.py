@@ -176,7 +176,7 @@ by_vector AS (
 
 
 def embed_chunks(spark, sf_dir):
-    """Embeddings of all chunks: per document the chunks, and the sum of the vectors' values and squares."""
+    """The embeddings of all chunks: a row for each component that isn't 0."""
     rows = _vectors(_chunks(spark, sf_dir)).select("id", F.posexplode("vector").alias("idx", "x"))
     return rows.where("x <> 0").select("id", "idx", F.round(F.col("x").cast("double"), 6).alias("x"))
 

@@ -265,3 +265,35 @@ def test_quality_score(spark):
     grouped = stats.quality_score(rows, by=["g"])
     assert grouped.columns == [*rows.columns, "quality_score"] and {r.recall: r.quality_score for r in grouped.collect()} == {0.0: pytest.approx(100 / 3), 1.0: pytest.approx(100 / 3), 0.5: 0.0}
     assert stats.quality_score(rows.limit(0)).count() == 0
+
+
+def test_calls_are_bounded_over_all_tasks_and_tried_again(spark, tmp_path):
+    class Counting:
+        """Fails at first, and writes down how many calls are open at once."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def complete(self, text: str) -> str:
+            import os
+            import time
+
+            name = f"{self.folder}/{abs(hash(text))}"
+            first = not os.path.exists(name)
+            open(f"{name}.open", "w").close()
+            with open(f"{self.folder}/log", "a") as log:
+                log.write(f"{len([f for f in os.listdir(self.folder) if f.endswith('.open')])}\n")
+            time.sleep(0.05)
+            os.remove(f"{name}.open")
+            if first:
+                open(name, "w").close()
+                raise TimeoutError("busy")
+            return "yes"
+
+    questions = spark.createDataFrame([(i, f"question {i}") for i in range(40)], "query_id int, text string").repartition(20)
+    hits = spark.createDataFrame([], "query_id int, rank int, file_name string, chunk_index int, text string")
+    rows = rag.answers(questions, hits, Counting(str(tmp_path)), at_once=2, calls=4, pause=0.01).collect()
+    assert len(rows) == 40 and all(r.answer == "yes" and r.error is None for r in rows)
+    assert max(map(int, (tmp_path / "log").read_text().split())) <= 4
+    with pytest.raises(ValueError):
+        rag.answers(questions, hits, Counting(""), calls=0)
