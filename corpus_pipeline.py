@@ -21,17 +21,9 @@ from tessera.llm._shared import fresh_path, keep_one, written
 LEAST_SCORE = 0.2
 SHINGLE = 5
 PERCENT = 80
-#: Rows that go to a Python worker at once. Texts are long, so Spark's 10,000 would be some 30 MB on both sides of each task.
-ARROW_ROWS = "1000"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """For the stages with Python workers; the setting stays with the session, as the stages are lazy."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     model = op10_language.fit(docs)
     if not model.knows():
         return docs
@@ -42,7 +34,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     # Null ids come last, and texts with an equal id are told apart.
     identity = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
     found = op3_jaccard.jaccard_components(docs.select(identity.alias("doc_id"), "text"), SHINGLE, PERCENT)
@@ -51,7 +42,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     return op9_decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
