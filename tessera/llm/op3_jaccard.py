@@ -432,12 +432,14 @@ def _fragments(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
 
 def _hub_links(segments: DataFrame, percent: int) -> DataFrame:
     """node, root, n, linked: whether each set is linked with its group's hub (the hub is). Partial counts per fragment."""
-    hubs = segments.where("node = hub").select("root", "fragment", F.col("grams").alias("theirs"), F.col("n").alias("m"))
     # Hub and fragment are one key: a large group is spread by its sets.
     key = F.xxhash64("root", "fragment").alias("key")
-    both = spread_join(segments.select(key, "root", "fragment", "node", "n", "grams"), hubs.select(key, "theirs", "m"), "key", "node", "inner")
-    partial = both.select("node", "root", "n", "m", F.size(F.array_intersect("grams", "theirs")).alias("shared"))
-    total = partial.groupBy("node", "root", "n").agg(F.max("m").alias("m"), F.sum("shared").alias("shared"))
+    hubs = segments.where("node = hub").groupBy(key).agg(F.first("grams").alias("theirs"), F.first("n").alias("m"))
+    both = spread_join(segments.select(key, "root", "fragment", "node", "n", "grams"), hubs, "key", "node", "inner")
+    partial = both.select("node", "root", "n", "m", "fragment", F.size(F.array_intersect("grams", "theirs")).alias("shared"))
+    # Several tasks may put out a set (repeated rows, null ids, false members of the sketch); each fragment counts once.
+    once = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("shared"))), F.lit(0)) for i in range(FRAGMENTS)]
+    total = partial.groupBy("node", "root", "n").agg(F.max("m").alias("m"), sum(once[1:], once[0]).alias("shared"))
     return total.select("node", "root", "n", (100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).alias("linked"))
 
 

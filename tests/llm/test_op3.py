@@ -131,3 +131,13 @@ def test_meetings_cut_by_batches(spark, monkeypatch):
         assert ours(spark, rows, 2, 50) == brute(rows, 2, 50)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("ids", ["null", "repeated", "shared"])
+def test_sets_that_several_tasks_put_out_count_once(spark, ids):
+    # Two of some 20 shingles differ: too few are equal for a link, but enough for a candidate.
+    texts = [" ".join([*(f"f{size}w{i}" for i in range(size)), f"v{v}", "end"]) for size in range(14, 32) for v in range(4)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows = {"null": rows + [(None, t) for t in texts * 3], "repeated": rows * 4, "shared": [(i // 3, t) for i, t in rows * 4]}[ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(str(tuple(r)) for r in m.jaccard_components(df, 4, 85).collect()) == brute(rows, 4, 85)
