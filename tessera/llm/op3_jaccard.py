@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._graph import components
-from tessera.llm._shared import in_sketch, membership_sketch, only, spread_join, written
+from tessera.llm._shared import in_sketch, membership_sketch, only, shuffle_files_dropped, spread_join, written
 from tessera.llm._words import gram_hashes, mix64, slices, text_buffer, word_hashes, word_spans
 
 SHINGLE = 4
@@ -520,6 +520,11 @@ def _open_links(segments: DataFrame, settled: DataFrame, percent: int) -> DataFr
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for ``docs`` (doc_id, text): sets link at a similarity of ``percent`` / 100."""
+    with shuffle_files_dropped(docs.sparkSession):
+        return _components(docs, shingle, percent)
+
+
+def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     described = written(_described(docs, shingle, percent), "jaccard-sets")
     sets = written(
         described.where("node IS NOT NULL").groupBy("node").agg(

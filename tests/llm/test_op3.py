@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,3 +143,18 @@ def test_sets_that_several_tasks_put_out_count_once(spark, ids):
     rows = {"null": rows + [(None, t) for t in texts * 3], "repeated": rows * 4, "shared": [(i // 3, t) for i, t in rows * 4]}[ids]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert sorted(str(tuple(r)) for r in m.jaccard_components(df, 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_no_shuffle_file_outlives_its_action(spark):
+    folders = [f.getPath() for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p.name for f in folders for p in Path(f).glob("*/shuffle_*")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = files(), spark.conf.get(setting, None)
+    text = " ".join(f"w{i}" for i in range(40))
+    out = m.jaccard_components(spark.createDataFrame([(i, f"{text} {i % 3}") for i in range(20)], "doc_id long, text string"))
+    for _ in range(50):  # files go a little later
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting, None) == own
+    assert {r.component_id for r in out.collect()} == {0}
