@@ -6,15 +6,17 @@ document's set into segments:
 * Candidates: two sets of at least the threshold differ in so few n-grams that, with more fragments than that, some of
   their segments are equal. Equal segments meet by a shuffle of their hashes. Sets that meet others too seldom for a
   link of theirs are out of it; the rest meets again. In a small meeting all pairs are noted,
-  and a pair stays if it meets as often as the threshold demands of sets of these sizes; in a larger one everybody is
-  joined with the first. The connected groups are the candidate groups. The number of fragments depends on a set's size
-  class, and a set takes part in its own class and the next smaller one. A few spare fragments make up for segments that
-  are empty; sets with more empty ones than that also meet by these.
+  and a pair stays if it meets as often as the threshold demands of sets of these sizes, where large meetings of both may
+  have been of each other. Sets whose large meetings are enough for that without small ones are joined with the first of
+  each: these are the crowds. The connected groups of both are the candidate groups. The number of fragments depends on
+  a set's size class, and a set takes part in its own class and the next smaller one. A few spare fragments make up for
+  segments that are empty; sets with more empty ones than that also meet by these.
 * Counting: the order is cut into FRAGMENTS fragments. The overlap of a pair is counted in each fragment apart, in tasks
   that hold that fragment's segments only, and the partial counts are summed up per pair. Each set is first counted
   against its group's hub, the set that meets others most often; a group of near copies is mostly settled by that.
-  Sets that aren't linked with their hub are left open, and counted against all other sets of the group: both are cut
-  into blocks, and a fragment's partial counts of a pair of blocks are one matrix.
+  Sets that aren't linked with their hub are left open. Their pairs are counted one by one; in a crowd, which has no
+  list of pairs, they are counted against all its other sets: both are cut into blocks, and a fragment's partial counts
+  of a pair of blocks are one matrix.
 
 Links and components are exact (up to 64-bit hashes of n-grams and sets). Equal sets are one node throughout, so copies
 are never paired with each other, and pairs of sets that are both linked with their hub aren't counted.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._graph import components
@@ -241,13 +243,13 @@ def _segments(docs: DataFrame, shingle: int, percent: int, sketch=None) -> DataF
 
 def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of whole meetings (runs of equal signatures): all with kind 0 or 1 (is the class odd) of a small meeting,
-    those with the first one, of kind 2, of a larger one."""
+    those of the first one with everybody, itself too, of kind 2 or 3, of a larger one."""
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
     run, start = np.cumsum(new) - 1, np.flatnonzero(new)
     size = np.diff(np.append(start, len(sig)))[run] if len(sig) else run
-    large = np.flatnonzero((size > SMALL_MEETING) & ~new)
-    a, b, kind = [node[start[run[large]]]], [node[large]], [np.full(len(large), 2)]
+    large = np.flatnonzero(size > SMALL_MEETING)
+    a, b, kind = [node[start[run[large]]]], [node[large]], [2 + (sig[large] & 1)]
     small = np.flatnonzero((size > 1) & (size <= SMALL_MEETING))
     r, v, s = run[small], node[small], sig[small]
     for step in range(1, SMALL_MEETING):
@@ -260,9 +262,9 @@ def meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(a), np.concatenate(b), np.concatenate(kind)
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) whose connected groups hold every pair over the threshold, and the sets that can have links: node,
-    n, o, b, even, odd."""
+def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) and edges (a, b) of crowds: a pair over the threshold is among the former or inside a connected group
+    of the latter. And the sets that can have links: node, n, o, b, even, odd."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by signature and node. A run that is cut off waits for its rest; of a large one the first waits."""
@@ -277,8 +279,9 @@ def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             s, v = (batch.column(c).to_numpy() for c in ("sig", "node"))
             if large is not None:
                 rest = int(np.searchsorted(s != large[0], True))  # leading rows of the large run
-                own = v[:rest][v[:rest] != large[1]]
-                yield batch_of(np.full(len(own), large[1]), own, np.full(len(own), 2))
+                own = v[:rest][np.diff(v[:rest], prepend=large[2]) != 0]
+                yield batch_of(np.full(len(own), large[1]), own, np.full(len(own), 2 + (large[0] & 1)))
+                large = (*large[:2], own[-1] if len(own) else large[2])
                 s, v = s[rest:], v[rest:]
                 if not len(s):
                     continue
@@ -292,7 +295,7 @@ def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             sig, node = sig[last:], node[last:]
             if len(sig) > SMALL_MEETING:
                 yield batch_of(*meetings(sig, node))
-                large, sig, node = (sig[0], node[0]), sig[:0], node[:0]
+                large, sig, node = (sig[0], node[0], node[-1]), sig[:0], node[:0]
         yield batch_of(*meetings(sig, node))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,25 +322,45 @@ def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             n, o, b, even, odd = (batch.column(c).to_numpy() for c in ("n", "o", "b", "even", "odd"))
             yield batch.filter(pa.array(can_link(n, o, b, even, odd, percent)))
 
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds whether a set's large meetings can be enough for a link, in the even and in the odd class."""
+        for batch in batches:
+            n, o, b, even, odd = (batch.column(c).to_numpy() for c in ("n", "o", "b", "large0", "large1"))
+            none = np.zeros_like(even)
+            crowds = [can_link(n, o, b, *counts, percent) for counts in ((even, none), (none, odd))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, crowds)], [*batch.schema.names, "crowd0", "crowd1"])
+
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two sets whose large meetings are enough are in one crowd if any of these were of each other."""
         for batch in batches:
-            c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
-            ok = enough_meetings((c["na"], c["nb"]), (c["oa"], c["ba"], c["ob"], c["bb"]), c["kind"], c["n"], percent)
+            c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+            own = lambda name: np.where(c["kind"] == 1, c[f"{name}1"], c[f"{name}0"])  # noqa: E731, B023
+            enough = lambda n: enough_meetings((c["na"], c["nb"]), (c["oa"], c["ba"], c["ob"], c["bb"]), c["kind"], n, percent)  # noqa: E731, B023
+            apart = ~(own("crowda") & own("crowdb"))
+            ok = enough(c["n"]) | (apart & enough(c["n"] + np.minimum(own("largea"), own("largeb"))))
             yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
 
     ordered = lambda df: df.repartition("sig").sortWithinPartitions("sig", "node")
-    counts = ordered(_segments(docs, shingle, percent)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
+    # One text of each set is enough; copies that the sketch lets pass are the same node.
+    one_each = docs.sparkSession.sparkContext.broadcast(membership_sketch(sets.select(F.xxhash64("doc_id").alias("key")), "key"))
+    counts = ordered(_segments(docs, shingle, percent, one_each)).mapInArrow(shared, "node long, odd long").groupBy("node").agg(
         F.count_if(F.col("odd") == 0).alias("even"), F.count_if(F.col("odd") == 1).alias("odd")
     )
     met_others = sets.select("node", "n", "o", "b", "doc_id").join(counts, "node")
     nodes = written(met_others.mapInArrow(linkable, met_others.schema), "jaccard-linkable")
     sketch = docs.sparkSession.sparkContext.broadcast(membership_sketch(nodes.select(F.xxhash64("doc_id").alias("key")), "key"))
     again = _segments(docs, shingle, percent, sketch)
-    met = ordered(again).mapInArrow(meet, "a long, b long, kind long").where("a <> b").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    met = ordered(again).mapInArrow(meet, "a long, b long, kind long").where("a <> b OR kind > 1").groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
     met = written(met, "jaccard-meetings")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("o").alias(f"o{x}"), F.col("b").alias(f"b{x}"))
-    pairs = met.where("kind < 2").join(side("a"), "a").join(side("b"), "b").mapInArrow(filtered, "a long, b long")
-    return met.where("kind = 2").select("a", "b").unionByName(pairs), nodes
+    large = met.where("kind > 1").groupBy(F.col("b").alias("node")).agg(*(F.sum(F.when(F.col("kind") == 2 + i, F.col("n")).otherwise(0)).alias(f"large{i}") for i in (0, 1)))
+    judged = nodes.select("node", "n", "o", "b").join(large, "node", "left").fillna(0, ["large0", "large1"])
+    judged = written(judged.mapInArrow(crowded, "node long, n long, o long, b long, large0 long, large1 long, crowd0 boolean, crowd1 boolean"), "jaccard-judged")
+    kinds = {"n": "n{}", "o": "o{}", "b": "b{}", "large0": "large{}0", "large1": "large{}1", "crowd0": "crowd{}0", "crowd1": "crowd{}1"}
+    side = lambda x: judged.select(F.col("node").alias(x), *(F.col(c).alias(to.format(x)) for c, to in kinds.items()))
+    pairs = met.where("kind < 2").join(side("a"), "a").join(side("b"), "b").mapInArrow(filtered, "a long, b long").distinct()
+    crowds = met.where("kind > 1").join(judged.where("crowd0 OR crowd1").select(F.col("node").alias("b"), "crowd0", "crowd1"), "b")
+    crowds = crowds.where("(kind = 2 AND crowd0) OR (kind = 3 AND crowd1)").select("a", "b")
+    return written(pairs, "jaccard-pairs"), crowds, nodes
 
 
 def overlaps(grams: np.ndarray, owners: np.ndarray, n: int, split: int = 0) -> np.ndarray:
@@ -430,6 +453,13 @@ def _fragments(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     return written(parts.join(members.select("node", "root", "hub", "n"), "node"), "jaccard-segments")
 
 
+def _summed() -> Column:
+    """The sum of the fragments' partial counts. Several tasks may put out a set (repeated rows, null ids, false members of
+    the sketch); each fragment counts once."""
+    once = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("shared"))), F.lit(0)) for i in range(FRAGMENTS)]
+    return sum(once[1:], once[0])
+
+
 def _hub_links(segments: DataFrame, percent: int) -> DataFrame:
     """node, root, n, linked: whether each set is linked with its group's hub (the hub is). Partial counts per fragment."""
     # Hub and fragment are one key: a large group is spread by its sets.
@@ -437,22 +467,33 @@ def _hub_links(segments: DataFrame, percent: int) -> DataFrame:
     hubs = segments.where("node = hub").groupBy(key).agg(F.first("grams").alias("theirs"), F.first("n").alias("m"))
     both = spread_join(segments.select(key, "root", "fragment", "node", "n", "grams"), hubs, "key", "node", "inner")
     partial = both.select("node", "root", "n", "m", "fragment", F.size(F.array_intersect("grams", "theirs")).alias("shared"))
-    # Several tasks may put out a set (repeated rows, null ids, false members of the sketch); each fragment counts once.
-    once = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("shared"))), F.lit(0)) for i in range(FRAGMENTS)]
-    total = partial.groupBy("node", "root", "n").agg(F.max("m").alias("m"), sum(once[1:], once[0]).alias("shared"))
+    total = partial.groupBy("node", "root", "n").agg(F.max("m").alias("m"), _summed().alias("shared"))
     return total.select("node", "root", "n", (100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).alias("linked"))
 
 
-def _open_links(segments: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of sets that aren't linked with their hub: a spanning forest for each pair of blocks."""
+def _pair_links(segments: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are links. Partial counts per fragment."""
+    key = lambda node: F.xxhash64(node, "fragment").alias("key")
+    own = segments.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    own = own.groupBy(key("node")).agg(F.first("grams").alias("ours"), F.first("n").alias("n"))
+    theirs = segments.select(F.col("node").alias("b"), "fragment", F.col("n").alias("m"), F.col("grams").alias("theirs")).join(pairs, "b")
+    both = spread_join(theirs.select(key("a"), "a", "b", "m", "fragment", "theirs"), own, "key", "b", "inner")
+    partial = both.select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("ours", "theirs")).alias("shared"))
+    total = partial.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), _summed().alias("shared"))
+    return total.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
+
+
+def _crowd_links(segments: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), in each crowd (root) of ``settled``, of sets that aren't linked with their hub: a spanning forest for
+    each pair of blocks."""
     blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_SETS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_GRAMS)).cast("int")
     per_group = settled.groupBy("root").agg(blocks(~F.col("linked")).alias("opens"), blocks(F.col("linked")).alias("others")).where("opens > 0")
     first, many = F.when(F.col("linked"), F.col("opens")).otherwise(0), F.when(F.col("linked"), F.col("others")).otherwise(F.col("opens"))
     block = (first + F.pmod(F.xxhash64("node"), F.greatest(many, F.lit(1)))).cast("int")
-    placed = spread_join(settled, per_group, "root", "node", "inner").select("node", "linked", "opens", "others", block.alias("block"))
+    placed = spread_join(settled, per_group, "root", "node", "inner").select("node", "root", "linked", "opens", "others", block.alias("block"))
     # Blocks of open sets meet all blocks, the others only those of open sets.
     last = F.when(F.col("linked"), F.col("opens")).otherwise(F.col("opens") + F.col("others")) - 1
-    spread = segments.select("node", "root", "fragment", "n", "grams").join(placed, "node").withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    spread = segments.select("node", "fragment", "n", "grams").join(placed, "node").withColumn("x", F.explode(F.sequence(F.lit(0), last)))
     by_pair = spread.select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "fragment", "block", "node", "n", "grams")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,13 +573,20 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         ),
         "jaccard-nodes",
     )
-    candidates, nodes = _candidates(docs, sets, shingle, percent)
-    members = _members(described, sets, nodes, components(candidates))
+    pairs, edges, nodes = _candidates(docs, sets, shingle, percent)
+    members = _members(described, sets, nodes, components(pairs.unionByName(edges)))
     segments = _fragments(docs, members, shingle)
     settled = written(_hub_links(segments, percent), "jaccard-hubs")
     hub_of = members.where("node <> hub").select("node", F.col("hub").alias("a"))
-    links = settled.where("linked").join(hub_of, "node").select("a", F.col("node").alias("b")).unionByName(_open_links(segments, settled, percent))
-    roots = components(links)
+    crowds = components(edges).withColumnRenamed("root", "crowd")
+    states = written(settled.join(members.select("node", "hub"), "node").join(crowds, "node", "left").select("node", "n", "linked", (F.col("node") == F.col("hub")).alias("is_hub"), "crowd"), "jaccard-states")
+    state = lambda x: states.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("linked", "is_hub", "crowd")))
+    # What two links with the hub, a count against it or the blocks of a crowd say of a pair needn't be asked again.
+    left = pairs.join(state("a"), "a").join(state("b"), "b").where("NOT (linked_a AND linked_b) AND NOT is_hub_a AND NOT is_hub_b AND NOT coalesce(crowd_a = crowd_b, false)")
+    left = written(left.select("a", "b"), "jaccard-open-pairs")
+    in_crowds = states.where("crowd IS NOT NULL").select("node", F.col("crowd").alias("root"), "n", "linked")
+    links = settled.where("linked").join(hub_of, "node").select("a", F.col("node").alias("b"))
+    roots = components(links.unionByName(_pair_links(segments, left, percent)).unionByName(_crowd_links(segments, in_crowds, percent)))
     # The smallest id of each component, for the sets that need one.
     named = written(sets.select("node", "doc_id", "copies").join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node")), "jaccard-roots")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 
@@ -158,3 +159,32 @@ def test_no_shuffle_file_outlives_its_action(spark):
         time.sleep(0.2)
     assert not left and spark.conf.get(setting, None) == own
     assert {r.component_id for r in out.collect()} == {0}
+
+
+def test_chains_of_candidates_are_counted_pair_by_pair(spark, monkeypatch):
+    """Sets that resemble their neighbours only: one candidate group, whose pairs aren't all counted."""
+    held, blocks, pairs = [], m._crowd_links, m._pair_links
+    monkeypatch.setattr(m, "_crowd_links", lambda segments, settled, percent: (held.append(settled.count()), blocks(segments, settled, percent))[1])
+    monkeypatch.setattr(m, "_pair_links", lambda segments, asked, percent: (held.append(asked.count()), pairs(segments, asked, percent))[1])
+    words = [f"w{i}" for i in range(40 * 12 + 100)]
+    rows = [(i, " ".join(words[i * 12 : i * 12 + 100])) for i in range(40)]  # 85 of 109 shingles are shared with the next one
+    rows += [(100 + i, f"{rows[i * 5][1]} end{i}") for i in range(8)]
+    assert ours(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert held[0] < 4 * len(rows) and held[1] == 0
+    held.clear()
+    crowd = [(i, " ".join([*words[:60], *(f"v{i}x{j}" for j in range(9 if i % 2 else 1))])) for i in range(60)]
+    assert ours(spark, crowd, 4, 85) == brute(crowd, 4, 85)
+    assert held[1] > 0
+
+
+def test_copies_send_one_set_of_signatures(spark):
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(40))
+    rows = [(i, text(i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    sent, segments = [], m._segments
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(m, "_segments", lambda *a: (out := segments(*a), sent.append(out.groupBy("node").count().agg({"count": "max"}).first()[0]))[0])
+        got = m.jaccard_components(docs, 4, 85)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i % 5) for i, _ in rows}
+    one = m.signatures(*m.shingle_sets(pa.array([text(0)]), 4), np.array([37]), 85)[0]
+    assert sent[0] == len(one)
