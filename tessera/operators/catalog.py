@@ -1,11 +1,11 @@
 """A catalog of knowledge bases, documents, chunks, embedding profiles, vectors and index states.
 
 Tables are Parquet. Documents, chunks and vectors are partitioned by a bucket of the document's id, vectors by their
-profile too, so a change reads and replaces the buckets of the documents that it touches and nothing else: Spark's dynamic
-partition overwrite. Merges are joins: kept rows by anti-join, changed ones by union; cascades are semi- and anti-joins
-inside the touched buckets. All new rows of a change are written to the shared folder before the first table is replaced,
-so a change that fails while it is worked out changes nothing; one writer at a time is assumed, and readers may see a
-change's tables one after the other: states first, then documents, chunks and vectors.
+profile too, so a change reads and replaces the buckets of the documents that it touches and nothing else. Merges are
+joins: kept rows by anti-join, changed ones by union; cascades are semi- and anti-joins inside the touched buckets. All new
+rows of a change are written beside the tables before the first of these is touched, and their partitions are then moved
+into place, so a change that fails while it is worked out changes nothing; one writer at a time is assumed, and readers may
+see a change's tables one after the other: states first, then documents, chunks and vectors.
 
 A partition that becomes empty keeps one row without an id, which readers don't see. The number of buckets is fixed for
 the life of a catalog: choose it so that a bucket is a few files.
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from tessera.functions.text import recall_query, trimmed
 from tessera.functions.vectors import is_finite
 from tessera.operators.benchmarks import synthetic_vectors
-from tessera.operators.chunking import check_chunking, chunk_fixed
+from tessera.operators.chunking import check_chunking, fixed_windows
 from tessera.operators.embedding import QUERY, EmbeddingProvider, ModelInfo, ProviderRegistry, checked_batch
 from tessera.operators.retrieval import every_profile_search, vector_search
 from tessera.sources.files import extension, file_name, parse_documents
 from tessera.sources.tables import written
 
 BUCKETS = 64
+#: Files of a large bucket; small ones are one.
+FILES = 4
 DEFAULT_MODEL = "bge-small"
 SCHEMAS = {
     "knowledge_base": "id string, name string, root_path string, chunk_size int, chunk_overlap int, created_at timestamp, updated_at timestamp",
@@ -154,7 +156,7 @@ class Catalog:
 
     def _replace(self, old: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
         """Replaces small tables whole, and of the others the partitions that ``old`` (what they hold so far) and the new rows have."""
-        staged = {}
+        staged = f"{self.path}/_change-{uuid.uuid4().hex}"
         for name, df in tables.items():
             parts = PARTITIONS.get(name, [])
             kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
@@ -163,13 +165,28 @@ class Catalog:
                 # A row without an id in each partition keeps one from staying as it was when nothing is left of it.
                 open_ones = [x.select(*parts) for x in ((old or {}).get(name), own) if x is not None]
                 held = reduce(DataFrame.unionByName, open_ones).distinct()
-                own = own.unionByName(held, allowMissingColumns=True).repartition(*parts)
-            staged[name] = written(own, f"catalog-{name}")
+                own = own.unionByName(held, allowMissingColumns=True).repartition(*parts, F.pmod(F.xxhash64(KEYS[name]), F.lit(FILES)))
+            writer = own.write if parts else own.coalesce(1).write
+            (writer.partitionBy(*parts) if parts else writer).parquet(f"{staged}/{name}")
         order = ["knowledge_base", "embedding_profile", "index_state", "document", "chunk", "vector_record"]
-        for name in sorted(staged, key=order.index):
-            writer = staged[name].repartition(*PARTITIONS[name]) if name in PARTITIONS else staged[name].coalesce(1)
-            writer = writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if name in PARTITIONS else "static")
-            (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.path}/{name}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        system = path(self.path).getFileSystem(conf)
+
+        def move(source: str, target: str, levels: int) -> None:
+            """What is at ``source``, or so many levels of folders below, takes the place of what is at ``target``."""
+            if levels:
+                system.mkdirs(path(target))
+                for folder in (f.getPath().getName() for f in system.listStatus(path(source)) if f.isDirectory()):
+                    move(f"{source}/{folder}", f"{target}/{folder}", levels - 1)
+                return
+            system.delete(path(target), True)
+            if not system.rename(path(source), path(target)):
+                raise OSError(f"can't rename to {target}")
+
+        for name in sorted(tables, key=order.index):
+            move(f"{staged}/{name}", f"{self.path}/{name}", len(PARTITIONS.get(name, [])))
+        system.delete(path(staged), True)
 
     # ---- knowledge bases
 
@@ -236,19 +253,18 @@ class Catalog:
         """
         kb = self.knowledge_base(kb_id)
         stored = self.table("document").where(F.col("knowledge_base_id") == kb_id)
-        bad = errors if errors is not None else self.spark.createDataFrame([], "file_path string, error string")
+        bad = written(errors, "file-errors") if errors is not None else self.spark.createDataFrame([], "file_path string, error string")
         changes = written(classify(stored.join(bad.select("file_path"), "file_path", "left_anti"), files, ["file_path"], force=force), "changes")
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         dirty = files.join(changes.where("change IN ('added', 'updated')"), "file_path", "left_semi")
         now = F.current_timestamp()
-        fresh = dirty.select(
+        fresh = written(dirty.select(
             stable_id(F.lit(kb_id), "file_path").alias("id"), F.lit(kb_id).alias("knowledge_base_id"), "file_path", "file_name", "file_hash", "file_type",
             F.lit(WAITING).alias("status"), now.alias("created_at"), now.alias("updated_at"), "text",
-        )
+        ), "changed-files")
         removed = stored.join(changes.where("change = 'removed'"), "file_path", "left_semi").select("id") if remove else stored.limit(0).select("id")
-        pieces = chunk_fixed(fresh.select("id", "text"), kb.chunk_size, kb.chunk_overlap, "id")
-        source = fresh.select(F.col("id").alias("document_id"), F.to_json(F.struct(F.col("file_path").alias("source"))).alias("metadata_json"))
-        chunks = pieces.withColumnsRenamed({"id": "document_id", "content": "text"}).join(source, "document_id").select(
+        pieces = F.posexplode(fixed_windows(F.col("text"), kb.chunk_size, kb.chunk_overlap)).alias("chunk_index", "text")
+        chunks = fresh.select(F.col("id").alias("document_id"), F.to_json(F.struct(F.col("file_path").alias("source"))).alias("metadata_json"), pieces).select(
             stable_id("document_id", F.col("chunk_index").cast("string")).alias("id"), "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", "metadata_json", now.alias("created_at"),
         )
         n_dirty = counts.get("added", 0) + counts.get("updated", 0)
@@ -335,6 +351,7 @@ class Catalog:
         Documents all of whose chunks have a vector get the new status, or ``every_document`` of the knowledge base.
         """
         self.knowledge_base(kb_id)
+        vectors = written(vectors, "vector-batch")  # read by each check and each table; made once
         documents = self.table("document").where(F.col("knowledge_base_id") == kb_id)
         chunks = self.table("chunk").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
         checked_batch(vectors, info.dimension, chunks.select(F.col("id").alias("chunk_id")))
@@ -357,7 +374,8 @@ class Catalog:
         other = (F.col("knowledge_base_id") == kb_id) & (F.col("embedding_profile_id") != profile_id)
         staled = state.withColumns({"status": F.when(other, STALE).otherwise(F.col("status")), "detail": F.when(other, "another embedding space was activated").otherwise(F.col("detail")), "updated_at": F.when(other, now).otherwise(F.col("updated_at"))})
         active = self.spark.range(1).select(F.lit(kb_id).alias("knowledge_base_id"), F.lit(profile_id).alias("embedding_profile_id"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("detail"), now.alias("updated_at"))
-        done = fully_covered(documents.select(F.col("id").alias("document_id")), chunks.select("document_id", F.col("id").alias("chunk_id")), every.select("chunk_id"), "document_id", "chunk_id")
+        covered = held.select("chunk_id").unionByName(vectors.select("chunk_id"))
+        done = fully_covered(documents.select(F.col("id").alias("document_id")), chunks.select("document_id", F.col("id").alias("chunk_id")), covered, "document_id", "chunk_id")
         if every_document:
             done = documents.select(F.col("id").alias("document_id"))
         old = self._rows("document", touched)

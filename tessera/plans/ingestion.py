@@ -24,7 +24,8 @@ def _folder(spark: SparkSession, sf_dir: str, where: str = "true", changed: str
     end = F.when(F.expr(broken), F.unhex(F.lit("FF")).cast("string")).when(F.expr(changed), F.lit(" changed")).otherwise(F.lit(""))
     lines = docs.where(where).select("folder", "doc_id", F.concat("text", end).alias("value"))
     path = fresh_path(spark, "folder")
-    lines.repartition("folder").sortWithinPartitions("folder", "doc_id").select("value", "folder").write.partitionBy("folder").text(path)
+    writer = lines.repartition("folder").sortWithinPartitions("folder", "doc_id").select("value", "folder").write.partitionBy("folder")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks move the many files, not the driver
     return path
 
 

@@ -192,3 +192,24 @@ def test_neural_models():
 
     assert {m: neural_model(m).dimension for m in NEURAL_MODELS} == {"bge-small": 512, "m3e-base": 768, "bge-m3": 1024}
     assert neural_model("bge-small").config_hash.startswith("st-bge-small") and neural_model("bge-m3").normalize
+
+
+def test_indexing_embeds_each_chunk_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(HashedNgramProvider):
+        def transform(self, df, text="text", output="vector", input_type="DOCUMENT"):
+            def counted(batches):
+                for batch in batches:
+                    calls.add(batch.num_rows)
+                    yield batch
+
+            return super().transform(df.mapInArrow(counted, df.schema), text, output, input_type)
+
+    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    kb = catalog.create("n", str(tmp_path), 20, 0)
+    files = spark.createDataFrame([(f"/{i}.md", f"{i}.md", str(i), "md", f"text {i} " * 30) for i in range(6)], "file_path string, file_name string, file_hash string, file_type string, text string")
+    made = catalog.sync(kb, files)["chunks_created"]
+    assert catalog.index(kb, Counting(4))["inserted"] == made == calls.value
+    assert {r.status for r in catalog.table("document").collect()} == {"INDEXED"}
+    assert not [p.name for p in (tmp_path / "catalog").iterdir() if p.name.startswith("_")]
