@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,34 @@ def test_ten_blocks_scan_the_corpus_once(spark, monkeypatch, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 2  # a plan may be shown twice
     assert rows_of(found.select("query_id", "id")) == sorted(((i, i) for i in range(100)), key=str)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "clamped", "l2"])
+def test_best_vectors_of_many_equal_a_full_sort(metric):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (3000, 5)).astype(float)
+    v[::50] = 0
+    v[1::3] = v[0:-2:3] * (1 + 1e-9)  # ties after rounding
+    q = np.concatenate([rng.integers(-3, 4, (700, 5)).astype(float), np.zeros((1, 5))])
+    places, same = rng.permutation(len(v)), np.ones(len(v), bool)
+    scores = np.round(retrieval._scores(q, v, metric), 6)
+    got = [[] for _ in q]
+    for at_query, at_key, found in retrieval._best(q, v, places, 7, metric, same):
+        for i, j, s in zip(at_query.tolist(), at_key.tolist(), found.tolist(), strict=True):
+            got[i].append((s if metric == "l2" else -s, int(places[j])))
+    want = [sorted(zip((row if metric == "l2" else -row).tolist(), places.tolist(), strict=True))[:7] for row in scores]
+    assert got == want
+
+
+def test_a_query_that_is_asked_often_is_searched_for_once(spark, monkeypatch):
+    asked, search = [], retrieval.vector_search
+    monkeypatch.setattr(retrieval, "vector_search", lambda queries, *a: (asked.append(queries.count()), search(queries, *a))[1])
+    corpus = spark.createDataFrame([(f"c{i}", [float(i % 7), 1.0, float(i)]) for i in range(50)], "id string, vector array<float>")
+    vectors = [[1.0, 2.0, 3.0], [0.0, 1.0, 0.0], [5.0, 1.0, -1.0]]
+    queries = spark.createDataFrame([(i, vectors[i % 3]) for i in range(60)], "query_id int, vector array<float>")
+    got = retrieval.every_profile_search(queries, corpus, 4, 1)
+    one = {i: [(r.id, r.score, r.rank) for r in search(queries.where(f"query_id = {i}"), corpus, 4).orderBy("rank").collect()] for i in range(3)}
+    rows = {}
+    for r in got.orderBy("rank").collect():
+        rows.setdefault(r.query_id, []).append((r.id, r.score, r.rank))
+    assert asked == [3] and rows == {i: one[i % 3] for i in range(60)}
